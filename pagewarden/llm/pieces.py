@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 PIECES_SCHEMA = "doc_id long, ids array<int>, starts array<long>, ends array<long>"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean"
 
@@ -72,6 +73,9 @@ class Model:
         # Merges can't cross the start of a run of spaces if no piece has a space mark after another character.
         self.splits = all(set(p.piece) == {SPACE} or SPACE not in p.piece[1:] for p in proto.pieces) and not proto.trainer_spec.treat_whitespace_as_suffix
         self.simple = not self.map.units and self.dummy and not self.squeeze and self.splits
+        #: Source bytes of each piece where characters stay as they are: a space mark is one byte.
+        texts = [p.piece for p in proto.pieces]
+        self.widths = np.asarray([1 if p.type == p.BYTE else len(t.encode()) - 2 * t.count(SPACE) for p, t in zip(proto.pieces, texts, strict=True)], np.int64)
         self.words: dict[str, tuple] = {}
 
     def normalised(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -113,62 +117,60 @@ class Model:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and the source bytes [start, end) of each piece; by segments where the model allows it."""
-        entries = self.segments(text)
-        if entries is None:
-            return self.whole(text)
+        entries = self.entries(text)
+        return self.whole(text) if entries is None else self.spans(text, entries)
+
+    def spans(self, text: str, entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of a text's segments with their source bytes."""
         ids = np.frombuffer(b"".join([e[0] for e in entries]), "<i4")
-        width = np.frombuffer(b"".join([e[1] for e in entries]), "<i4").astype(np.int64)
+        width = self.widths[ids]
+        if len(ids):
+            width[0] -= 1  # the dummy prefix before the first character has no source byte
         ends = np.cumsum(width)
         return ids, ends - width, ends
 
-    def segments(self, text: str) -> list[tuple] | None:
-        """Cached entries (ids, source widths, decimal ids) of the text's segments; the first has no space in its source; None if the model or the text needs it whole."""
-        if not self.simple or SPACE in text or "\0" in text:
+    def entries(self, text: str) -> list[tuple] | None:
+        """Ids (bytes) and decimal ids of the text's segments; None if the model or the text needs it whole.
+
+        A segment is a run of spaces and the word after it, without its first space: the dummy prefix stands
+        for that.  New segments of a text are encoded by the library in one call.
+        """
+        if not self.simple or SPACE in text:
             return None
         if not text:
             return []
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words, get = self.words, self.entry
         head, *rest = text.split(" ")
         if head and "" not in rest:
-            first = get("\0" + head)
-            return [first, *[words.get(p) or get(p) for p in rest]]
-        out, run = [], None
-        if head:
-            out.append(get("\0" + head))
-            run = 0
+            keys = [head, *rest]
         else:
-            run = -1  # the text starts with spaces: their run begins with the dummy prefix
-        n = len(rest)
-        spaces = 0
-        for k, p in enumerate(rest):
-            spaces += 1
-            if p or k == n - 1:
-                lead = spaces - 1 if run == 0 else spaces
-                out.append(self.entry(("\0" if run == -1 else "") + " " * lead + p))
-                spaces, run = 0, 0
+            keys, run = [head] if head else [], 0 if head else 1
+            for p in rest:
+                if p:
+                    keys.append(" " * run + p)
+                    run = 0
+                else:
+                    run += 1
+            if run:
+                keys.append(" " * (run - 1))
+        return self.cached(keys)
+
+    def cached(self, keys: list[str]) -> list[tuple]:
+        words = self.words
+        new = [k for k in set(keys) if k not in words]
+        if not new:
+            return [words[k] for k in keys]
+        if len(words) > CACHE_WORDS:
+            words.clear()
+            new = list(set(keys))
+        for k, ids in zip(new, self.lib.encode(new, num_threads=1), strict=True):
+            ids = ids or [self.lib.piece_to_id(SPACE)]  # a single space at the end of a text
+            words[k] = (array("i", ids).tobytes(), ",".join(map(str, ids)))
+        out = [words[k] for k in keys]
+        for k in new:
+            if len(k) > 64:
+                del words[k]
         return out
 
-    def entry(self, key: str) -> tuple:
-        """Entry of a segment; ``\\0`` marks the first one of a text, whose dummy prefix has no source byte."""
-        found = self.words.get(key)
-        if found is None:
-            first = key.startswith("\0")
-            if key:
-                ids, starts, ends = self.whole(key[1:] if first else key)
-                width = ends - starts
-                if not first:
-                    width = width.copy()
-                    width[0] += 1  # the dummy prefix stands for the space before the segment
-            else:  # a single space that ends the text
-                ids, width = np.asarray([self.lib.piece_to_id(SPACE)], "<i4"), np.ones(1, np.int64)
-            ids = np.asarray(ids, "<i4")
-            found = (ids.tobytes(), width.astype("<i4").tobytes(), ",".join(map(str, ids.tolist())), ids.tolist())
-            if len(key) < 64:
-                self.words[key] = found
-        return found
-
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A text's ids from the library, each piece projected through the normaliser's alignment."""
         ids = np.asarray(self.lib.encode(text), "<i4")
@@ -234,15 +236,11 @@ def piece_digest(docs: DataFrame, model: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                entries = m.segments(text)
-                if entries is None:
-                    ids, starts, ends = m.whole(text)
-                    ids, plain = ids.tolist(), ",".join(map(str, ids.tolist()))
-                    covered = not len(ends) or int(ends[-1]) == len(text.encode()) and bool((starts[1:] == ends[:-1])[ends[:-1] > starts[:-1]].all())
-                else:
-                    plain = ",".join([e[2] for e in entries])
-                    ids = [i for e in entries for i in e[3]]
-                    covered = int(np.frombuffer(b"".join([e[1] for e in entries]), "<i4").sum()) == len(text.encode())
+                entries = m.entries(text)
+                ids, starts, ends = m.encode(text) if entries is None else m.spans(text, entries)
+                plain = ",".join(map(str, ids.tolist()) if entries is None else [e[1] for e in entries])
+                covered = bool((starts <= ends).all() and (starts[1:] >= starts[:-1]).all()) and (int(ends[-1]) if len(ends) else 0) == len(text.encode())
+                ids = ids.tolist()
                 decoded = m.lib.decode(ids) if ids else ""
                 rows.append((len(ids), hashlib.sha256(plain.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), covered))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_ok"])

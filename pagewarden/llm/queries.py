@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_codes, line_quality, pieces, token_files, warc_bundles
+from . import cap_filters, language_codes, line_quality, pieces, secret_scan, source_mix, token_files, warc_bundles
 
 
 def _tokenizer(name: str) -> str:
@@ -27,6 +27,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -35,11 +39,19 @@ def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_codes.language_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.findings_digest(_table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_bundles, op3_line_quality, op5_token_files, op6_language_codes, op8_pieces)}
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.embedding_digest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters)}
 #: The base rules and the line limits of ``line_quality.LineLimits()``.
 _QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),

@@ -25,7 +25,7 @@ BLOCK_BITS = 512
 
 END_ID = 2
 FILE_TOKENS = 4_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 MANIFEST_SCHEMA = "path string, first_doc long, n_docs long, n_tokens long, part int, seq int"
 READ_SCHEMA = "doc_id long, local_start long, n_tokens long, ids_crc32 long, path string"
 
@@ -40,29 +40,34 @@ class SegmentCache(dict):
     def __init__(self, tokenizer, limit: int = CACHE_WORDS):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
+        #: Tokens that begin with a space: exactly the first tokens of segments without another space.
+        vocabulary = tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def __missing__(self, segment: str) -> bytes:
-        ids = self.encode(segment)
+        ids = self.encode(segment).tobytes()
         if len(segment) < 64:
             self[segment] = ids
         return ids
 
-    def encode(self, segment: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(segment, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def warm(self, texts: list[str]) -> None:
-        """Encode the new segments of a batch of texts in one call."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the new segments of all are encoded in a few calls, as texts of their own."""
         if len(self) > self.limit:
             self.clear()
-        new = {s for t in texts for s in segments(t)} - self.keys()
-        new = [s for s in new if len(s) < 64]
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[s] = np.asarray(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, segments(text)))
+        cut = [segments(t) for t in texts]
+        new = list({s for c in cut for s in c if s not in self and len(s) < 64 and s[0] == " " and " " not in s[1:]})
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            ids = self.encode("".join(part))
+            at = np.flatnonzero(self.starts[ids]).tolist()
+            if len(at) == len(part):
+                data = ids.tobytes()
+                self.update(zip(part, [data[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
+        return [b"".join(map(self.__getitem__, c)) for c in cut]
 
 
 def segments(text: str) -> list[str]:
@@ -182,9 +187,8 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
         for pdf in batches:
             texts = pdf["text"].tolist()
             for k in range(0, len(texts), 500):
-                cache.warm(texts[k : k + 500])
-                for doc_id, text in zip(pdf["doc_id"].iloc[k : k + 500], texts[k : k + 500], strict=True):
-                    held.append(cache.ids(text) + end)
+                for doc_id, ids in zip(pdf["doc_id"].iloc[k : k + 500], cache.ids(texts[k : k + 500]), strict=True):
+                    held.append(ids + end)
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     filled += len(held[-1]) // 4
                     if filled >= file_tokens:
