@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 PIECES_SCHEMA = "doc_id long, ids array<int>, starts array<long>, ends array<long>"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean"
 
@@ -156,12 +156,12 @@ class Model:
 
     def cached(self, keys: list[str]) -> list[tuple]:
         words = self.words
-        new = [k for k in set(keys) if k not in words]
-        if not new:
-            return [words[k] for k in keys]
+        out = list(map(words.get, keys))
+        if None not in out:
+            return out
         if len(words) > CACHE_WORDS:
             words.clear()
-            new = list(set(keys))
+        new = list({k for k in keys if k not in words})
         for k, ids in zip(new, self.lib.encode(new, num_threads=1), strict=True):
             ids = ids or [self.lib.piece_to_id(SPACE)]  # a single space at the end of a text
             words[k] = (array("i", ids).tobytes(), ",".join(map(str, ids)))
