@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, language_codes, line_quality, ngram_join, pieces, secret_scan, source_mix, token_files, warc_bundles
+from . import cap_filters, language_codes, line_quality, ngram_join, pieces, secret_scan, source_mix, suffix_dedup, token_files, warc_bundles
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive_digest(_table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_digest(_table(spark, sf_dir, "documents"), ngram_join.JoinRule(words=3, percent=90))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters, op10_ngram_join)}
 #: The base rules and the line limits of ``line_quality.LineLimits()``.
 _QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
