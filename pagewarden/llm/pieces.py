@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 CACHE_WORDS = 1_000_000
 PIECES_SCHEMA = "doc_id long, ids array<int>, starts array<long>, ends array<long>"
-DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean"
+DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean, ids array<int>"
 
 
 class CharsMap:
@@ -228,8 +228,8 @@ def decode_pieces(pieces: DataFrame, model: str) -> DataFrame:
     return pieces.select("doc_id", "ids").mapInPandas(decode, "doc_id long, text string")
 
 
-def piece_digest(docs: DataFrame, model: str) -> DataFrame:
-    """Digests of the ids and of their decoding for every text, and whether the spans cover its bytes in order."""
+def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> DataFrame:
+    """Digests of the ids and of their decoding for every text, and whether the spans cover its bytes in order; the ids if asked for."""
 
     def digest(batches):
         m = model_of(model)
@@ -242,13 +242,14 @@ def piece_digest(docs: DataFrame, model: str) -> DataFrame:
                 covered = bool((starts <= ends).all() and (starts[1:] >= starts[:-1]).all()) and (int(ends[-1]) if len(ends) else 0) == len(text.encode())
                 ids = ids.tolist()
                 decoded = m.lib.decode(ids) if ids else ""
-                rows.append((len(ids), hashlib.sha256(plain.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), covered))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_ok"])
+                rows.append((len(ids), hashlib.sha256(plain.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), covered, ids if with_ids else None))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_ok", "ids"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return _texts(docs).mapInPandas(digest, DIGEST_SCHEMA)
+    found = _texts(docs).mapInPandas(digest, DIGEST_SCHEMA)
+    return found if with_ids else found.drop("ids")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
