@@ -8,8 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of the text contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -34,9 +33,10 @@ def staged(df: DataFrame, directory: str, label: str, codec: str = "zstd") -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(column: str = "text") -> Column:
-    """UTF-8 bytes of a text column; null is empty."""
-    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+def dealt(files: DataFrame, key: str) -> DataFrame:
+    """A table of file names over as many partitions as the session shuffles to: a name is short but its file is not,
+    so the partitions must not be merged by their bytes."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _file_system(uri: str):

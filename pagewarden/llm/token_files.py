@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import reading, shared_dir, staged, writing
+from ._shared import dealt, reading, shared_dir, staged, writing
 
 # Fixed values of the file format.
 MAGIC = b"DACTOK01"
@@ -215,7 +215,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 out.loc[out["doc_id"] == missing, "doc_id"] = pd.NA
                 yield out
 
-    return manifest.select("path").repartition("path").mapInPandas(read, READ_SCHEMA)
+    return dealt(manifest.select("path"), "path").mapInPandas(read, READ_SCHEMA)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import reading, shared_dir, staged, writing
+from ._shared import dealt, reading, shared_dir, staged, writing
 
 # Fixed values of the file format.
 SKIPPABLE_MAP = 0x184D2A50
@@ -220,7 +220,7 @@ def read_bundles(spark: SparkSession, index: DataFrame, *, payloads: bool = True
                             rows["payload"] = None
                         yield rows
 
-    bundles = index.select("path").distinct()
+    bundles = dealt(index.select("path").distinct(), "path")
     return bundles.mapInPandas(read, RECORD_SCHEMA)
 
 
