@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import plans
+from .plans import text_queries  # noqa: F401  (registers its queries)
+
 FLAGSHIP = "t3_sanitize_documents"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL
+    return plans.ORACLE_SQL
