@@ -20,3 +20,14 @@ def contains_raw_pii(json: Column) -> Column:
     """Whether any string value at any depth has an e-mail, phone, card or identity shape."""
     hit = lambda v: v.rlike("|".join(f"(?:{java(p, fold)})" for _, p, fold in FALLBACK_PATTERNS))
     return F.coalesce(F.exists(string_values(json), hit), F.lit(False))
+
+
+def tab_selected(scope: Column, number: Column, pinned: Column, current: Column, numbers: Column, start: Column, end: Column) -> Column:
+    """Whether a tab (numbered from 1) falls under a closing scope; a range may be given in either order."""
+    return (
+        F.when(scope == "all_except_current", ~current)
+        .when(scope == "all_unpinned_except_current", ~current & ~pinned)
+        .when(scope == "tab_numbers", F.array_contains(numbers, number.cast("int")))
+        .when(scope == "tab_range", number.between(F.least(start, end), F.greatest(start, end)))
+        .otherwise(F.lit(False))
+    )

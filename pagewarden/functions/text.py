@@ -12,6 +12,17 @@ DETECTION = "struct<category:string,severity:string,reason:string>"
 SPACE_RUN = f"[{rules.SPACES}]+"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def found(text: Column, pattern: str, fold: bool) -> Column:
+    """Whether a rule's pattern occurs; the cheap look for a character that it needs comes first."""
+    guard, hit = rules.needs(pattern), text.rlike(java(pattern, fold))
+    return hit if guard is None else (text.contains("@") if guard == "@" else text.rlike(guard)) & hit
+
+
 def truthy(c: Column) -> Column:
     """Null for the empty string as well."""
     return F.nullif(c, F.lit(""))
@@ -40,27 +51,27 @@ def _detection(category: str, level: str, reason: str) -> Column:
     return F.struct(F.lit(category).alias("category"), F.lit(level).alias("severity"), F.lit(reason).alias("reason"))
 
 
-def _has(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for w in words:
-        found = found | text.contains(w)
-    return found
-
-
 def classify(metadata: Column, value: Column) -> Column:
     """First rule that fits, as struct (category, severity, reason), else null.
 
     Patterns look at the value, or at the metadata if the value is empty; keywords are substrings of both.
     """
+    case = None
     subject = F.coalesce(truthy(value), metadata, F.lit(""))
     source = F.lower(F.concat(F.coalesce(metadata, F.lit("")), F.lit(" "), F.coalesce(value, F.lit(""))))
-    case = None
+
+    def by_keyword(low: Column) -> Column:
+        words = None
+        for category, level, reason, keys in rules.KEYWORD_RULES:
+            hit, what = low.rlike("|".join(keys)), _detection(category, level, reason)
+            words = F.when(hit, what) if words is None else words.when(hit, what)
+        every = "|".join(k for _, _, _, keys in rules.KEYWORD_RULES for k in keys)
+        return F.when(low.rlike(every), words)
+
     for category, pattern, fold in rules.CLASSIFY_PATTERNS:
-        hit, found = subject.rlike(java(pattern, fold)), _detection(category, severity_of(category), "validated pattern")
-        case = F.when(hit, found) if case is None else case.when(hit, found)
-    for category, level, reason, words in rules.KEYWORD_RULES:
-        case = case.when(_has(source, words), _detection(category, level, reason))
-    return case
+        hit, what = found(subject, pattern, fold), _detection(category, severity_of(category), "validated pattern")
+        case = F.when(hit, what) if case is None else case.when(hit, what)
+    return case.otherwise(let(source, by_keyword))
 
 
 def contains_pii(text: Column) -> Column:
@@ -68,11 +79,27 @@ def contains_pii(text: Column) -> Column:
 
 
 def _replaced(text: Column, patterns, template: str = "<{}_1>") -> Column:
+    """Each pattern replaced in turn, where the text has the character that it needs."""
     for category, pattern, fold in patterns:
-        text = F.regexp_replace(text, java(pattern, fold), template.format(category))
+        step = lambda t, p=java(pattern, fold), r=template.format(category): F.regexp_replace(t, p, r)
+        guard = rules.needs(pattern)
+        if guard is None:
+            text = step(text)
+        elif guard == "@":
+            text = let(text, _if_contains(guard, step))
+        else:
+            text = let(text, _if_like(guard, step))
     return text
 
 
+def _if_contains(what: str, step):
+    return lambda t: F.when(t.contains(what), step(t)).otherwise(t)
+
+
+def _if_like(what: str, step):
+    return lambda t: F.when(t.rlike(what), step(t)).otherwise(t)
+
+
 def sanitize(text: Column) -> Column:
     """The live redaction rules one after another; later rules see what earlier ones wrote.  Null is empty."""
     return _replaced(F.coalesce(text, F.lit("")), rules.REDACT_PATTERNS)
@@ -101,12 +128,17 @@ def matches(text: Column) -> Column:
     Offsets count code points, the end is exclusive; matches of different patterns may overlap.  Each match is
     classified anew, so its category can differ from its pattern's.
     """
-    found = []
+    none = F.array().cast("array<struct<value:string,category:string,severity:string,start:int,end:int>>")
+    parts = []
     for category, pattern, fold in rules.MATCH_PATTERNS:
         p = java(pattern, fold)
-        values, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-        found.append(F.transform(values, _hit(category, values, gaps)))
-    return F.concat(*found)
+        both = F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("v"), F.split(text, p, -1).alias("g"))
+        parts.append(F.when(found(text, pattern, fold), let(both, _hits(category))).otherwise(none))
+    return F.concat(*parts)
+
+
+def _hits(category: str):
+    return lambda x: F.transform(x["v"], _hit(category, x["v"], x["g"]))
 
 
 def _hit(category: str, values: Column, gaps: Column):
@@ -123,15 +155,17 @@ def _hit(category: str, values: Column, gaps: Column):
 
 def label_categories(text: Column) -> Column:
     """Every category one of whose keywords is a substring of the normalised text: array of structs (type, severity)."""
-    plain = normalize(text)
-    hits = [F.when(_has(plain, words), F.struct(F.lit(c).alias("type"), F.lit(s).alias("severity"))) for c, s, words in rules.LEGACY_LABELS]
-    return F.array_compact(F.array(*hits))
+
+    def hits(plain: Column) -> Column:
+        return F.array(*[F.when(plain.rlike("|".join(words)), F.struct(F.lit(c).alias("type"), F.lit(s).alias("severity"))) for c, s, words in rules.LEGACY_LABELS])
+
+    return F.array_compact(let(normalize(text), hits))
 
 
 def pattern_categories(text: Column) -> Column:
     """Every category of the older patterns that occurs."""
     level = {c: s for c, s, _ in rules.LEGACY_LABELS}
-    hits = [F.when(text.rlike(java(p, fold)), F.struct(F.lit(c).alias("type"), F.lit(level[c]).alias("severity"))) for c, p, fold in rules.LEGACY_PATTERNS]
+    hits = [F.when(found(text, p, fold), F.struct(F.lit(c).alias("type"), F.lit(level[c]).alias("severity"))) for c, p, fold in rules.LEGACY_PATTERNS]
     return F.array_compact(F.array(*hits))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import plans
-from .plans import text_queries  # noqa: F401  (registers its queries)
+from .plans import geometry_queries, text_queries  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "t3_sanitize_documents"
 
