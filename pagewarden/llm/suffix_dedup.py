@@ -91,6 +91,18 @@ def all_runs(pack: packs.Pack, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def distinct_keys(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and whether two documents hold each; ``doc`` never falls."""
+    order = np.argsort(keys, kind="stable")
+    keys, doc = keys[order], doc[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    other = np.zeros(len(keys), bool)
+    other[1:] = ~new[1:] & (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return keys[at], np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, bool)
+
+
 class Runs:
     """A pack's runs whose keys are shared, and the distinct texts among them in a fixed order."""
 
@@ -292,9 +304,8 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
             for row in pdf.itertuples():
                 pack = packs.Pack(row)
                 keys, _, _, doc = all_runs(pack, n)
-                pairs = np.unique(np.rec.fromarrays([keys[pack.known[doc]], pack.doc_ids[doc[pack.known[doc]]]], names="k,d"))
-                distinct, counts = np.unique(pairs["k"], return_counts=True)
-                yield pd.DataFrame(list(packs.split_keys(pack.id, distinct, counts > 1, ranges)), columns=["key_range", "pack", "keys", "twice"])
+                distinct, twice = distinct_keys(keys[pack.known[doc]], doc[pack.known[doc]])
+                yield pd.DataFrame(list(packs.split_keys(pack.id, distinct, twice, ranges)), columns=["key_range", "pack", "keys", "twice"])
 
     def runs_out(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows, shared = [], packs.keys_of(right)
