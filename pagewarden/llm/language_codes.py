@@ -85,21 +85,21 @@ class LanguageModel:
         return out
 
 
-def fit(texts: list[str], langs: list[str], dims: int = DIMENSIONS, steps: int = 300, ridge: float = 1e-4) -> LanguageModel:
+def fit(texts: list[str], langs: list[str], dims: int = DIMENSIONS, steps: int = 150, ridge: float = 1e-4) -> LanguageModel:
     """Logistic classifiers of all code bits together by accelerated gradient steps; bits weigh by their log odds of being right."""
     names = sorted(set(langs))
     code = codewords(len(names))
     if len(names) < 2:
         return LanguageModel(names, code, np.zeros((dims, code.shape[1])), np.zeros(code.shape[1]), np.ones(code.shape[1]))
     x = features(texts, dims)
-    y = code[[names.index(v) for v in langs]]
-    w, b = np.zeros((dims, code.shape[1])), np.zeros(code.shape[1])
+    y = code[[names.index(v) for v in langs]].astype(np.float32)
+    w, b = np.zeros((dims, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb, pw, pb = w.copy(), b.copy(), w, b
-    rate = 8.0
+    rate = np.float32(8.0)
     for t in range(steps):
-        g = -y / (1 + np.exp(np.clip(y * (x @ vw + vb), -30, 30))) / len(x)
-        w, b = vw - rate * (x.T @ g + ridge * vw), vb - rate * g.sum(0)
-        vw, vb = w + t / (t + 3) * (w - pw), b + t / (t + 3) * (b - pb)
+        g = -y / (1 + np.exp(np.clip(y * (x @ vw + vb), -30, 30))) / np.float32(len(x))
+        w, b = vw - rate * (x.T @ g + np.float32(ridge) * vw), vb - rate * g.sum(0)
+        vw, vb = w + np.float32(t / (t + 3)) * (w - pw), b + np.float32(t / (t + 3)) * (b - pb)
         pw, pb = w, b
     wrong = (np.sign(x @ w + b) != y).mean(0)
     odds = 0.5 * np.log((1 - wrong + 1e-2) / (wrong + 1e-2))
