@@ -69,7 +69,7 @@ class Shingler:
         known, digest = self.known, self.hash
         if len(known) > self.limit:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = digest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         m = len(h) - self.n + 1
