@@ -31,3 +31,8 @@ def tab_selected(scope: Column, number: Column, pinned: Column, current: Column,
         .when(scope == "tab_range", number.between(F.least(start, end), F.greatest(start, end)))
         .otherwise(F.lit(False))
     )
+
+
+# Captures of an intent's first line.
+MEDIA = r"(?i)\b(play|watch|listen(?:\s+to)?)\s+(.+?)\s*$"
+SEARCH = r"(?i)\b(?:search(?:\s+for)?|find|look\s+up|open)\s+(.+?)\s+(?:on|in|at)\s+(youtube(?:\s+music)?|yt|google|github|wikipedia|wiki|amazon)\b"
