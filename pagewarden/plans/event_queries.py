@@ -59,7 +59,7 @@ def k6_last_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("event_type").agg(F.max_by("props", "ts").alias("props"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ms(ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso, epoch_ms(ts) AS ms, epoch_ms(TIMESTAMP '2024-03-01') - epoch_ms(ts) > 120000 AS stale FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso, epoch_us(ts) // 1000 AS ms, epoch_us(TIMESTAMP '2024-03-01') // 1000 - epoch_us(ts) // 1000 > 120000 AS stale FROM events")
 def f13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return events(spark, sf_dir).select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"), ms.alias("ms"), (F.unix_millis(F.lit("2024-03-01 00:00:00").cast("timestamp")) - ms > 120_000).alias("stale"))
