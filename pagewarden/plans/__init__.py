@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for work that is bound by the CPU: dealt over all cores where the files give fewer than half as many
+    partitions (a single small file), left alone on a table of many files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def rows_of(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small literal table."""
     return spark.createDataFrame(rows, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import ranking
 from ..streaming import events as E
-from . import query, rows_of, table
+from . import query, rows_of, spread, table
 from .text_queries import quoted, sql_collapse
 
 
@@ -74,7 +74,7 @@ SAMPLE = "Rohan Mehta\nDOB: 12/03/1990\n1234 5678 9012\nAddress: 5 Long Lane\nNe
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, i, line, following: lines of documents with the next one, looked up in the document's own array."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(rows_of(spark, "doc_id long, text string", [(-1, SAMPLE)]))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionAll(rows_of(spark, "doc_id long, text string", [(-1, SAMPLE)]))
     parts = docs.select("doc_id", F.split("text", "\n", -1).alias("l"))
     return parts.select("doc_id", "l", F.posexplode("l").alias("i", "line")).select("doc_id", "i", "line", F.get("l", F.col("i") + 1).alias("following"))
 
@@ -92,7 +92,7 @@ def w6_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, CAST(i + k AS INT) AS i, count(*) AS times FROM (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id) AS last, {CLASS} AS class FROM {LINES}) c, (VALUES (1), (2), (3)) AS s(k) WHERE class = 'ADDRESS' AND i + k <= last GROUP BY doc_id, i + k")
 def w7_carry_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three lines after each address line, as often as addresses reach them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(rows_of(spark, "doc_id long, text string", [(-1, SAMPLE)]))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionAll(rows_of(spark, "doc_id long, text string", [(-1, SAMPLE)]))
     n = docs.select("doc_id", (F.size(F.split("text", "\n", -1)) - 1).alias("last"))
     hits = lines(spark, sf_dir).filter(text.line_class(F.col("line"), F.col("following")) == "ADDRESS").select("doc_id", "i")
     reach = hits.join(n, "doc_id").filter("i < last").select("doc_id", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("i") + 3, F.col("last")))).alias("i"))

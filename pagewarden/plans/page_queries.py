@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from ..operators import ranking
 from ..sources import pages as P
-from . import query, rows_of, table
+from . import query, rows_of, spread, table
 from .text_queries import quoted, sql_classify, sql_collapse, sql_replaced
 
 SELECTED = r"<(button|input|textarea|select|a|h[1-6])[ >]"
@@ -21,7 +21,7 @@ FORM_PAGE = """<html><head><title>Sign up</title></head><body><form name="f1"><l
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def form_page(spark: SparkSession) -> DataFrame:
@@ -322,7 +322,7 @@ def t6_sanitize_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT category, n FROM (SELECT {sql_classify(chr(39) * 2, 'text', 'category')} AS category, count(*) AS n FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) GROUP BY 1) WHERE category IS NOT NULL")
 def u1_union_of_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
+    both = spread(table(spark, sf_dir, "documents").select("text")).unionByName(spread(table(spark, sf_dir, "conversations").select("text")))
     return both.select(text.classify(F.lit(""), F.col("text"))["category"].alias("category")).filter("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -333,7 +333,7 @@ def u2_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS word FROM documents) WHERE word NOT IN (" + ", ".join(quoted(w) for w in rules.INTENT_STOP_WORDS) + ") GROUP BY word")
 def u3_stop_word_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("word"))
+    words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("word"))
     return words.filter(~F.col("word").isin(rules.INTENT_STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
 
 

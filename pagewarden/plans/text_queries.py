@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.rules import re2
-from . import query, rows_of, table
+from . import query, rows_of, spread, table
 
 # Synthetic texts for the rules that the tables don't exercise.
 SAMPLES = [
@@ -32,7 +32,7 @@ def sql_texts(columns: str = "'d' AS origin, doc_id AS id, text", source: str =
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     samples = rows_of(spark, "id long, text string", list(enumerate(SAMPLES)))
-    own = table(spark, sf_dir, name).select(F.lit("d").alias("origin"), F.col(key).alias("id"), "text")
+    own = spread(table(spark, sf_dir, name).select(F.lit("d").alias("origin"), F.col(key).alias("id"), "text"))
     return own.unionAll(samples.select(F.lit("s"), "id", "text"))
 
 
@@ -110,7 +110,7 @@ def sql_matches() -> str:
 @query(sql_matches())
 def t4_match_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and classes; documents hold no identity number, whose look-around the SQL lacks.  Offsets are tested apart."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.matches(F.col("text"))).alias("m"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.matches(F.col("text"))).alias("m"))
     return found.groupBy("doc_id", F.col("m.value").alias("value"), F.col("m.category").alias("category"), F.col("m.severity").alias("severity")).agg(F.count("*").alias("n"))
 
 
@@ -190,7 +190,7 @@ p AS (SELECT doc_id, any_value(clean) AS clean, substr(string_agg(substr(c, 1, C
 SELECT d.doc_id, CASE WHEN length(d.clean) <= 800 THEN d.clean ELSE picked END AS relevant FROM d LEFT JOIN p USING (doc_id)""")
 def t20_relevant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.array(*[F.lit(t) for t in T20_TOKENS])
-    return table(spark, sf_dir, "documents").select("doc_id", text.relevant_text(F.col("text"), tokens).alias("relevant"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.relevant_text(F.col("text"), tokens).alias("relevant"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
