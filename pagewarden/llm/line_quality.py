@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD_SPLIT
+from ._shared import WORD_SPLIT, shared_dir, staged
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -45,7 +45,7 @@ def text_stats(text: str | None, codes: dict[bytes, int]) -> tuple[int, int, int
     lines = [x for x in data.split(b"\n") if x and x.strip()]
     repeated = 0
     if n >= 4:
-        if len(codes) > 2_000_000:
+        if len(codes) > 200_000:
             codes.clear()
         ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint64, n)
         keys = ids[:-2] << np.uint64(42) | ids[1:-1] << np.uint64(21) | ids[2:]
@@ -100,11 +100,12 @@ def verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     Each line above a limit is held by over ``share_percent`` of its host's documents, so a host has at most
     ``100 / share_percent`` times its mean number of lines a document of them: they travel as one short array
     for each host.  The join has no hint: Spark broadcasts them where they are small, and splits a hot host's
-    documents where it shuffles.
+    documents where it shuffles.  The lines are a finished table first, so their size is known before a text moves.
     Null text has no word and fails the base rules; null doc_ids and repeated rows are judged each by itself;
     an empty table gives no rows; other columns are kept.
     """
     common = common_lines(docs, limits).groupBy("host").agg(F.collect_list("line_hash").alias("_common")).withColumnRenamed("host", "_host")
+    common = staged(common, shared_dir(docs.sparkSession), "common")
     rows = docs.withColumn("_host", host_of(docs)).join(common, "_host", "left")
     removed = F.filter(normal_lines(F.col("text")), lambda x: F.array_contains(F.col("_common"), F.xxhash64(x)))
     n_removed = F.aggregate(removed, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
