@@ -28,12 +28,14 @@ class JoinRule:
     """words in an n-gram; percent: 100 * intersection >= percent * union links.
 
     slack_percent: keys of a set, in percent, that are looked at beyond the fewest possible; links share at least
-    so many, which removes chance meetings.  group_keys: keys in a group's sets, about.
+    so many, which removes chance meetings.  near_percent: the same for the smaller part of those keys by which the
+    groups meet in the end.  group_keys: keys in a group's sets, about.
     """
 
     words: int = 5
     percent: int = 80
     slack_percent: int = 10
+    near_percent: int = 4
     group_keys: int = 300_000
 
     def least_overlap(self, n: int) -> int:
@@ -46,6 +48,9 @@ class JoinRule:
     def first_keys(self, n: int) -> int:
         return min(n, n - self.least_overlap(n) + self.slack(n))
 
+    def near_keys(self, n: int) -> int:
+        return min(n, n - self.least_overlap(n) + max(1, self.near_percent * n // 100))
+
     def needed(self, n: int) -> int:
         """Fewest common first keys of a set of n keys with any set that it links to: the slack of the smallest one."""
         return min(self.first_keys(n), self.slack(self.least_overlap(n)))
@@ -175,7 +180,7 @@ def links_between(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, p
     return out
 
 
-SET_SCHEMA = "doc_id long, n_shingles long, set_key string, survives boolean, keys binary, first array<long>"
+SET_SCHEMA = "doc_id long, n_shingles long, set_key string, survives boolean, keys binary, first array<long>, n_near int"
 LINK_SCHEMA = "a long, b long"
 
 
@@ -201,10 +206,11 @@ def candidate_sets(table: DataFrame, rule: JoinRule) -> DataFrame:
                 keys = shingler.keys(data)
                 n = len(keys)
                 first = keys[: rule.first_keys(n)]
-                first = first[packs.member(first, shared)]
+                held = packs.member(first, shared)
+                first, n_near = first[held], int(held[: rule.near_keys(n)].sum())
                 go = known and n > 0 and len(first) >= rule.needed(n)
-                rows.append((i if known else None, n, packs_digest(keys) if go else None, go, keys.astype("<u8").tobytes() if go else None, first.view(np.int64).tolist() if go else None))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "survives", "keys", "first"])
+                rows.append((i if known else None, n, packs_digest(keys) if go else None, go, keys.astype("<u8").tobytes() if go else None, first.view(np.int64).tolist() if go else None, n_near))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "survives", "keys", "first", "n_near"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
@@ -228,10 +234,19 @@ def _sets(pdf: pd.DataFrame) -> list[np.ndarray]:
 
 
 def links(sets: DataFrame, rule: JoinRule, directory: str) -> DataFrame:
-    """a, b: links that connect what the rule connects, from distinct ``sets`` (doc_id, n_shingles, keys, first)."""
-    tokens = sets.select("doc_id", "n_shingles", F.explode("first").alias("key"))
-    held = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("n_shingles", "doc_id")).alias("m")).filter("n > 1").select("key", F.col("m.doc_id").alias("centre"))
-    tokens = staged(tokens.join(held, "key"), directory, "tokens")
+    """a, b: links that connect what the rule connects, from distinct ``sets`` (doc_id, n_shingles, keys, first, n_near)."""
+    tokens = sets.select("doc_id", "n_shingles", F.posexplode("first").alias("at", "key"), "n_near").select("doc_id", "n_shingles", "key", (F.col("at") < F.col("n_near")).alias("near"))
+
+    def need(percent: int):
+        """Fewest keys shared with a link, by the size of the smallest set that it can be."""
+        return F.least(F.greatest(F.lit(1), F.floor(percent * F.ceil(rule.percent * F.col("n_shingles") / 100) / 100)), F.col("n_shingles"))
+
+    # Keys of documents that have fallen out don't count any more, so the bound is applied again to what is left.
+    for k in range(2):
+        held = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("n_shingles", "doc_id")).alias("m")).filter("n > 1").select("key", F.col("m.doc_id").alias("centre"))
+        tokens = staged(tokens.drop("centre").join(held, "key"), directory, f"tokens-{k}")
+        good = tokens.groupBy("doc_id", "n_shingles").agg(F.count("*").alias("n")).filter(F.col("n") >= need(rule.slack_percent)).select("doc_id")
+        tokens = staged(tokens.join(good, "doc_id"), directory, f"kept-{k}")
 
     # Each document goes to the centre that it meets most often; a centre's documents are dealt into groups by size.
     best = tokens.groupBy("doc_id", "centre").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max(F.struct("n", F.negative("centre").alias("c"))).alias("m")).select("doc_id", F.negative("m.c").alias("centre"))
@@ -251,13 +266,12 @@ def links(sets: DataFrame, rule: JoinRule, directory: str) -> DataFrame:
     known = sets.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     weight = known.groupBy("component").agg(F.count("*").alias("members"))
     known = known.join(weight, "component").join(placed, "doc_id").withColumn("order", F.struct("members", "component"))
-    rows = tokens.select("doc_id", "key").join(known, "doc_id")
+    rows = tokens.filter("near").select("doc_id", "key").join(known, "doc_id")
     there = rows.groupBy("key", "centre", "part").agg(F.max("order").alias("most"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     mixed = there.groupBy("key").agg(F.max("most").alias("top")).join(rows.groupBy("key").agg(F.min("order").alias("low")), "key").filter("top <> low").select("key")
     there = there.join(mixed, "key").select("key", F.col("centre").alias("to"), F.col("part").alias("to_part"), "most", "lo", "hi")
     meets = rows.join(mixed, "key").join(there, "key").filter((F.col("most") > F.col("order")) & ((F.col("to") != F.col("centre")) | (F.col("to_part") != F.col("part"))) & (100 * F.col("n_shingles") >= rule.percent * F.col("lo")) & (100 * F.col("hi") >= rule.percent * F.col("n_shingles")))
-    need = F.least(F.greatest(F.lit(1), F.floor(rule.slack_percent * F.ceil(rule.percent * F.col("n_shingles") / 100) / 100)), F.col("n_shingles"))
-    probes = meets.groupBy("doc_id", "n_shingles", "to", "to_part").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("doc_id", F.col("to").alias("centre"), F.col("to_part").alias("part"))
+    probes = meets.groupBy("doc_id", "n_shingles", "to", "to_part").agg(F.count("*").alias("n")).filter(F.col("n") >= need(rule.near_percent)).select("doc_id", F.col("to").alias("centre"), F.col("to_part").alias("part"))
     # A group's probes are dealt into blocks, each with a copy of the group.
     probes = staged(probes.join(sets.select("doc_id", "n_shingles", "keys"), "doc_id"), directory, "probes", codec="none")
     blocks = probes.groupBy("centre", "part").agg(F.ceil(F.sum("n_shingles") / rule.group_keys).cast("int").alias("blocks"))
@@ -287,7 +301,7 @@ def join_digest(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     owners = alive.groupBy("set_key").agg(F.min("doc_id").alias("owner"))
     members = staged(alive.select("doc_id", "set_key").join(owners, "set_key").select("doc_id", "owner").distinct(), directory, "members")
     reps = alive.join(members.filter("doc_id = owner").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = staged(reps.select("doc_id", "n_shingles", "keys", "first"), directory, "reps", codec="lz4")
+    reps = staged(reps.select("doc_id", "n_shingles", "keys", "first", "n_near"), directory, "reps", codec="lz4")
     all_links = links(reps, rule, directory).unionByName(members.filter("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b")))
     comp = components(all_links, f"{directory}/components").withColumnRenamed("node", "doc_id")
     return found.select("doc_id", "n_shingles").join(comp, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

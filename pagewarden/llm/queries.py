@@ -56,7 +56,7 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_digest(_table(spark, sf_dir, "documents"), ngram_join.JoinRule(words=3, percent=90))
+    return ngram_join.join_digest(_table(spark, sf_dir, "documents"), ngram_join.JoinRule(words=3, percent=90, slack_percent=20))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters, op10_ngram_join)}
