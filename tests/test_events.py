@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -41,11 +42,15 @@ def test_continuation_stream_equals_batch(spark):
     path = tempfile.mkdtemp(prefix="spark-")
     frame.coalesce(1).write.mode("overwrite").parquet(path)
     stream = spark.readStream.schema(frame.schema).parquet(path)
-    q = E.continuation_stream(stream, "signup", "purchase", 120).writeStream.format("memory").queryName("taken").outputMode("append").trigger(availableNow=True).start()
-    try:
-        assert q.awaitTermination(120)
+    q = E.continuation_stream(stream, "signup", "purchase", 120).writeStream.format("memory").queryName("taken").outputMode("append").trigger(processingTime="1 second").start()
+    try:  # a query with timeouts is never idle, so wait for the first batch that follows the rows
+        deadline, after = time.time() + 100, None
+        while time.time() < deadline and (after is None or q.lastProgress["batchId"] <= after):
+            after = next((p["batchId"] for p in q.recentProgress if p["numInputRows"]), after)
+            time.sleep(0.3)
     finally:
         q.stop()
+    assert after is not None
     batch = E.continuations(frame, "user_id", "signup", "purchase", 120).select("event_id", "set_id")
     assert sorted(map(tuple, spark.table("taken").select("event_id", "set_id").collect())) == sorted(map(tuple, batch.collect()))
 
