@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+#: Texts whose pieces a task holds at once.
+STEP = 300
 PIECES_SCHEMA = "doc_id long, ids array<int>, starts array<long>, ends array<long>"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean, ids array<int>"
 
@@ -210,7 +212,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
     def encode(batches):
         m = model_of(model)
-        for pdf in batches:
+        for pdf in _steps(batches):
             found = [m.encode(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [f[0].tolist() for f in found], "starts": [f[1].tolist() for f in found], "ends": [f[2].tolist() for f in found]})
 
@@ -222,7 +224,7 @@ def decode_pieces(pieces: DataFrame, model: str) -> DataFrame:
 
     def decode(batches):
         lib = model_of(model).lib
-        for pdf in batches:
+        for pdf in _steps(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [lib.decode([] if x is None else [int(i) for i in x]) for x in pdf["ids"]]})
 
     return pieces.select("doc_id", "ids").mapInPandas(decode, "doc_id long, text string")
@@ -233,7 +235,7 @@ def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> Data
 
     def digest(batches):
         m = model_of(model)
-        for pdf in batches:
+        for pdf in _steps(batches):
             rows = []
             for text in pdf["text"]:
                 entries = m.entries(text)
@@ -252,5 +254,12 @@ def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> Data
     return found if with_ids else found.drop("ids")
 
 
+def _steps(batches):
+    """The batches in slices of STEP rows: a text's ids as Python numbers take many times its bytes."""
+    for pdf in batches:
+        for k in range(0, len(pdf), STEP):
+            yield pdf.iloc[k : k + STEP].reset_index(drop=True)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

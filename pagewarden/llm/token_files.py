@@ -25,7 +25,7 @@ BLOCK_BITS = 512
 
 END_ID = 2
 FILE_TOKENS = 4_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 MANIFEST_SCHEMA = "path string, first_doc long, n_docs long, n_tokens long, part int, seq int"
 READ_SCHEMA = "doc_id long, local_start long, n_tokens long, ids_crc32 long, path string"
 
