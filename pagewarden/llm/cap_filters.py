@@ -1,14 +1,20 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-The directions of the filters are a product code: the space is cut into blocks, each with a small random code, and a
-filter is one code vector of each block.  A vector passes the filters whose inner product with it exceeds a
-threshold; they are found by list decoding, block by block with a bound on the rest, without visiting the
+The directions of the filters are several independent product codes: the space is rotated at random and cut into
+blocks, each with a small random code, and a filter is one code vector of each block.  A vector passes the filters whose
+inner product with it reaches a threshold of its own, the score of its ``each`` best filters, so no vector is without
+filters in any code.  They are found by list decoding, block by block with a bound on the rest, without visiting the
 others.  Vectors meet in filters, and links are verified by the exact cosine.
+
+A rotation makes the chance that a pair meets depend on its angle alone, so ``covering`` measures it on random pairs
+just at the similarity, where it is least, and adds codes until all but ``1 - recall`` of them meet.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import itertools
+import math
+from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -22,7 +28,8 @@ from .components import Forest, components
 
 @dataclass(frozen=True)
 class CapFilters:
-    """load: expected filters that a vector passes; bucket: expected vectors of a filter (sets their number); chunk: rows of a task's block."""
+    """load: filters that a vector passes at least; bucket: expected vectors of a filter (sets their number); chunk: rows of a task's block;
+    each: filters that a vector passes in one code; recall: share of pairs just at the threshold that meet, on random ones."""
 
     threshold: float = 0.95
     load: float = 20.0
@@ -30,6 +37,8 @@ class CapFilters:
     blocks: int = 3
     chunk: int = 2048
     seed: int = 11
+    each: int = 4
+    recall: float = 0.999
 
 
 def code(dims: int, n: int, options: CapFilters) -> tuple[list[np.ndarray], list[np.ndarray], float]:
@@ -42,13 +51,15 @@ def code(dims: int, n: int, options: CapFilters) -> tuple[list[np.ndarray], list
     codes = []
     for cut in cuts:
         c = rng.standard_normal((size, len(cut)))
-        codes.append(c / np.linalg.norm(c, axis=1, keepdims=True))
+        c = c / np.linalg.norm(c, axis=1, keepdims=True)
+        codes.append(c if len(cut) > 1 else np.asarray([[-1.0], [1.0]]))
     share = min(0.5, options.load / size**m)
     return cuts, codes, NormalDist().inv_cdf(1 - share) * float(np.sqrt(m / dims))
 
 
-def decode(x: np.ndarray, cuts, codes, threshold: float) -> list[np.ndarray]:
-    """The filters that each unit vector passes, by list decoding with a bound on the blocks still to come."""
+def decode(x: np.ndarray, cuts, codes, threshold: float | np.ndarray) -> list[np.ndarray]:
+    """The filters that each unit vector passes, by list decoding with a bound on the blocks still to come; one threshold or one for each vector."""
+    threshold = np.broadcast_to(threshold, len(x))
     scores = [x[:, cut] @ c.T for cut, c in zip(cuts, codes, strict=True)]
     most = [s.max(1) for s in scores]
     rest = [sum(most[k + 1 :], np.zeros(len(x))) for k in range(len(scores))]
@@ -56,13 +67,82 @@ def decode(x: np.ndarray, cuts, codes, threshold: float) -> list[np.ndarray]:
     for s, bound in zip(scores, rest, strict=True):
         size = s.shape[1]
         total = total[:, None] + s[row]
-        keep = total + bound[row][:, None] > threshold
+        keep = total + bound[row][:, None] > threshold[row][:, None]
         at, c = np.nonzero(keep)
         row, name, total = row[at], name[at] * size + c, total[at, c]
     order = np.lexsort((name, row))
     return np.split(name[order], np.cumsum(np.bincount(row, minlength=len(x)))[:-1])
 
 
+def reach(x: np.ndarray, cuts, codes, each: int) -> np.ndarray:
+    """The score of the ``each``-th best filter of each vector.
+
+    A filter with code vectors of ranks i, j, k in their blocks has (i + 1)(j + 1)(k + 1) filters that are no worse, itself among
+    them, so only those with a product up to ``each`` are looked at.
+    """
+    best = [-np.sort(-(x[:, cut] @ c.T), 1)[:, :each] for cut, c in zip(cuts, codes, strict=True)]
+    ranks = [r for r in itertools.product(*[range(b.shape[1]) for b in best]) if math.prod(k + 1 for k in r) <= each]
+    scores = sum(b[:, list(k)] for b, k in zip(best, zip(*ranks, strict=True), strict=True))
+    return np.sort(scores, 1)[:, -min(each, scores.shape[1])]
+
+
+def turned(dims: int, n: int, options: CapFilters, k: int) -> tuple:
+    """The ``k``-th code, after a rotation of its own."""
+    cuts, codes, _ = code(dims, n, replace(options, load=options.each, seed=options.seed + 100_003 * k))
+    q, r = np.linalg.qr(np.random.default_rng([options.seed, dims, k]).standard_normal((dims, dims)))
+    return q * np.sign(np.diag(r)), cuts, codes
+
+
+def passed(x: np.ndarray, one: tuple, each: int) -> list[np.ndarray]:
+    """The ``each`` best filters of one code for every vector; more where scores tie."""
+    rotation, cuts, codes = one
+    x = x @ rotation
+    return decode(x, cuts, codes, reach(x, cuts, codes, each) - 1e-12)
+
+
+#: Random pairs by which recall is measured.
+PAIRS = 10_000
+
+
+def pairs_at(dims: int, n: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors with the given cosine."""
+    rng = np.random.default_rng([seed, dims])
+    x, z = rng.standard_normal((2, n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    length = np.linalg.norm(z, axis=1, keepdims=True)
+    return x, x if dims == 1 else cosine * x + math.sqrt(1 - cosine * cosine) * z / length
+
+
+def covering(dims: int, n: int, options: CapFilters) -> tuple[list[tuple], float]:
+    """Codes for ``n`` vectors, and the share of random pairs at the threshold that meet in them.
+
+    ``load / each`` codes, and more until the share is ``recall``; where three times as many don't do (few dimensions), there are
+    half as many filters, so that each is wider.
+    """
+    x, y = pairs_at(dims, PAIRS, options.threshold, options.seed)
+    least = math.ceil(options.load / options.each)
+    while True:
+        codes, left = [], np.arange(len(x))
+        while len(codes) < 3 * least:
+            codes.append(turned(dims, n, options, len(codes)))
+            if len(left):
+                a, b = passed(x[left], codes[-1], options.each), passed(y[left], codes[-1], options.each)
+                left = left[[not np.isin(p, q).any() for p, q in zip(a, b, strict=True)]]
+            met = 1 - len(left) / len(x)
+            if len(codes) >= least and met >= options.recall:
+                return codes, met
+        if n < 2:
+            return codes, met
+        n //= 2
+
+
+def filter_lists(x: np.ndarray, codes: list[tuple], each: int) -> list[np.ndarray]:
+    """The filters of all codes that each vector passes, ascending; no list is empty."""
+    lists = [[f + (k << 48) for f in passed(x, one, each)] for k, one in enumerate(codes)]
+    return [np.concatenate(fs) for fs in zip(*lists, strict=True)]
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """The vectors that can link: not null, not zero, all components finite."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
@@ -92,21 +172,21 @@ def near_links(spark: SparkSession, reps: DataFrame, options: CapFilters) -> Dat
     n = reps.count()
     sizes = [r[0] for r in reps.select(F.size("embedding").alias("n")).distinct().limit(64).collect()]
     kind = "<f4" if reps.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-    made = {d: code(d, n, options) for d in sizes}
+    made = {d: covering(d, n, options)[0] for d in sizes}
+    load = options.each * max(map(len, made.values()), default=0)
 
     def spread(batches):
         for pdf in batches:
             for d, part in pdf.groupby(pdf["embedding"].map(len)):
-                cuts, codes, threshold = made[d] if d in made else code(d, n, options)
+                if d not in made:
+                    made[d] = covering(d, n, options)[0]
                 x = unit(np.stack(part["embedding"].to_numpy()))
                 for at in range(0, len(x), 512):
-                    lists = decode(x[at : at + 512], cuts, codes, threshold)
+                    lists = filter_lists(x[at : at + 512], made[d], options.each)
                     rows = part.iloc[at : at + 512]
-                    times = np.asarray([len(f) for f in lists])
-                    if times.any():
-                        of = np.repeat(np.arange(len(lists)), times)
-                        packed, raw = np.asarray([f.astype("<i8").tobytes() for f in lists], object), np.asarray([np.asarray(v, kind).tobytes() for v in rows["embedding"]], object)
-                        yield pd.DataFrame({"filter": np.concatenate(lists), "dims": d, "vec_id": rows["vec_id"].to_numpy()[of], "copies": rows["copies"].to_numpy()[of], "filters": packed[of], "vector": raw[of]})
+                    of = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
+                    packed, raw = np.asarray([f.astype("<i8").tobytes() for f in lists], object), np.asarray([np.asarray(v, kind).tobytes() for v in rows["embedding"]], object)
+                    yield pd.DataFrame({"filter": np.concatenate(lists), "dims": d, "vec_id": rows["vec_id"].to_numpy()[of], "copies": rows["copies"].to_numpy()[of], "filters": packed[of], "vector": raw[of]})
 
     members = reps.mapInPandas(spread, MEMBER_SCHEMA)
     counts = members.select("filter", "dims").groupBy("filter", "dims").agg(F.count("*").alias("size")).filter("size > 1")
@@ -147,8 +227,8 @@ def near_links(spark: SparkSession, reps: DataFrame, options: CapFilters) -> Dat
         return out
 
     # A member is small but there are many: enough tasks that each holds a few megabytes of them.
-    width = max(sizes, default=1) * int(kind[-1]) + 8 * options.load + 64
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n * options.load * width / TASK_BYTES) + 1)
+    width = max(sizes, default=1) * int(kind[-1]) + 8 * load + 64
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n * load * width / TASK_BYTES) + 1)
     parts = parts.repartition(tasks, "filter", "dims", "lo", "hi")
     return parts.groupBy("filter", "dims", "lo", "hi").applyInPandas(verify, FOUND_SCHEMA)
 

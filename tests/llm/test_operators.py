@@ -274,6 +274,30 @@ def test_list_decoding_finds_all_filters():
         assert got[k].tolist() == want
 
 
+@pytest.mark.parametrize("dims, n", [(1, 1000), (2, 10_000), (6, 10_000), (64, 10_000), (64, 1_000_000)])
+def test_filters_of_all_vectors_and_their_recall(dims, n):
+    """Pairs of distinct vectors just above the similarity, by production parameters; other pairs than those the codes are made by."""
+    options = cap_filters.CapFilters()
+    codes, met = cap_filters.covering(dims, n, options)
+    x, y = cap_filters.pairs_at(dims, 3000, 0.952, 77)
+    a, b = (cap_filters.filter_lists(v, codes, options.each) for v in (x, y))
+    assert met >= options.recall and min(map(len, a)) >= min(options.load, len(codes)) and all((np.diff(f) > 0).all() for f in a)
+    assert np.mean([np.isin(p, q).any() for p, q in zip(a, b, strict=True)]) >= 0.998
+
+
+def test_vectors_along_one_axis_have_few_filters():
+    options = cap_filters.CapFilters()
+    lists = cap_filters.filter_lists(np.eye(64), cap_filters.covering(64, 50_000, options)[0], options.each)
+    assert max(map(len, lists)) <= 2 * options.load
+
+
+def test_cap_filters_link_planted_pairs(spark):
+    x, y = cap_filters.pairs_at(64, 3000, 0.952, 78)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in cap_filters.embedding_digest(frame).collect()}
+    assert len(got) == 6000 and sum(got[k].n_links == got[k + 3000].n_links == 1 and got[k + 3000].component_id == k for k in range(3000)) >= 2990
+
+
 @pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
 def test_ngram_join(rows, docs, empty, words, percent):
     sets = {i: brute.shingles(t, words) for i, t in rows}
