@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -50,3 +50,9 @@ def card_zones(words: Column, target: Column) -> Column:
     front = card & low.rlike(r"\bdob\b|date of birth|female|male|vid")
     back = card & low.rlike(r"\baddress\b|\bs/?o\b|\bd/?o\b|\bc/?o\b|\b\d{6}\b")
     return F.concat(F.when(front, zones(FRONT)).otherwise(none), F.when(back, zones(BACK)).otherwise(none))
+
+
+def confident(texts: DataFrame, image: str, order: str, least: float = 0.30) -> DataFrame:
+    """Texts that are not blank and whose ``confidence`` is ``least`` or more, numbered for each image as ``text_id``."""
+    kept = texts.filter((F.col("confidence") >= least) & (F.trim("text") != ""))
+    return kept.withColumn("text_id", F.row_number().over(Window.partitionBy(image).orderBy(order)))

@@ -28,6 +28,11 @@ def form_page(spark: SparkSession) -> DataFrame:
     return rows_of(spark, "page_id long, url string, html string", [(1, "https://host.org/a?b=c", FORM_PAGE)])
 
 
+def every_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of pages and the form page, whose id is -1 here as the table has a page 1."""
+    return pages(spark, sf_dir).select("page_id", "url", "html").unionByName(form_page(spark).withColumn("page_id", F.lit(-1).cast("long")))
+
+
 @query(f"SELECT page_id, 'element_' || i AS element_id, tag, CASE WHEN tag = 'a' THEN 'link' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' ELSE tag END AS category FROM (SELECT page_id, unnest(regexp_extract_all(html, {quoted(SELECTED)}, 1)) AS tag, generate_subscripts(regexp_extract_all(html, {quoted(SELECTED)}, 1), 1) AS i FROM pages)")
 def s1_page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_elements(pages(spark, sf_dir)).select("page_id", "element_id", "tag", "category")
@@ -53,7 +58,7 @@ def s3_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def s4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.forms(form_page(spark)).select("page_id", "form_id", "form_name", F.to_json("controls").alias("controls"))
+    return P.forms(every_page(spark, sf_dir)).select("page_id", "form_id", "form_name", F.to_json("controls").alias("controls"))
 
 
 @query()
@@ -73,7 +78,7 @@ def s6_page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p1_visible_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.elements(form_page(spark)).select("page_id", "ord", "tag", P.visible().alias("visible"))
+    return P.elements(every_page(spark, sf_dir)).select("page_id", "ord", "tag", P.visible().alias("visible"))
 
 
 @query("SELECT tag, CASE WHEN tag IN ('button', 'input', 'textarea', 'select') THEN tag WHEN tag = 'a' THEN 'link' WHEN editable THEN 'contenteditable' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' ELSE tag END AS category FROM (VALUES ('button', false), ('input', true), ('textarea', false), ('select', false), ('a', true), ('h1', true), ('h3', false), ('div', true), ('h7', false), ('p', false)) AS v(tag, editable)")
@@ -89,17 +94,17 @@ def p3_interactive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p4_accessible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.elements(form_page(spark)).filter(P.selected()).select("page_id", "ord", "tag", P.accessible_name().alias("name"))
+    return P.elements(every_page(spark, sf_dir)).filter(P.selected()).select("page_id", "ord", "tag", P.accessible_name().alias("name"))
 
 
 @query()
 def p5_sensitive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.sensitive_inputs(form_page(spark))
+    return P.sensitive_inputs(every_page(spark, sf_dir))
 
 
 @query()
 def j1_label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page_elements(form_page(spark)).select("page_id", "element_id", "tag", "label", "text")
+    return P.page_elements(every_page(spark, sf_dir)).select("page_id", "element_id", "tag", "label", "text")
 
 
 @query("SELECT page_id, CASE WHEN visible <> '' AND NOT regexp_matches(html, '(?i)<(canvas|svg|video|iframe|object|embed|img)[ />]') THEN 'DOM_ONLY' ELSE 'DOM + SCREENSHOT' END AS route FROM (SELECT page_id, html, " + sql_visible("html") + " AS visible FROM pages UNION ALL SELECT -1, '<body><p>x</p><img src=a></body>', 'x' UNION ALL SELECT -2, '<body></body>', '')")
@@ -299,7 +304,7 @@ def j3_repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j4_query_name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.names import count_name
 
-    runs = P.text_runs(form_page(spark))
+    runs = P.text_runs(every_page(spark, sf_dir))
     return runs.select("page_id", "ord", count_name(F.col("text"), F.lit("rohan mehta")).alias("times")).filter("times > 0")
 
 
@@ -308,7 +313,8 @@ def t9_person_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.names import person_query
 
     rows = [(1, "max verstappen", ""), (2, "max verstappen red bull car", "News: Max Verstappen wins"), (3, "max verstappen red bull car", "nothing"), (4, "shoes", "")]
-    return rows_of(spark, "id int, q string, page string", rows).select("id", person_query(F.col("q"), F.col("page")).alias("person"))
+    own = table(spark, sf_dir, "conversations").filter("role = 'user'").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).cast("long").alias("id"), F.col("text").alias("q"), F.lit("").alias("page"))
+    return rows_of(spark, "id long, q string, page string", rows).unionByName(own).select("id", person_query(F.col("q"), F.col("page")).alias("person"))
 
 
 @query()

@@ -217,6 +217,18 @@ def p15_confident_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("text_id"))
 
 
+RECOGNISED = [(1, 1, "Email", 0.98), (1, 2, " ", 0.99), (1, 3, "low", 0.29), (1, 4, "just", 0.30), (1, 5, "none", None), (2, 1, "PIN", 0.51), (2, 2, None, 0.9), (2, 3, "ok", 1.0)]
+
+
+@query("SELECT * FROM (VALUES (1, 'Email', 1), (1, 'just', 2), (2, 'PIN', 1), (2, 'ok', 2)) AS v(image_id, text, text_id)")
+def p15_recognised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised texts by the confidence that came with them; no table has one."""
+    from ..operators.vision import confident
+
+    found = confident(rows_of(spark, "image_id int, ord int, text string, confidence double", RECOGNISED), "image_id", "ord")
+    return found.select("image_id", "text", "text_id")
+
+
 OCR = [(1, 1, "Email address", 10, 10, 110, 30), (1, 2, "rohan@mail.org", 130, 10, 300, 30), (1, 3, "Secret PIN", 10, 60, 90, 80), (1, 4, "hello", 10, 200, 60, 220)]
 FIELDS = [(1, 1, 125, 5, 200, 30), (1, 2, 100, 55, 220, 30)]
 
