@@ -243,6 +243,14 @@ def test_compiled_map_takes_the_longest_prefix():
     assert [cmap.replacement(k) for k in (0, 2, 4)] == [b"X", b"Y", b"Z"]
 
 
+def test_width_table_gives_the_spans_of_the_normaliser(rows):
+    model = pieces.Model(tokenizers_.path("piece_bpe_32k.model"))
+    assert model.simple and not model.map.units
+    for t in [t or "" for _, t in rows if len(t or "") < 5000] + [" a", "a ", "a  b", "  ", "é😀 z", "\0 a", "a\tb\nc"]:
+        for way, want in zip(model.spans(t, model.entries(t)), model.whole(t), strict=True):
+            assert way.tolist() == want.tolist()
+
+
 def test_cap_filters_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
