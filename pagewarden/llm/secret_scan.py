@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the rules.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+# "=" only pads the end of a candidate, so a name assigned without quotes is not part of its value.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+=*+"
 SECRET_WORDS = "token|secret|key|passw|passwd|pwd|auth|bearer|credential|apikey|private|access"
 BENIGN_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|version|href|src|blob|tree|base64|image|session|trace|request|build|asset|chunk"
 DICTIONARY = "account|address|admin|api|app|asset|author|bundle|button|cache|chunk|class|client|color|config|content|controller|count|data|default|document|element|error|event|example|field|file|font|footer|format|function|general|group|header|image|index|information|item|label|layout|list|main|manager|message|min|model|module|name|number|object|option|page|panel|param|placeholder|product|profile|public|query|release|report|request|response|result|sample|section|server|service|session|static|status|string|style|system|table|template|test|text|title|type|update|user|value|vendor|version|view|widget|your"
