@@ -292,6 +292,7 @@ def join_digest(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
 
     Equal sets are one set with many documents before anything is compared.  Null and blank texts have an empty set,
     link with nothing and are their own component; so do rows without doc_id.  Rows that repeat a doc_id get its component.
+    Where a doc_id comes with different texts and is the smallest of two sets, only one of the two is compared with others.
     Other columns are ignored; an empty table gives no rows.
     """
     directory = shared_dir(docs.sparkSession)
@@ -308,6 +309,6 @@ def join_digest(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
-    """The documents that are the first of their component, with all columns; rows without doc_id stay."""
+    """The documents that are the first of their component, with all columns; rows without doc_id stay, and so does every row of a kept doc_id that repeats."""
     others = join_digest(docs.select("doc_id", "text"), rule).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -334,6 +334,12 @@ def test_ngram_join(rows, docs, empty, words, percent):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in want if want[i] == i} | {None}
 
 
+def test_keep_first_keeps_all_rows_of_a_kept_doc_id(spark):
+    body = " ".join(f"w{k}" for k in range(40))
+    own = spark.createDataFrame([(1, body), (1, body), (2, body), (2, body)], "doc_id long, text string")
+    assert [r.doc_id for r in ngram_join.keep_first(own).collect()] == [1, 1]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_prefix_tree_finds_every_link(seed):
     rng = random.Random(seed)
