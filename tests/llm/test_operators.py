@@ -197,17 +197,6 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.findings_digest(empty, forest).count() == 0
 
 
-def test_secret_scan_splits_assignments_without_quotes(spark):
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    value, token = hashlib.sha1(b"v").hexdigest(), "ghp_" + hashlib.sha256(b"t").hexdigest()[:30].replace("a", "Q")
-    padded = "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmc5OTk5OTk5OQ=="
-    texts = [(1, f"app config secret={value}\nend", value), (2, f"APP_KEY={token}\nnext", token), (3, f'app config token = "{padded}" end', padded), (4, f"app config secret={padded};", padded)]
-    found = {r.doc_id: r for r in secret_scan.findings_digest(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), forest).collect()}
-    for k, text, want in texts:
-        assert (found[k].start, found[k].length, found[k].sha256) == (text.index(want), len(want), hashlib.sha256(want.encode()).hexdigest())
-    assert found[1].is_secret and found[2].is_secret
-
-
 def test_pieces(spark, docs, empty):
     import sentencepiece
 
