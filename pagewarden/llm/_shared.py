@@ -15,9 +15,11 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, one is made for a local session and a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pagewarden-{uuid.uuid4().hex}"
@@ -33,6 +35,14 @@ def staged(df: DataFrame, directory: str, label: str, codec: str = "zstd") -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, directory: str, *labels: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for label in labels:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{label}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def dealt(files: DataFrame, key: str) -> DataFrame:
     """A table of file names over as many partitions as the session shuffles to: a name is short but its file is not,
     so the partitions must not be merged by their bytes."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import discard, staged
 
 
 def components(links: DataFrame, directory: str) -> DataFrame:
@@ -17,6 +17,7 @@ def components(links: DataFrame, directory: str) -> DataFrame:
     a node with very many links gathers nowhere; every round is a table in the shared folder.
     """
     links = staged(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), directory, "links-0")
+    spark = links.sparkSession
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels, k = staged(nodes.select("node", F.col("node").alias("at")), directory, "labels-0"), 0
     while not links.isEmpty():
@@ -30,6 +31,7 @@ def components(links: DataFrame, directory: str) -> DataFrame:
         links = staged(links.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), directory, f"links-{k}")
         moved = labels.join(hook("at"), "at", "left").select("node", F.coalesce("at_to", "at").alias("at"))
         labels = staged(moved, directory, f"labels-{k}")
+        discard(spark, directory, f"links-{k - 1}", f"labels-{k - 1}", f"hooks-{k}")
     lowest = labels.groupBy("at").agg(F.min("node").alias("component"))
     return labels.join(lowest, "at").select("node", "component")
 

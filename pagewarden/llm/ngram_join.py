@@ -1,23 +1,25 @@
 """N-gram Jaccard join by prefix trees.
 
-A document is the set of its distinct word n-grams (64-bit hashes in one global order).  Two sets of
-similarity t or more share many of the first keys of that order, so only documents enough of whose first
-keys occur elsewhere go on.  They meet in bounded groups; in a group the sets are ordered alike, most common first, and put into
-a trie that a probe walks once, sharing the partial overlap of common paths and leaving subtrees whose
-remaining lengths can't reach the bound.
+A document is the set of its distinct word n-grams (64-bit hashes).  Keys that no other document holds can't be common, so a
+document goes on only while enough of its keys are held elsewhere: first by the least keys of its set, then by all of them.  The keys left
+are put in one global order, rarest first.  Linked sets share a key of their prefixes, and a key is looked after by one
+of the documents that hold it, the one that meets most others: a document goes once to each centre of its prefix keys, so work follows
+paths of the tree and not pairs of documents.  At a centre the sets are put into a trie, most common keys first, that a probe walks once,
+sharing the partial overlap of common paths and leaving subtrees whose remaining lengths can't reach the bound.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packs
-from ._shared import shared_dir, staged
+from ._shared import discard, shared_dir, staged
 from .components import Forest, components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -27,16 +29,16 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 class JoinRule:
     """words in an n-gram; percent: 100 * intersection >= percent * union links.
 
-    slack_percent: keys of a set, in percent, that are looked at beyond the fewest possible; links share at least
-    so many, which removes chance meetings.  near_percent: the same for the smaller part of those keys by which the
-    groups meet in the end.  group_keys: keys in a group's sets, about.
+    slack_percent: keys of a set, in percent, that the first look takes beyond the fewest possible; links share at least
+    so many of them.  group_keys: keys in a task's sets, about; a centre with more is dealt into bands of sizes and parts.
+    hubs: documents of such a centre that every part compares with, so that most of a large group is one component at once.
     """
 
     words: int = 5
     percent: int = 80
     slack_percent: int = 10
-    near_percent: int = 4
-    group_keys: int = 300_000
+    group_keys: int = 150_000
+    hubs: int = 8
 
     def least_overlap(self, n: int) -> int:
         """Fewest common keys that a set of n keys has with any set that it links to."""
@@ -48,13 +50,22 @@ class JoinRule:
     def first_keys(self, n: int) -> int:
         return min(n, n - self.least_overlap(n) + self.slack(n))
 
-    def near_keys(self, n: int) -> int:
-        return min(n, n - self.least_overlap(n) + max(1, self.near_percent * n // 100))
-
     def needed(self, n: int) -> int:
         """Fewest common first keys of a set of n keys with any set that it links to: the slack of the smallest one."""
         return min(self.first_keys(n), self.slack(self.least_overlap(n)))
 
+    def band_width(self) -> float:
+        """Logarithm of the size at which a band of sizes ends; sets that link are at most one band apart."""
+        return 1.0001 * math.log(max(100 / self.percent, 1.01))
+
+
+def word_digest(data: bytes) -> bytes:
+    """16 bytes of the lower-case words of a text; equal for texts that differ in white space alone.  Zeros without words."""
+    import xxhash
+
+    words = data.translate(LOWER).split()
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else bytes(16)
+
 
 class Shingler:
     """Sets of n-gram keys; word hashes are kept for a worker's texts."""
@@ -87,64 +98,67 @@ class Shingler:
 
 @dataclass
 class Node:
-    """A path of keys that the sets below share; shortest and longest are the sizes of those sets."""
+    """A path of keys that the sets below share.
+
+    reach: the greatest (100 + percent) * keys - percent * size of the sets below; fewest: the least of their sizes.
+    """
 
     path: np.ndarray
-    shortest: int
-    longest: int
-    items: list[int] = field(default_factory=list)
+    reach: int
+    fewest: int
+    items: list[tuple[int, int]] = field(default_factory=list)
     children: dict[int, Node] = field(default_factory=dict)
 
 
 class PrefixTree:
-    """Sets of small integers in ascending order, compressed to paths."""
+    """Sets of small integers in ascending order, compressed to paths.  A set's size also counts keys that no other set has."""
 
     def __init__(self, percent: int, universe: int):
-        self.percent, self.root = percent, Node(np.zeros(0, np.int32), 1 << 60, 0)
+        self.percent, self.root = percent, Node(np.zeros(0, np.int32), -(1 << 60), 1 << 60)
         self.inside = np.zeros(universe + 1, bool)
 
-    def add(self, item: int, ranks: np.ndarray) -> None:
+    def add(self, item: int, ranks: np.ndarray, size: int) -> None:
         node, at, n = self.root, 0, len(ranks)
+        reach = (100 + self.percent) * n - self.percent * size
         while True:
-            node.shortest, node.longest = min(node.shortest, n), max(node.longest, n)
+            node.reach, node.fewest = max(node.reach, reach), min(node.fewest, size)
             if at == n:
-                node.items.append(item)
+                node.items.append((item, size))
                 return
             child = node.children.get(int(ranks[at]))
             if child is None:
-                node.children[int(ranks[at])] = Node(ranks[at:], n, n, [item])
+                node.children[int(ranks[at])] = Node(ranks[at:], reach, size, [(item, size)])
                 return
             path = child.path
             m = min(len(path), n - at)
             apart = np.flatnonzero(path[:m] != ranks[at : at + m])
             same = int(apart[0]) if len(apart) else m
             if same < len(path):
-                upper = Node(path[:same], child.shortest, child.longest, [], {int(path[same]): child})
+                upper = Node(path[:same], child.reach, child.fewest, [], {int(path[same]): child})
                 child.path = path[same:]
                 node.children[int(ranks[at])] = child = upper
             node, at = child, at + same
 
-    def links(self, ranks: np.ndarray) -> list[int]:
+    def links(self, ranks: np.ndarray, size: int) -> list[int]:
         """Items whose sets reach the similarity with the probe.
 
-        On a walk, ``common`` keys of the path are the probe's and ``missed`` are not.  A set of size L below has at most
-        ``min(L - missed, common + probe keys after the path)`` common keys and links if 100 * common >= percent * union.
+        On a walk, ``common`` keys of the path are the probe's and ``missed`` are not.  A set below has at most all its keys but the missed
+        ones in common, and at most ``common`` and the probe's keys after the path; it links if
+        (100 + percent) * common >= percent * (both sizes).
         """
-        n, t, found, inside = len(ranks), self.percent, [], self.inside
+        t, found, inside = self.percent, [], self.inside
         inside[ranks] = True
         stack = [(c, 0, 0) for c in self.root.children.values()]
         while stack:
             node, common, missed = stack.pop()
-            if (100 + t) * min(node.longest, n) < t * (n + min(node.longest, n)) or node.shortest * t > 100 * n:
+            if node.reach - (100 + t) * missed < t * size or (100 + t) * len(ranks) < t * (size + node.fewest):
                 continue
             hits = int(np.count_nonzero(inside[node.path]))
             common, missed = common + hits, missed + len(node.path) - hits
-            rest = n - int(np.searchsorted(ranks, node.path[-1], side="right"))
-            # A set of size L has at most L - missed common keys: too few at every L up to longest, or too few in the probe.
-            if (100 + t) * (node.longest - missed) < t * (n + node.longest) or (100 + t) * (common + rest) < t * (n + node.shortest):
+            rest = len(ranks) - int(np.searchsorted(ranks, node.path[-1], side="right"))
+            if node.reach - (100 + t) * missed < t * size or (100 + t) * (common + rest) < t * (size + node.fewest):
                 continue
-            if node.items and (100 + t) * common >= t * (n + common + missed):
-                found += node.items
+            found += [i for i, n in node.items if (100 + t) * common >= t * (size + n)]
             stack += [(c, common, missed) for c in node.children.values()]
         inside[ranks] = False
         return found
@@ -159,153 +173,227 @@ def ordered_alike(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     return [np.sort(r) for r in np.split(ranks, cuts)], len(keys)
 
 
-def links_inside(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span those among a group's sets: each is looked up among those before it."""
+def links_among(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent: int, old: int = 0) -> list[tuple[int, int]]:
+    """Links that span those among a group's sets, or only those between the first ``old`` sets and the others.
+
+    Each set is looked up among those before it; one that equals an earlier set stands behind it and isn't looked up again.
+    """
     ranks, universe = ordered_alike(sets)
-    tree, forest, out = PrefixTree(percent, universe), Forest(len(ids)), []
-    for k in np.argsort([len(r) for r in ranks], kind="stable").tolist():
-        out += [(int(ids[j]), int(ids[k])) for j in tree.links(ranks[k]) if forest.join(j, k)]
-        tree.add(k, ranks[k])
+    tree, forest, out, known = PrefixTree(percent, universe), Forest(len(ids)), [], {}
+    order = np.argsort([len(r) for r in ranks], kind="stable").tolist() if not old else range(len(ids))
+    for k in order:
+        equal = known.setdefault((k < old, sizes[k], ranks[k].tobytes()), k)
+        if equal != k:
+            if forest.join(equal, k):
+                out.append((ids[equal], ids[k]))
+            continue
+        if k >= old:
+            out += [(ids[j], ids[k]) for j in tree.links(ranks[k], sizes[k]) if forest.join(j, k)]
+        if not old or k < old:
+            tree.add(k, ranks[k], sizes[k])
     return out
 
 
-def links_between(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, probe_sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span those from probes to a group's sets."""
-    ranks, universe = ordered_alike([*sets, *probe_sets])
-    tree, forest, out = PrefixTree(percent, universe), Forest(len(ranks)), []
-    for k in range(len(sets)):
-        tree.add(k, ranks[k])
-    for k in range(len(sets), len(ranks)):
-        out += [(int(ids[j]), int(probes[k - len(sets)])) for j in tree.links(ranks[k]) if forest.join(j, k)]
-    return out
+SET_SCHEMA = "pack long, doc_ids binary, known binary, sizes binary, rows binary, row_docs binary, row_sizes binary, keys binary"
+KEPT_SCHEMA = "row long, doc_id long, size long, n_keys long, rank long, prefix array<long>, keys binary"
+LINK_SCHEMA = "a long, b long"
 
 
-SET_SCHEMA = "doc_id long, n_shingles long, set_key string, survives boolean, keys binary, first array<long>, n_near int"
-LINK_SCHEMA = "a long, b long"
+def copies(table: DataFrame) -> DataFrame:
+    """pack, row, doc_id, owner, first of documents whose words equal those of another one: the least doc_id and the first row of the group."""
+
+    def emit(batches):
+        for pdf in batches:
+            for p, at, n, ids, known, digests in zip(pdf["pack"], pdf["first_row"], pdf["n_docs"], pdf["doc_ids"], pdf["known"], pdf["digests"], strict=True):
+                d = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                out = pd.DataFrame({"pack": p, "row": at + np.arange(n), "doc_id": np.frombuffer(ids, "<i8"), "high": d[:, 0], "low": d[:, 1]})
+                yield out[np.frombuffer(known, np.uint8).astype(bool) & (d != 0).any(1)]
+
+    rows = table.select("pack", "first_row", "n_docs", "doc_ids", "known", "digests").mapInPandas(emit, "pack long, row long, doc_id long, high long, low long")
+    same = rows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(same, ["high", "low"]).select("pack", "row", "doc_id", "owner", "first")
 
 
-def candidate_sets(table: DataFrame, rule: JoinRule) -> DataFrame:
-    """A row for each document: its number of keys, a digest of its set, and, if enough of its first keys occur in
-    another document, its keys and those first keys."""
+def candidate_sets(table: DataFrame, again: DataFrame, rule: JoinRule) -> DataFrame:
+    """A row for each pack: the number of keys of each document, and the keys of those of which enough first keys
+    occur in another document.  ``again`` (pack, row) has the documents that only repeat another's words."""
 
     def emit(batches):
         shingler = Shingler(rule.words)
-        n = ranges
         for pdf in batches:
             for row in pdf.itertuples():
-                pack = packs.Pack(row)
-                first = [k[: rule.first_keys(len(k))] for k in map(shingler.keys, pack.texts())]
+                pack, seen, first = packs.Pack(row), set(), []
+                for k, data in enumerate(pack.texts()):
+                    d = row.digests[16 * k : 16 * k + 16]
+                    if pack.known[k] and d not in seen:
+                        seen.add(d)
+                        keys = shingler.keys(data)
+                        first.append(keys[: rule.first_keys(len(keys))])
                 keys, counts = np.unique(np.concatenate([*first, np.zeros(0, np.uint64)]), return_counts=True)
-                yield pd.DataFrame(list(packs.split_keys(pack.id, keys, counts > 1, n)), columns=["key_range", "pack", "keys", "twice"])
+                yield pd.DataFrame(list(packs.split_keys(pack.id, keys, counts > 1, ranges)), columns=["key_range", "pack", "keys", "twice"])
 
     def decide(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        shingler, shared, rows = Shingler(rule.words), packs.keys_of(right), []
+        shingler, out = Shingler(rule.words), []
+        shared, gone = packs.keys_of(right[right["keys"].notna()]), right["rows"].dropna()
+        gone = np.sort(np.concatenate([np.asarray(x, np.int64) for x in gone])) if len(gone) else np.zeros(0, np.int64)
         for row in left.itertuples():
-            pack = packs.Pack(row)
-            for i, known, data in zip(pack.doc_ids.tolist(), pack.known.tolist(), pack.texts(), strict=True):
+            pack, sizes, kept, sets, seen = packs.Pack(row), [], [], [], {}
+            repeats = packs.member(row.first_row + np.arange(pack.n), gone)
+            for k, data in enumerate(pack.texts()):
+                d = row.digests[16 * k : 16 * k + 16]
+                if d in seen:
+                    sizes.append(seen[d])
+                    continue
                 keys = shingler.keys(data)
-                n = len(keys)
-                first = keys[: rule.first_keys(n)]
-                held = packs.member(first, shared)
-                first, n_near = first[held], int(held[: rule.near_keys(n)].sum())
-                go = known and n > 0 and len(first) >= rule.needed(n)
-                rows.append((i if known else None, n, packs_digest(keys) if go else None, go, keys.astype("<u8").tobytes() if go else None, first.view(np.int64).tolist() if go else None, n_near))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "survives", "keys", "first", "n_near"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
-
-    spark = table.sparkSession
+                n = seen[d] = len(keys)
+                sizes.append(n)
+                if n and pack.known[k] and not repeats[k] and np.count_nonzero(packs.member(keys[: rule.first_keys(n)], shared)) >= rule.needed(n):
+                    kept.append(k)
+                    sets.append(keys)
+            sizes, kept = np.asarray(sizes, "<i8"), np.asarray(kept, np.int64)
+            out.append((pack.id, row.doc_ids, row.known, sizes.tobytes(), (row.first_row + kept).astype("<i8").tobytes(), pack.doc_ids[kept].tobytes(), sizes[kept].tobytes(), np.concatenate([*sets, np.zeros(0, np.uint64)]).astype("<u8").tobytes()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SET_SCHEMA.split(", ")])
+
     size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    # A key for about every 20 bytes of text at most, and a part of them first.
+    # A key for about every five bytes of text, and a part of them first.
     share = (100 - rule.percent + rule.slack_percent) / 100
-    ranges = packs.ranges_for(size / 5 * share * 8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answers = packs.shared_keys(table.select("pack", "n_docs", "n_bytes", "doc_ids", "known", "lengths", "body").mapInPandas(emit, packs.KEY_SCHEMA))
-    return table.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(decide, SET_SCHEMA)
-
-
-def packs_digest(keys: np.ndarray) -> str:
-    import xxhash
+    ranges = packs.ranges_for(size / 5 * share * 8, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = packs.shared_keys(table.mapInPandas(emit, packs.KEY_SCHEMA)).withColumn("rows", F.lit(None).cast("array<long>"))
+    drops = again.groupBy("pack").agg(F.collect_list("row").alias("rows")).select("pack", F.lit(None).cast("binary").alias("keys"), "rows")
+    return table.groupBy("pack").cogroup(found.unionByName(drops).groupBy("pack")).applyInPandas(decide, SET_SCHEMA)
 
-    return xxhash.xxh3_128_hexdigest(keys.astype("<u8").tobytes())
 
+def _cut(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Row numbers, doc_ids, sizes and keys of the sets of a row of SET_SCHEMA."""
+    sizes = np.frombuffer(row.row_sizes, "<i8")
+    sets = np.split(np.frombuffer(row.keys, "<u8"), np.cumsum(sizes)[:-1]) if len(sizes) else []
+    return np.frombuffer(row.rows, "<i8"), np.frombuffer(row.row_docs, "<i8"), sizes, sets
 
-def _sets(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u8") for b in pdf["keys"]]
 
+def kept_sets(sets: DataFrame, rule: JoinRule) -> DataFrame:
+    """A row for each document of which enough keys are held by another one: those keys in the global order, rarest first.
 
-def links(sets: DataFrame, rule: JoinRule, directory: str) -> DataFrame:
-    """a, b: links that connect what the rule connects, from distinct ``sets`` (doc_id, n_shingles, keys, first, n_near)."""
-    tokens = sets.select("doc_id", "n_shingles", F.posexplode("first").alias("at", "key"), "n_near").select("doc_id", "n_shingles", "key", (F.col("at") < F.col("n_near")).alias("near"))
-
-    def need(percent: int):
-        """Fewest keys shared with a link, by the size of the smallest set that it can be."""
-        return F.least(F.greatest(F.lit(1), F.floor(percent * F.ceil(rule.percent * F.col("n_shingles") / 100) / 100)), F.col("n_shingles"))
+    prefix: its first keys, of which it shares one with each set that it links to.  rank: how many documents it meets by
+    them, with its row number's hash for ties.
+    """
 
-    # Keys of documents that have fallen out don't count any more, so the bound is applied again to what is left.
-    for k in range(2):
-        held = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("n_shingles", "doc_id")).alias("m")).filter("n > 1").select("key", F.col("m.doc_id").alias("centre"))
-        tokens = staged(tokens.drop("centre").join(held, "key"), directory, f"tokens-{k}")
-        good = tokens.groupBy("doc_id", "n_shingles").agg(F.count("*").alias("n")).filter(F.col("n") >= need(rule.slack_percent)).select("doc_id")
-        tokens = staged(tokens.join(good, "doc_id"), directory, f"kept-{k}")
+    def emit(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                keys, counts = np.unique(np.frombuffer(row.keys, "<u8"), return_counts=True)
+                yield pd.DataFrame(list(packs.split_counts(row.pack, keys, counts, ranges)), columns=["key_range", "pack", "keys", "counts"])
 
-    # Each document goes to the centre that it meets most often; a centre's documents are dealt into groups by size.
-    best = tokens.groupBy("doc_id", "centre").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max(F.struct("n", F.negative("centre").alias("c"))).alias("m")).select("doc_id", F.negative("m.c").alias("centre"))
-    sized = best.join(sets.select("doc_id", "n_shingles"), "doc_id")
-    parts = sized.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / rule.group_keys).cast("int").alias("parts"))
-    placed = staged(sized.join(parts, "centre").select("doc_id", "centre", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("parts")).cast("int").alias("part")), directory, "placed")
-    grouped = staged(placed.join(sets.select("doc_id", "keys"), "doc_id"), directory, "grouped", codec="none")
+    def decide(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = np.concatenate([packs.from_blob(b) for b in right["keys"]]) if len(right) else np.zeros(0, np.uint64)
+        counts = np.frombuffer(b"".join(right["counts"]), "<u4").astype(np.int64)
+        order, rows = np.argsort(held), []
+        held, counts = held[order], counts[order]
+        for one in left.itertuples():
+            for row, doc_id, n, keys in zip(*_cut(one), strict=True):
+                keys = keys[packs.member(keys, held)]
+                over = len(keys) - rule.least_overlap(int(n))
+                if over < 0:
+                    continue
+                times = counts[np.searchsorted(held, keys)]
+                order = np.lexsort((keys, times))
+                keys, prefix = keys[order], keys[order][: over + 1]
+                meets = min(int(times[order][: over + 1].sum()), (1 << 22) - 1)
+                rank = meets << 40 | int(packs.mix(np.asarray([row], np.uint64))[0] >> np.uint64(24))
+                rows.append((row, doc_id, n, len(keys), rank, prefix.view(np.int64), keys.tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in KEPT_SCHEMA.split(", ")])
+
+    size = sets.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0]
+    ranges = packs.ranges_for(size, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = sets.select("pack", "keys").filter(F.length("keys") > 0).mapInPandas(emit, packs.COUNT_SCHEMA)
+    some = sets.select("pack", "rows", "row_docs", "row_sizes", "keys").filter(F.length("keys") > 0)
+    return some.groupBy("pack").cogroup(packs.counted_keys(asked).groupBy("pack")).applyInPandas(decide, KEPT_SCHEMA)
+
+
+def _group(pdf: pd.DataFrame) -> tuple[list[int], list[np.ndarray], list[int]]:
+    return pdf["doc_id"].tolist(), [np.frombuffer(b, "<u8") for b in pdf["keys"]], pdf["size"].tolist()
+
+
+def links(kept: DataFrame, rule: JoinRule, directory: str) -> DataFrame:
+    """a, b: links that connect what the rule connects, from rows of KEPT_SCHEMA."""
+    tokens = kept.select("row", "rank", F.explode("prefix").alias("key"))
+    centres = tokens.groupBy("key").agg(F.max("rank").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
+    members = tokens.join(centres, "key").select("row", "centre").distinct().join(kept.select("row", "doc_id", "size", "n_keys", "rank"), "row")
+    members = staged(members, directory, "members")
+    loads = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_keys").alias("load")).filter("n > 1").select("centre", (F.col("load") > rule.group_keys).alias("large"))
+    placed = members.join(loads, "centre").withColumn("band", F.when(F.col("large"), F.floor(F.log("size") / rule.band_width())).otherwise(0).cast("int"))
+    bands = placed.filter("large").groupBy("centre", "band").agg(F.ceil(F.sum("n_keys") / rule.group_keys).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("row", F.lit(9)), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    placed = staged(placed.join(bands, ["centre", "band"], "left").select("centre", "band", part, "large", "row", "doc_id", "rank"), directory, "placed")
+
+    by, sets = ["centre", "band", "part"], kept.select("row", "size", "keys")
+    large = placed.filter("large")
+    cells = large.select(*by).distinct()
+    hubs = large.withColumn("k", F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("rank")))).filter(F.col("k") <= rule.hubs).select("centre", "row", "doc_id")
+    everywhere = placed.select(*by, "row", "doc_id").unionByName(hubs.join(cells, "centre").select(*by, "row", "doc_id"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(links_inside(pdf["doc_id"].to_numpy(), _sets(pdf), rule.percent) if len(pdf) > 1 else [], columns=["a", "b"]).astype("int64")
-
-    near = staged(grouped.groupBy("centre", "part").applyInPandas(inside, LINK_SCHEMA), directory, "near")
-
-    # What is left: documents of different components that share enough first keys.  The one in the smaller component
-    # probes the other's group; sums are over (document, group), never over pairs of documents.
-    comp = components(near, f"{directory}/near-components")
-    known = sets.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    weight = known.groupBy("component").agg(F.count("*").alias("members"))
-    known = known.join(weight, "component").join(placed, "doc_id").withColumn("order", F.struct("members", "component"))
-    rows = tokens.filter("near").select("doc_id", "key").join(known, "doc_id")
-    there = rows.groupBy("key", "centre", "part").agg(F.max("order").alias("most"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    mixed = there.groupBy("key").agg(F.max("most").alias("top")).join(rows.groupBy("key").agg(F.min("order").alias("low")), "key").filter("top <> low").select("key")
-    there = there.join(mixed, "key").select("key", F.col("centre").alias("to"), F.col("part").alias("to_part"), "most", "lo", "hi")
-    meets = rows.join(mixed, "key").join(there, "key").filter((F.col("most") > F.col("order")) & ((F.col("to") != F.col("centre")) | (F.col("to_part") != F.col("part"))) & (100 * F.col("n_shingles") >= rule.percent * F.col("lo")) & (100 * F.col("hi") >= rule.percent * F.col("n_shingles")))
-    probes = meets.groupBy("doc_id", "n_shingles", "to", "to_part").agg(F.count("*").alias("n")).filter(F.col("n") >= need(rule.near_percent)).select("doc_id", F.col("to").alias("centre"), F.col("to_part").alias("part"))
-    # A group's probes are dealt into blocks, each with a copy of the group.
-    probes = staged(probes.join(sets.select("doc_id", "n_shingles", "keys"), "doc_id"), directory, "probes", codec="none")
-    blocks = probes.groupBy("centre", "part").agg(F.ceil(F.sum("n_shingles") / rule.group_keys).cast("int").alias("blocks"))
-    dealt = probes.join(blocks, ["centre", "part"]).select("doc_id", "keys", "centre", "part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks")).cast("int").alias("block"))
-    copies = grouped.join(blocks, ["centre", "part"]).select("doc_id", "keys", "centre", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        pdf = pdf.drop_duplicates("row")
+        return pd.DataFrame(links_among(*_group(pdf), rule.percent) if len(pdf) > 1 else [], columns=["a", "b"]).astype("int64")
+
+    near = staged(everywhere.join(sets, "row").groupBy(*by).applyInPandas(inside, LINK_SCHEMA), directory, "near")
+    if large.isEmpty():
+        return near
+
+    # Parts of a large centre: documents outside its largest component probe the parts of their band and the next ones.
+    comp = components(near, f"{directory}/near-components").withColumnRenamed("node", "doc_id")
+    mine = large.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    top = mine.groupBy("centre", "component").agg(F.count("*").alias("n")).groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
+    odd = staged(mine.join(top, "centre").filter("component <> top").select("centre", "band", "part", "row", "doc_id"), directory, "odd")
+    there = cells.select("centre", F.col("band").alias("to_band"), F.col("part").alias("to_part"))
+    other = (F.abs(F.col("band") - F.col("to_band")) <= 1) & ((F.col("band") != F.col("to_band")) | (F.col("part") != F.col("to_part")))
+    probes = odd.join(there, "centre").filter(other).select("centre", F.col("to_band").alias("band"), F.col("to_part").alias("part"), "row", "doc_id").join(sets, "row")
+    # A part's probes are dealt into blocks, each with a copy of the part.
+    blocks = probes.groupBy(*by).agg(F.ceil(F.sum(F.length("keys")) / (8 * rule.group_keys)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("row", F.lit(4)), F.col("blocks")).cast("int").alias("block")
+    dealt = probes.join(blocks, by).select(*by, block, "doc_id", "size", "keys")
+    held = large.join(blocks, by).select(*by, "row", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets, "row")
 
     def between(key, group: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        found = links_between(group["doc_id"].to_numpy(), _sets(group), asking["doc_id"].to_numpy(), _sets(asking), rule.percent) if len(group) and len(asking) else []
+        both = pd.concat([group, asking], ignore_index=True)
+        found = links_among(*_group(both), rule.percent, len(group)) if len(group) and len(asking) else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    by = ["centre", "part", "block"]
-    far = copies.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(between, LINK_SCHEMA)
+    far = held.groupBy(*by, "block").cogroup(dealt.groupBy(*by, "block")).applyInPandas(between, LINK_SCHEMA)
     return near.unionByName(staged(far, directory, "far"))
 
 
+def sizes_of(sets: DataFrame) -> DataFrame:
+    """doc_id, n_shingles of every document."""
+
+    def emit(batches):
+        for pdf in batches:
+            for ids, known, sizes in zip(pdf["doc_ids"], pdf["known"], pdf["sizes"], strict=True):
+                out = pd.DataFrame({"doc_id": pd.array(np.frombuffer(ids, "<i8"), "Int64"), "n_shingles": np.frombuffer(sizes, "<i8")})
+                out.loc[~np.frombuffer(known, np.uint8).astype(bool), "doc_id"] = pd.NA
+                yield out
+
+    return sets.select("doc_ids", "known", "sizes").mapInPandas(emit, "doc_id long, n_shingles long")
+
+
 def join_digest(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
-    Equal sets are one set with many documents before anything is compared.  Null and blank texts have an empty set,
-    link with nothing and are their own component; so do rows without doc_id.  Rows that repeat a doc_id get its component.
-    Where a doc_id comes with different texts and is the smallest of two sets, only one of the two is compared with others.
-    Other columns are ignored; an empty table gives no rows.
+    Documents with equal words are one set before anything is compared.  Null and blank texts have an empty set,
+    link with nothing and are their own component; so do rows without doc_id.  Rows that repeat a doc_id get its component, also where
+    their texts differ: each text is compared, and all its links are the doc_id's.  Other columns are ignored; an empty table gives no rows.
     """
-    directory = shared_dir(docs.sparkSession)
-    table = packs.staged_packs(docs, directory)
-    found = staged(candidate_sets(table, rule), directory, "sets", codec="lz4")
-    alive = found.filter("survives")
-    owners = alive.groupBy("set_key").agg(F.min("doc_id").alias("owner"))
-    members = staged(alive.select("doc_id", "set_key").join(owners, "set_key").select("doc_id", "owner").distinct(), directory, "members")
-    reps = alive.join(members.filter("doc_id = owner").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = staged(reps.select("doc_id", "n_shingles", "keys", "first", "n_near"), directory, "reps", codec="lz4")
-    all_links = links(reps, rule, directory).unionByName(members.filter("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b")))
-    comp = components(all_links, f"{directory}/components").withColumnRenamed("node", "doc_id")
-    return found.select("doc_id", "n_shingles").join(comp, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    spark, directory = docs.sparkSession, shared_dir(docs.sparkSession)
+    table = packs.staged_packs(docs, directory, digest=word_digest)
+    same = staged(copies(table), directory, "copies")
+    sets = staged(candidate_sets(table, same.filter("row <> first").select("pack", "row"), rule), directory, "sets", codec="none")
+    counts = staged(sizes_of(sets), directory, "sizes")
+    discard(spark, directory, "packs")
+    kept = staged(kept_sets(sets, rule), directory, "kept", codec="none")
+    discard(spark, directory, "sets")
+    found = links(kept, rule, directory).unionByName(same.filter("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b")))
+    comp = staged(components(found, f"{directory}/components"), directory, "components-done").withColumnRenamed("node", "doc_id")
+    discard(spark, directory, "kept", "members", "placed", "odd", "near", "far", "near-components", "components", "copies")
+    return counts.join(comp, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:

@@ -7,7 +7,7 @@ no task ever holds more than a key range, whose number follows the input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,28 +19,31 @@ from ._shared import staged
 PACK_BYTES = 2 << 20
 #: Mean bytes of keys in a range.
 RANGE_BYTES = 8 << 20
-PACK_SCHEMA = "pack long, n_docs long, n_bytes long, doc_ids binary, known binary, lengths binary, body binary"
+PACK_SCHEMA = "pack long, n_docs long, n_bytes long, first_row long, doc_ids binary, known binary, lengths binary, digests binary, body binary"
 KEY_SCHEMA = "key_range int, pack long, keys binary, twice binary"
 SHARED_SCHEMA = "pack long, keys binary"
+COUNT_SCHEMA = "key_range int, pack long, keys binary, counts binary"
+COUNTED_SCHEMA = "pack long, keys binary, counts binary"
 
 
-def staged_packs(docs: DataFrame, directory: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def staged_packs(docs: DataFrame, directory: str, pack_bytes: int = PACK_BYTES, digest: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """A table of packs in the shared folder, written by one narrow pass over ``docs`` (doc_id, text).
 
-    Null texts are empty; null doc_ids are marked as unknown.  A text longer than a pack is a pack of its own.
+    Null texts are empty; null doc_ids are marked as unknown.  A text longer than a pack is a pack of its own.  ``digest``
+    gives 16 bytes of each text, kept beside the texts.  A row's number (``first_row`` and its place in the pack) is its own.
     """
 
     def pack(batches):
         import zstandard
         from pyspark import TaskContext
 
-        codec, base, seq = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32, 0
-        ids, texts, size = [], [], 0
+        codec, base, seq = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        ids, texts, size, row_number = [], [], 0, base << 40
 
         def close():
-            nonlocal ids, texts, size, seq
-            row = (base + seq, len(ids), size, np.asarray([0 if i is None else i for i in ids], "<i8").tobytes(), np.asarray([i is not None for i in ids], np.uint8).tobytes(), np.asarray([len(t) for t in texts], "<i8").tobytes(), codec.compress(b"".join(texts)))
-            ids, texts, size, seq = [], [], 0, seq + 1
+            nonlocal ids, texts, size, seq, row_number
+            row = ((base << 32) + seq, len(ids), size, row_number, np.asarray([0 if i is None else i for i in ids], "<i8").tobytes(), np.asarray([i is not None for i in ids], np.uint8).tobytes(), np.asarray([len(t) for t in texts], "<i8").tobytes(), b"".join(map(digest, texts)) if digest else b"", codec.compress(b"".join(texts)))
+            ids, texts, size, seq, row_number = [], [], 0, seq + 1, row_number + len(ids)
             return pd.DataFrame([row], columns=[c.split()[0] for c in PACK_SCHEMA.split(", ")])
 
         for pdf in batches:
@@ -100,14 +103,28 @@ def ranges_for(n_keys_bytes: float, least: int) -> int:
     return max(least, int(n_keys_bytes / RANGE_BYTES) + 1)
 
 
+def range_cuts(keys: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """The key ranges (of ``n``) that sorted keys fall in, and where each of them starts, with the end: work by keys, not by ranges."""
+    if not len(keys):
+        return [], [0]
+    high, low = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    at = (high * np.uint64(n) + (low * np.uint64(n) >> np.uint64(32))) >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[first].tolist(), [*first.tolist(), len(keys)]
+
+
 def split_keys(pack: int, keys: np.ndarray, twice: np.ndarray, n: int) -> Iterator[tuple]:
     """Rows of KEY_SCHEMA from a pack's sorted distinct keys; ``twice`` marks those in two of its documents."""
-    bounds = np.asarray([min((k << 64) // n, (1 << 64) - 1) for k in range(1, n)], np.uint64)
-    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-    for k in range(n):
-        a, b = cuts[k], cuts[k + 1]
-        if b > a:
-            yield k, pack, to_blob(keys[a:b]), np.packbits(twice[a:b]).tobytes()
+    ranges, cuts = range_cuts(keys, n)
+    for k, a, b in zip(ranges, cuts[:-1], cuts[1:], strict=True):
+        yield k, pack, to_blob(keys[a:b]), np.packbits(twice[a:b]).tobytes()
+
+
+def split_counts(pack: int, keys: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple]:
+    """Rows of COUNT_SCHEMA from a pack's sorted distinct keys and the number of its documents that hold each."""
+    ranges, cuts = range_cuts(keys, n)
+    for k, a, b in zip(ranges, cuts[:-1], cuts[1:], strict=True):
+        yield k, pack, to_blob(keys[a:b]), counts[a:b].astype("<u4").tobytes()
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -126,6 +143,23 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key_range").applyInPandas(find, SHARED_SCHEMA)
 
 
+def counted_keys(rows: DataFrame) -> DataFrame:
+    """For each pack and range, its keys that at least two documents hold and in how many, from rows of COUNT_SCHEMA."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, counts = [from_blob(b) for b in pdf["keys"]], [np.frombuffer(c, "<u4") for c in pdf["counts"]]
+        keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(back.ravel(), np.concatenate(counts), len(keys)).astype(np.int64)
+        out = []
+        for i, p in zip(pdf["pack"], parts, strict=True):
+            n = total[np.searchsorted(keys, p)]
+            if (n > 1).any():
+                out.append((i, to_blob(p[n > 1]), np.minimum(n[n > 1], 0xFFFFFFFF).astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["pack", "keys", "counts"])
+
+    return rows.groupBy("key_range").applyInPandas(find, COUNTED_SCHEMA)
+
+
 def keys_of(pdf: pd.DataFrame) -> np.ndarray:
     """The sorted keys of all of a pack's answers."""
     return np.sort(np.concatenate([from_blob(b) for b in pdf["keys"]])) if len(pdf) else np.zeros(0, np.uint64)

@@ -275,11 +275,6 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _range_cuts(keys: np.ndarray, n: int) -> list[int]:
-    bounds = np.asarray([min((k << 64) // n, (1 << 64) - 1) for k in range(1, n)], np.uint64)
-    return [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-
-
 def removed_bytes(runs_: Runs, least: list[np.ndarray], pack: packs.Pack, length: int) -> np.ndarray:
     """Marks the bytes of a pack that a window covers which an earlier document has."""
     edge = np.zeros(len(pack.data) + 1, np.int32)
@@ -312,11 +307,10 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
         for row in left.itertuples():
             pack = packs.Pack(row)
             r = Runs(pack, shared, n) if len(shared) else None
-            cuts = _range_cuts(r.keys, ranges) if r else [0]
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    sizes = np.asarray([len(t) for t in r.texts[a:b]], "<i4").tobytes()
-                    rows.append((k, pack.id, b - a, packs.to_blob(r.keys[a:b]), r.owner[a:b].astype("<i8").tobytes(), sizes, _packed(b"".join(r.texts[a:b]))))
+            held, cuts = packs.range_cuts(r.keys, ranges) if r else ([], [0])
+            for k, a, b in zip(held, cuts[:-1], cuts[1:], strict=True):
+                sizes = np.asarray([len(t) for t in r.texts[a:b]], "<i4").tobytes()
+                rows.append((k, pack.id, b - a, packs.to_blob(r.keys[a:b]), r.owner[a:b].astype("<i8").tobytes(), sizes, _packed(b"".join(r.texts[a:b]))))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
 
     def sort_range(pdf: pd.DataFrame) -> pd.DataFrame:

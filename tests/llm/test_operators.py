@@ -333,11 +333,44 @@ def test_keep_first_keeps_all_rows_of_a_kept_doc_id(spark):
 def test_prefix_tree_finds_every_link(seed):
     rng = random.Random(seed)
     base = [rng.sample(range(200), 60) for _ in range(4)]
-    sets = [np.asarray(sorted(set(rng.choice(base)[: rng.randint(40, 60)]) ^ set(rng.sample(range(200), rng.randint(0, 4)))), np.uint64) for _ in range(60)]
-    ids = np.arange(60)
-    whole = brute.components(list(range(60)), lambda a, b: brute.similar(frozenset(sets[a].tolist()), frozenset(sets[b].tolist()), 85))
-    links = set(ngram_join.links_inside(ids, sets, 85))
-    assert brute.components(list(range(60)), lambda a, b: (a, b) in links or (b, a) in links) == whole
+    sets = [sorted(set(rng.choice(base)[: rng.randint(40, 60)]) ^ set(rng.sample(range(200), rng.randint(0, 4)))) for _ in range(60)]
+    held = [np.asarray(s, np.uint64) for s in sets]
+    sizes = [len(s) + rng.randint(0, 6) for s in sets]  # with keys that no other set has
+    full = [frozenset(s) | {(k, j) for j in range(n - len(s))} for k, (s, n) in enumerate(zip(sets, sizes, strict=True))]
+    linked = lambda a, b: brute.similar(full[a], full[b], 85)
+    ids = list(range(60))
+    links = set(ngram_join.links_among(ids, held, sizes, 85))
+    assert all(linked(a, b) for a, b in links)
+    assert brute.components(ids, lambda a, b: (a, b) in links or (b, a) in links) == brute.components(ids, linked)
+    across = set(ngram_join.links_among(ids, held, sizes, 85, 30))
+    far = lambda a, b: (a < 30) != (b < 30) and linked(a, b)
+    own = lambda a, b: held[a].tolist() == held[b].tolist() and sizes[a] == sizes[b]
+    got = brute.components(ids, lambda a, b: (a, b) in across or (b, a) in across or own(a, b) and (a < 30) == (b < 30))
+    assert got == brute.components(ids, lambda a, b: far(a, b) or own(a, b) and (a < 30) == (b < 30))
+
+
+@pytest.mark.parametrize("group_keys", [60, 400, 150_000])
+def test_large_centres_lose_no_link(spark, group_keys):
+    """A group of near copies, most of them linked in chains, some only by a document of another part, and blocks of unlike sizes."""
+    rng = random.Random(group_keys)
+    words = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(120):
+        own = words[: rng.randint(45, 90)]
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(own)))
+    rows += [(7, " ".join(f"y{k}" for k in range(30))), (200, " ".join(f"Y{k} " for k in range(30))), (7, rows[3][1])]
+    sets = [brute.shingles(t, 3) for _, t in rows]
+    same = lambda a, b: rows[a][0] == rows[b][0] or brute.similar(sets[a], sets[b], 80)
+    comp = brute.components(list(range(len(rows))), same)
+    least = {}
+    for k, c in comp.items():
+        least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    rule = ngram_join.JoinRule(words=3, percent=80, group_keys=group_keys, hubs=2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_digest(frame, rule).collect()}
+    assert got == {(i, len(sets[k]), least[comp[k]]) for k, (i, _) in enumerate(rows)}
 
 
 def test_components(spark):
