@@ -199,8 +199,11 @@ KEPT_SCHEMA = "row long, doc_id long, size long, n_keys long, rank long, prefix
 LINK_SCHEMA = "a long, b long"
 
 
-def copies(table: DataFrame) -> DataFrame:
-    """pack, row, doc_id, owner, first of documents whose words equal those of another one: the least doc_id and the first row of the group."""
+def copies(table: DataFrame, directory: str) -> DataFrame:
+    """pack, row, doc_id, owner, first of documents whose words equal those of another one: the least doc_id and the first row of the group.
+
+    Groups are a finished table before the join, so that Spark can split the rows of a very large one.
+    """
 
     def emit(batches):
         for pdf in batches:
@@ -211,6 +214,7 @@ def copies(table: DataFrame) -> DataFrame:
 
     rows = table.select("pack", "first_row", "n_docs", "doc_ids", "known", "digests").mapInPandas(emit, "pack long, row long, doc_id long, high long, low long")
     same = rows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    same = staged(same.drop("n"), directory, "owners")
     return rows.join(same, ["high", "low"]).select("pack", "row", "doc_id", "owner", "first")
 
 
@@ -384,7 +388,7 @@ def join_digest(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     """
     spark, directory = docs.sparkSession, shared_dir(docs.sparkSession)
     table = packs.staged_packs(docs, directory, digest=word_digest)
-    same = staged(copies(table), directory, "copies")
+    same = staged(copies(table, directory), directory, "copies")
     sets = staged(candidate_sets(table, same.filter("row <> first").select("pack", "row"), rule), directory, "sets", codec="none")
     counts = staged(sizes_of(sets), directory, "sizes")
     discard(spark, directory, "packs")
@@ -392,7 +396,7 @@ def join_digest(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     discard(spark, directory, "sets")
     found = links(kept, rule, directory).unionByName(same.filter("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b")))
     comp = staged(components(found, f"{directory}/components"), directory, "components-done").withColumnRenamed("node", "doc_id")
-    discard(spark, directory, "kept", "members", "placed", "odd", "near", "far", "near-components", "components", "copies")
+    discard(spark, directory, "kept", "members", "placed", "odd", "near", "far", "near-components", "components", "copies", "owners")
     return counts.join(comp, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
