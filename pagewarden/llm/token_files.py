@@ -8,9 +8,12 @@ block, so the chunks of any token are found by two additions a level and no bloc
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,69 +28,108 @@ BLOCK_BITS = 512
 
 END_ID = 2
 FILE_TOKENS = 4_000_000
+#: Tokens of documents that are read back at once.
+STEP_TOKENS = 1 << 18
 CACHE_WORDS = 600_000
 MANIFEST_SCHEMA = "path string, first_doc long, n_docs long, n_tokens long, part int, seq int"
 READ_SCHEMA = "doc_id long, local_start long, n_tokens long, ids_crc32 long, path string"
 
 
-class SegmentCache(dict):
-    """Ids of a segment as little-endian unsigned 32-bit bytes; misses are encoded by the library.
+#: A space before another white-space character, or at the end of a text: there a cut at each space is not a cut between words.
+ODD_SPACE = re.compile(r" (?=\s|$)")
+#: A non-space character before a space and another non-space character.
+CUT = re.compile(r"\S(?= \S)")
+#: What a word is made of where its parts are plain: each part is pre-tokenised alone.  Others are encoded whole.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SIGNS = r"!-&(-/:-@\[-`{-~"
+RUN = rf" ?[{LETTERS}]++|[0-9]++|[{SIGNS}]++|\n(?!\n)"
+#: Signs are those of ASCII but the apostrophe, which may begin a contraction.
+#: A word without its space; one that begins with a digit or a sign would take the space into that run.
+PLAIN_WORD = re.compile(rf"(?=[{LETTERS}])(?:{RUN[2:]}){{1,20}}")
+#: Between the words that are cut together: a character that no plain word has, and 32 bits that are no id.
+MARK, MARK_IDS = "\x01", b"\xff" * 4
+RUNS = re.compile(f"{RUN}|{MARK}")
+
+
+class WordCache(dict):
+    """Ids of a word with the space before it, as little-endian unsigned 32-bit bytes, by the word without that space.
 
     Byte-level pre-tokenising starts a new word at every space before a non-space character, and merges do
-    not cross words, so a text's ids are those of its segments.  The cache is emptied when it is full.
+    not cross words, so a text's ids are those of its words.  A new word is cut further into runs of letters, digits and
+    punctuation, which are pre-tokens of their own; only new runs are merged by the library.
+    Both tables are emptied when they are full.
     """
 
     def __init__(self, tokenizer, limit: int = CACHE_WORDS):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
-        #: Tokens that begin with a space: exactly the first tokens of segments without another space.
-        vocabulary = tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-
-    def __missing__(self, segment: str) -> bytes:
-        ids = self.encode(segment).tobytes()
-        if len(segment) < 64:
-            self[segment] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        self.tokenizer, self.model, self.limit, self.parts = tokenizer, tokenizer.model, limit, {}
+        self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        #: The library's own letters for the bytes of each character of a plain run.
+        self.letters = {c: "".join(x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))) for c in range(256) if c in b" \n" or PLAIN_WORD.fullmatch("a" + chr(c))}
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of new words.  A plain run is one pre-token, so the library's model alone has to merge it."""
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        parts, tokenize, plain = self.parts, self.model.tokenize, [w for w in words if PLAIN_WORD.fullmatch(w)]
+        if plain:
+            parts[MARK] = MARK_IDS
+            runs = RUNS.findall(" " + f"{MARK} ".join(plain))
+            new = list(set(runs) - parts.keys())
+            letters = MARK.join(new).translate(self.letters).split(MARK) if new else []
+            parts.update(zip(new, [array("I", [t.id for t in tokenize(x)]).tobytes() for x in letters], strict=True))
+            self.update(zip(plain, b"".join(map(parts.__getitem__, runs)).split(MARK_IDS), strict=True))
+        for w in words.difference(plain):
+            self[w] = self.encode(" " + w)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the new segments of all are encoded in a few calls, as texts of their own."""
+        """The ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        cut, heads, new = {}, {}, set()
+        for k, text in enumerate(texts):
+            if ODD_SPACE.search(text) is not None or any(s in text for s in self.specials):
+                out[k] = self.odd(text)
+            elif text:
+                words = cut[k] = text.split(" ")
+                heads[k] = words.pop(0)
+                new.update(words)
         if len(self) > self.limit:
             self.clear()
-        cut = [segments(t) for t in texts]
-        new = list({s for c in cut for s in c if s not in self and len(s) < 64 and s[0] == " " and " " not in s[1:]})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            ids = self.encode("".join(part))
-            at = np.flatnonzero(self.starts[ids]).tolist()
-            if len(at) == len(part):
-                data = ids.tobytes()
-                self.update(zip(part, [data[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
-
-
-def segments(text: str) -> list[str]:
-    """The text cut before each space that a non-space character follows."""
-    head, *rest = text.split(" ")
-    if "" not in rest and not any(p[0].isspace() for p in rest):
-        return [head, *(" " + p for p in rest)] if head else [" " + p for p in rest]
-    out = [head]
-    for p in rest:
-        if p and not p[0].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out if out[0] else out[1:]
-
-
-_caches: dict[str, SegmentCache] = {}
-
-
-def segment_cache(path: str) -> SegmentCache:
+        new -= self.keys()
+        self.learn(new)
+        for k, words in cut.items():
+            out[k] = self.head(heads[k]) + b"".join(map(self.__getitem__, words))
+        for w in new:
+            if len(w) >= 64:
+                del self[w]
+        return out
+
+    def head(self, word: str) -> bytes:
+        """Ids of a text's first word, which has no space before it."""
+        return self.encode(word) if word else b""
+
+    def odd(self, text: str) -> bytes:
+        """Ids of a text with runs of spaces or special tokens, cut before each space that a non-space character follows."""
+        return b"".join(map(self.encode, whole_segments(text))) if len(text) > 1 << 16 else self.encode(text)
+
+
+def whole_segments(text: str, size: int = 1 << 14) -> Iterator[str]:
+    """Long texts in pieces of about ``size`` characters, cut before a space that stands between two non-space characters."""
+    at = 0
+    while at < len(text):
+        cut = CUT.search(text, at + size)
+        end = cut.start() + 1 if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+_caches: dict[str, WordCache] = {}
+
+
+def segment_cache(path: str) -> WordCache:
     """One tokenizer and cache for each worker process."""
     if path not in _caches:
         import os
@@ -95,7 +137,7 @@ def segment_cache(path: str) -> SegmentCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _caches[path] = SegmentCache(Tokenizer.from_file(path))
+        _caches[path] = WordCache(Tokenizer.from_file(path))
     return _caches[path]
 
 
@@ -123,39 +165,50 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
 
 
 class TokenFile:
-    """Reads a file's bytes: any token alone, a document, or all."""
+    """Reads a file by ranges: the header, then for any tokens only their chunks, continuation bits and one rank a level.
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
-            raise ValueError("not a token file")
-        n = struct.unpack_from("<I", data, 8)[0]
-        self.head = json.loads(data[12 : 12 + n])
-        self.n_tokens, at = self.head["n_tokens"], 12 + n
-        view = lambda kind, off, count: np.frombuffer(data, kind, count, at + off)
-        d = self.head["docs"]
-        self.doc_ids, self.starts = view("<i8", d["ids"], d["n"]), view("<i8", d["starts"], d["n"] + 1)
-        self.levels = [(view("u1", x["chunks"], x["n"]), view("u1", x["bits"], -(-x["n"] // 8)), view("<u4", x["ranks"], -(-x["n"] // BLOCK_BITS))) for x in self.head["levels"]]
+    ``source`` is an open file with ``read_at(bytes, offset)``.
+    """
 
-    def token(self, i: int) -> int:
-        value, shift = 0, 0
-        for chunks, bits, ranks in self.levels:
-            value |= int(chunks[i]) << shift
-            if not bits[i >> 3] >> (i & 7) & 1:
+    def __init__(self, source):
+        start = source.read_at(12, 0)
+        if start[:8] != MAGIC:
+            raise ValueError("not a token file")
+        n = struct.unpack_from("<I", start, 8)[0]
+        self.source, self.head, self.base = source, json.loads(source.read_at(n, 12)), 12 + n
+        self.n_tokens, d = self.head["n_tokens"], self.head["docs"]
+        self.doc_ids, self.starts = self._read("<i8", d["ids"], 0, d["n"]), self._read("<i8", d["starts"], 0, d["n"] + 1)
+
+    def _read(self, kind: str, place: int, a: int, b: int) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.source.read_at(width * (b - a), self.base + place + width * a), kind)
+
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """The ids of tokens a up to b.  On each level the tokens that go on are found from the rank of the first one's block."""
+        levels = []
+        for level in self.head["levels"]:
+            if a >= b:
                 break
-            block = i // BLOCK_BITS
-            inside = np.unpackbits(bits[block * BLOCK_BITS // 8 : (i >> 3) + 1], bitorder="little")[: i - block * BLOCK_BITS]
-            i, shift = int(ranks[block]) + int(inside.sum()), shift + 8
-        return value
-
-    def all(self) -> np.ndarray:
+            block = a // BLOCK_BITS
+            first = block * BLOCK_BITS
+            bits = np.unpackbits(self._read("u1", level["bits"], first >> 3, (b + 7) >> 3), bitorder="little")
+            more = bits[a - first : b - first].astype(bool)
+            levels.append((self._read("u1", level["chunks"], a, b), more))
+            a = int(self._read("<u4", level["ranks"], block, block + 1)[0]) + int(bits[: a - first].sum())
+            b = a + int(more.sum())
         above = np.zeros(0, "<u4")
-        for chunks, bits, _ in reversed(self.levels):
+        for chunks, more in reversed(levels):
             value = chunks.astype("<u4")
-            more = np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)
             value[more] |= above << 8
             above = value
         return above
 
+    def token(self, i: int) -> int:
+        return int(self.slice(i, i + 1)[0])
+
+    def document(self, k: int) -> np.ndarray:
+        return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
+
 
 def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write files in ascending doc_id order; returns the manifest of files.
@@ -197,7 +250,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
             yield close()
 
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(write, MANIFEST_SCHEMA)
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInPandas(write, MANIFEST_SCHEMA)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -208,9 +261,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for pdf in batches:
             for path in pdf["path"]:
                 with reading(path) as source:
-                    file = TokenFile(source.read())
-                ids, starts = file.all(), file.starts
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                    file = TokenFile(source)
+                    starts = file.starts
+                    # Documents in steps of about STEP_TOKENS, each step addressed through the rank directories.
+                    steps = np.unique(np.searchsorted(starts, np.arange(0, file.n_tokens + STEP_TOKENS, STEP_TOKENS), side="left"))
+                    crc = []
+                    for x, y in zip(steps[:-1].tolist(), np.minimum(steps[1:], len(starts) - 1).tolist(), strict=True):
+                        data, at = memoryview(file.slice(int(starts[x]), int(starts[y])).tobytes()), (4 * (starts[x : y + 1] - starts[x])).tolist()
+                        crc += [zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 out = pd.DataFrame({"doc_id": pd.array(file.doc_ids, "Int64"), "local_start": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": crc, "path": path})
                 out.loc[out["doc_id"] == missing, "doc_id"] = pd.NA
                 yield out

@@ -148,7 +148,7 @@ def test_token_files(spark, rows, docs, empty):
 
     path = tokenizers_.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    every = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    every = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     want, at = [], 0
     for i, t in every:
         ids = [*lib.encode(t, add_special_tokens=False).ids, 2]
@@ -159,11 +159,40 @@ def test_token_files(spark, rows, docs, empty):
     assert token_files.token_digest(empty, path).count() == 0
 
 
+class Bytes:
+    """An open file that counts what is read of it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.read = data, 0
+
+    def read_at(self, n: int, at: int) -> bytes:
+        self.read += n
+        return self.data[at : at + n]
+
+
 def test_token_file_random_access():
     rng = np.random.default_rng(1)
-    ids = rng.integers(0, 70_000, 5000).astype("<u4")
-    file = token_files.TokenFile(token_files.pack(ids, np.asarray([1, 2]), np.asarray([0, 2000, 5000])))
-    assert (file.all() == ids).all() and all(file.token(k) == ids[k] for k in (0, 511, 512, 513, 4095, 4999))
+    ids = rng.integers(0, 70_000, 50_000).astype("<u4")
+    source = Bytes(token_files.pack(ids, np.asarray([1, 2]), np.asarray([0, 2000, 50_000])))
+    file = token_files.TokenFile(source)
+    source.read = 0
+    assert all(file.token(k) == ids[k] for k in (0, 511, 512, 513, 4095, 49_999)) and source.read < 6 * 3 * 80
+    assert (file.document(0) == ids[:2000]).all() and (file.document(1) == ids[2000:]).all() and len(file.slice(7, 7)) == 0
+
+
+def test_words_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizers_.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    cache = token_files.WordCache(lib, limit=300)
+    bits = ["foo", "Bär", "é", "ñandú", "x9", "12", ",", ".", "!?", "'s", "don't", "\n", "\n\n", "\t", " ", "  ", "-", "(", '"', "<|endoftext|>", "ǅ", "日本", "\u00a0", "½", "😀", "_", "\r\n", "a" * 70, "\x00"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 12))) for _ in range(5)]
+        for text, got in zip(texts, cache.ids(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    long = "".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(60_000))
+    assert np.frombuffer(cache.ids([long])[0], "<u4").tolist() == lib.encode(long, add_special_tokens=False).ids
 
 
 def test_language_codes(spark, docs, empty):
