@@ -19,20 +19,22 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, staged
+from ._shared import discard, shared_dir, staged
 from .components import Forest, components
 
 
 @dataclass(frozen=True)
 class CapFilters:
     """load: filters that a vector passes at least; bucket: expected vectors of a filter (sets their number); chunk: rows of a task's block;
-    each: filters that a vector passes in one code; recall: share of pairs just at the threshold that meet, on random ones."""
+    each: filters that a vector passes in one code; recall: share of pairs just at the threshold that meet, on random ones.
+
+    Codes are added until ``recall`` is met, so ``load`` is only the fewest filters to start from; each filter costs a copy of the vector."""
 
     threshold: float = 0.95
-    load: float = 20.0
+    load: float = 8.0
     bucket: float = 200.0
     blocks: int = 3
     chunk: int = 2048
@@ -143,10 +145,10 @@ def filter_lists(x: np.ndarray, codes: list[tuple], each: int) -> list[np.ndarra
     return [np.concatenate(fs) for fs in zip(*lists, strict=True)]
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """The vectors that can link: not null, not zero, all components finite."""
+def can_link() -> Column:
+    """A vector can link if it is not null, not zero, and all its components are finite."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda v: v != 0))
+    return F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -156,72 +158,79 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-MEMBER_SCHEMA = "filter long, dims int, vec_id long, copies long, filters binary, vector binary"
+LIST_SCHEMA = "vec_id long, copies long, dims int, filters array<long>, vector binary"
 #: Bytes of members that a task reads, about.
 TASK_BYTES = 8 << 20
 FOUND_SCHEMA = "vec_id long, other long, links long"
 
 
-def near_links(spark: SparkSession, reps: DataFrame, options: CapFilters) -> DataFrame:
+def met_before(lists: list[np.ndarray], name: int) -> np.ndarray:
+    """A row for each list and a column for each filter below ``name`` that two of the lists have: 1 where the list has it."""
+    earlier = [f[f < name] for f in lists]
+    flat, of = np.concatenate(earlier), np.repeat(np.arange(len(lists)), [len(f) for f in earlier])
+    names, back, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    keep = counts[back] > 1
+    out = np.zeros((len(lists), int((counts > 1).sum())), np.float32)
+    out[of[keep], column[back[keep]]] = 1
+    return out
+
+
+def near_links(reps: DataFrame, options: CapFilters, directory: str) -> DataFrame:
     """vec_id, other, links from distinct vectors ``reps`` (vec_id, copies, embedding).
 
     Rows with ``other`` are links that span what a task found; rows with ``links`` count copies linked to a vector.  A pair that
     meets in several filters counts in the first.  A filter with more than ``chunk`` vectors is split into blocks, and
     each pair of blocks is a task of its own, so no task holds more than about two blocks.
     """
-    n = reps.count()
+    spark, n = reps.sparkSession, reps.count()
     sizes = [r[0] for r in reps.select(F.size("embedding").alias("n")).distinct().limit(64).collect()]
     kind = "<f4" if reps.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     made = {d: covering(d, n, options)[0] for d in sizes}
     load = options.each * max(map(len, made.values()), default=0)
 
-    def spread(batches):
+    def listed(batches):
         for pdf in batches:
             for d, part in pdf.groupby(pdf["embedding"].map(len)):
                 if d not in made:
                     made[d] = covering(d, n, options)[0]
                 x = unit(np.stack(part["embedding"].to_numpy()))
                 for at in range(0, len(x), 512):
-                    lists = filter_lists(x[at : at + 512], made[d], options.each)
                     rows = part.iloc[at : at + 512]
-                    of = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
-                    packed, raw = np.asarray([f.astype("<i8").tobytes() for f in lists], object), np.asarray([np.asarray(v, kind).tobytes() for v in rows["embedding"]], object)
-                    yield pd.DataFrame({"filter": np.concatenate(lists), "dims": d, "vec_id": rows["vec_id"].to_numpy()[of], "copies": rows["copies"].to_numpy()[of], "filters": packed[of], "vector": raw[of]})
+                    raw = [np.asarray(v, kind).tobytes() for v in rows["embedding"]]
+                    yield pd.DataFrame({"vec_id": rows["vec_id"].to_numpy(), "copies": rows["copies"].to_numpy(), "dims": d, "filters": filter_lists(x[at : at + 512], made[d], options.each), "vector": raw})
 
-    members = reps.mapInPandas(spread, MEMBER_SCHEMA)
-    counts = members.select("filter", "dims").groupBy("filter", "dims").agg(F.count("*").alias("size")).filter("size > 1")
-    parts = members.join(counts, ["filter", "dims"]).withColumn("k", F.ceil(F.col("size") / options.chunk).cast("int"))
+    lists = staged(reps.mapInPandas(listed, LIST_SCHEMA), directory, "lists")
+    # Only the filters that have to be split are joined, which are few; the others' members move once.
+    split = lists.select(F.explode("filters").alias("filter"), "dims").groupBy("filter", "dims").agg(F.ceil(F.count("*") / options.chunk).cast("int").alias("k")).filter("k > 1")
+    parts = lists.select(F.explode("filters").alias("filter"), "*").join(split, ["filter", "dims"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     parts = parts.withColumn("own", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("k")).cast("int")).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    parts = parts.withColumn("lo", F.least("own", "peer")).withColumn("hi", F.greatest("own", "peer"))
+    parts = parts.withColumn("lo", F.least("own", "peer")).withColumn("hi", F.greatest("own", "peer")).drop("k", "peer")
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         name, _, lo, hi = key
-        x = unit(np.frombuffer(b"".join(pdf["vector"]), kind).reshape(len(pdf), -1))
         ids, copies, own = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
-        lists = [f[f < name] for f in (np.frombuffer(b, "<i8") for b in pdf["filters"])]
-        width = max(1, max(map(len, lists)))
-        earlier = np.full((len(ids), width), -1, np.int64)
-        for k, f in enumerate(lists):
-            earlier[k, : len(f)] = f
-        links, forest, spans = np.zeros(len(ids), np.int64), Forest(len(ids)), []
-        for at in range(0, len(ids), 512):
-            close = x[at : at + 512] @ x.T >= options.threshold - 1e-12
-            a, b = np.nonzero(close)
-            a += at
-            keep = (a < b) & ((own[a] != own[b]) if lo != hi else True)
-            a, b = a[keep], b[keep]
-            first = np.ones(len(a), bool)
-            for s in range(0, len(a), 2_000):
-                p, q = earlier[a[s : s + 2_000]], earlier[b[s : s + 2_000]]
-                first[s : s + 2_000] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any((1, 2))
-            a, b = a[first], b[first]
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= options.threshold
-            a, b = a[exact], b[exact]
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            spans += [(ids[i], ids[j], 0) for i, j in zip(a.tolist(), b.tolist(), strict=True) if forest.join(i, j)]
-        some = links > 0
-        counted = pd.DataFrame({"vec_id": ids[some], "other": None, "links": links[some]})
+        found, spans = np.zeros(len(ids), np.int64), []
+        if len(ids) > 1:
+            x = unit(np.frombuffer(b"".join(pdf["vector"]), kind).reshape(len(pdf), -1))
+            before, forest = None, Forest(len(ids))
+            for at in range(0, len(ids), 512):
+                a, b = np.nonzero(x[at : at + 512] @ x.T >= options.threshold - 1e-12)
+                keep = (a + at < b) & ((own[a + at] != own[b]) if lo != hi else True)
+                a, b = a[keep], b[keep]
+                if not len(a):
+                    continue
+                if before is None:
+                    before = met_before(list(pdf["filters"]), name)
+                first = (before[at : at + 512] @ before.T)[a, b] == 0
+                a, b = a[first] + at, b[first]
+                exact = np.einsum("ij,ij->i", x[a], x[b]) >= options.threshold
+                a, b = a[exact], b[exact]
+                np.add.at(found, a, copies[b])
+                np.add.at(found, b, copies[a])
+                spans += [(ids[i], ids[j], 0) for i, j in zip(a.tolist(), b.tolist(), strict=True) if forest.join(i, j)]
+        some = found > 0
+        counted = pd.DataFrame({"vec_id": ids[some], "other": None, "links": found[some]})
         out = pd.concat([counted, pd.DataFrame(spans, columns=["vec_id", "other", "links"])], ignore_index=True)
         out["other"] = out["other"].astype("Int64")
         return out
@@ -240,18 +249,20 @@ def embedding_digest(vectors: DataFrame, options: CapFilters = CapFilters()) ->
     are null, zero or not finite, and rows without vec_id, link with nothing and are their own component.  Vectors of
     different lengths don't link.  A repeated vec_id is a row each time; it counts as another vector.
     """
-    spark, directory = vectors.sparkSession, shared_dir(vectors.sparkSession)
+    directory = shared_dir(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding")
     if rows.schema["embedding"].dataType.elementType.typeName() not in ("float", "double"):
         rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    keyed = valid(rows).withColumn("key", F.md5(F.array_join(F.transform("embedding", lambda v: (v + F.lit(0.0)).cast("string")), ",").cast("binary")))
-    same = staged(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), directory, "distinct")
-    found = staged(near_links(spark, same.select(F.col("rep").alias("vec_id"), "copies", "embedding"), options), directory, "found")
-    linked = components(found.filter("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), directory)
+    # Rows that can't link get a key that no other row has, so they gather nowhere and are lost nowhere.
+    joined = F.array_join(F.transform("embedding", lambda v: (v + F.lit(0.0)).cast("string")), ",")
+    keyed = staged(rows.select("vec_id", F.when(can_link(), F.md5(joined.cast("binary"))).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))).alias("key"), "embedding"), directory, "keyed")
+    same = keyed.filter(~F.col("key").startswith("#")).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    same = staged(same, directory, "distinct")
+    found = staged(near_links(same.select(F.col("rep").alias("vec_id"), "copies", "embedding"), options, directory), directory, "found")
+    discard(vectors.sparkSession, directory, "lists")
+    linked = components(found.filter("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), f"{directory}/components")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     reps = same.select("key", "rep", "copies").join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    members = keyed.select("vec_id", "key").join(reps, "key").select("vec_id", "n", "c")
-    others = rows.select("vec_id").join(keyed.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("c"))
-    done = members.unionByName(others)
-    return done.select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("c"), F.lit(True)).alias("kept"))
+    done = keyed.select("vec_id", "key").join(reps, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

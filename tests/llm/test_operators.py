@@ -285,13 +285,19 @@ def test_cap_filters_against_all_pairs(spark):
     base = rng.standard_normal((40, 16))
     v = np.concatenate([base, base[:20] + 0.05 * rng.standard_normal((20, 16)), base[:1].repeat(5, 0)]).astype(np.float32)
     own = [(k, x.tolist(), 1) for k, x in enumerate(v)] + [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] + [1.0] * 15, 1), (203, [None] + [1.0] * 15, 1), (204, [1.0, 2.0], 1)]
+    own += [(7, None, 1), (7, None, 1), (5, v[5].tolist(), 1), (None, v[0].tolist(), 1)]  # a good and null vectors of one vec_id, a repeated row
     frame = spark.createDataFrame(own, "vec_id long, embedding array<float>, copies int")
-    got = {r.vec_id: r for r in cap_filters.embedding_digest(frame, cap_filters.CapFilters(load=40)).collect()}
+    every = cap_filters.embedding_digest(frame, cap_filters.CapFilters(chunk=8)).collect()
+    assert len(every) == len(own) and sorted(r.n_links > 0 for r in every if r.vec_id == 7) in ([False] * 3, [False, False, True])
+    assert [r.n_links for r in every if r.vec_id is None] == [0]
+    got = {r.vec_id: r for r in every if r.vec_id not in (5, 7, None)} | {r.vec_id: r for r in sorted((r for r in every if r.vec_id in (5, 7)), key=lambda r: r.n_links)}
     x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
-    close = x @ x.T >= 0.95
-    np.fill_diagonal(close, False)
+    close = (x @ x.T >= 0.95).astype(int)
+    np.fill_diagonal(close, 0)
+    close = close + np.outer(np.ones(len(v), int), np.arange(len(v)) == 5) * close  # the repeated row is another vector
+    close[5, 5] = 1
     found = sum(got[k].n_links for k in range(len(v)))
-    assert 0.9 * close.sum() <= found <= close.sum()
+    assert 0.98 * close.sum() <= found <= close.sum()
     assert all(got[k].n_links <= close[k].sum() for k in range(len(v)))
     assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in (200, 201, 202, 203, 204))
     assert got[60].component_id == 0 and cap_filters.embedding_digest(frame.filter("vec_id < 0")).count() == 0
