@@ -43,10 +43,10 @@ def discard(spark: SparkSession, directory: str, *labels: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def dealt(files: DataFrame, key: str) -> DataFrame:
+def dealt(files: DataFrame) -> DataFrame:
     """A table of file names over as many partitions as the session shuffles to: a name is short but its file is not,
-    so the partitions must not be merged by their bytes."""
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    so the partitions must not be merged by their bytes, and rows go round, as hashing would keep those of an aggregation in place."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _file_system(uri: str):

@@ -48,7 +48,11 @@ def text_stats(text: str | None, codes: dict[bytes, int]) -> tuple[int, int, int
         if len(codes) > 200_000:
             codes.clear()
         ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint64, n)
-        keys = ids[:-2] << np.uint64(42) | ids[1:-1] << np.uint64(21) | ids[2:]
+        if len(codes) <= 1 << 21:
+            keys = ids[:-2] << np.uint64(42) | ids[1:-1] << np.uint64(21) | ids[2:]
+        else:  # numbers of word pairs and words are below 2^32
+            _, pairs = np.unique(ids[:-2] << np.uint64(32) | ids[1:-1], return_inverse=True)
+            keys = pairs.astype(np.uint64).ravel() << np.uint64(32) | ids[2:]
         _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
         twice = counts[back] > 1
         if twice.any():
@@ -95,7 +99,7 @@ def common_lines(docs: DataFrame, limits: LineLimits) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """``docs`` with the struct column ``_v``: base statistics, n_removed_words, base_failed, kept.
+    """row (all columns of ``docs``) and the struct v: base statistics, n_removed_words, base_failed, kept.
 
     Each line above a limit is held by over ``share_percent`` of its host's documents, so a host has at most
     ``100 / share_percent`` times its mean number of lines a document of them: they travel as one short array
@@ -104,25 +108,26 @@ def verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     Null text has no word and fails the base rules; null doc_ids and repeated rows are judged each by itself;
     an empty table gives no rows; other columns are kept.
     """
-    common = common_lines(docs, limits).groupBy("host").agg(F.collect_list("line_hash").alias("_common")).withColumnRenamed("host", "_host")
+    common = common_lines(docs, limits).groupBy("host").agg(F.collect_list("line_hash").alias("common"))
     common = staged(common, shared_dir(docs.sparkSession), "common")
-    rows = docs.withColumn("_host", host_of(docs)).join(common, "_host", "left")
-    removed = F.filter(normal_lines(F.col("text")), lambda x: F.array_contains(F.col("_common"), F.xxhash64(x)))
+    # The caller's row is one struct, so no name of its columns can clash with one here.
+    rows = docs.select(F.struct("*").alias("row"), host_of(docs).alias("host"), "text").join(common, "host", "left")
+    removed = F.filter(normal_lines(F.col("text")), lambda x: F.array_contains(F.col("common"), F.xxhash64(x)))
     n_removed = F.aggregate(removed, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    rows = rows.withColumn("_removed", F.when(F.col("_common").isNull() | F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_removed))
-    rows = rows.withColumn("_s", F.pandas_udf(base_stats, STATS_SCHEMA)(F.coalesce(F.col("text"), F.lit(""))))
-    n = F.col("_s.n_words")
-    failed = (n < 50) | (100 * F.col("_s.n_repeat_words") > 50 * n)
-    depleted = 100 * (n - F.col("_removed")) < limits.keep_percent * n
-    verdict = F.struct("_s.*", F.col("_removed").alias("n_removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
-    return rows.withColumn("_v", verdict).drop("_host", "_common", "_removed", "_s")
+    rows = rows.withColumn("removed", F.when(F.col("common").isNull() | F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_removed))
+    rows = rows.withColumn("s", F.pandas_udf(base_stats, STATS_SCHEMA)(F.coalesce(F.col("text"), F.lit(""))))
+    n = F.col("s.n_words")
+    failed = (n < 50) | (100 * F.col("s.n_repeat_words") > 50 * n)
+    depleted = 100 * (n - F.col("removed")) < limits.keep_percent * n
+    verdict = F.struct("s.*", F.col("removed").alias("n_removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return rows.select("row", verdict.alias("v"))
 
 
 def quality_digest(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """doc_id, the base statistics, n_removed_words, base_failed and kept of every document."""
-    return verdicts(docs.select("doc_id", "source", "text"), limits).select("doc_id", "_v.*")
+    return verdicts(docs.select("doc_id", "source", "text"), limits).select("row.doc_id", "v.*")
 
 
 def keep_good(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
-    return verdicts(docs, limits).filter("_v.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return verdicts(docs, limits).filter("v.kept").select("row.*")

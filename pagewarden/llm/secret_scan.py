@@ -12,14 +12,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the rules.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
 SECRET_WORDS = "token|secret|key|passw|passwd|pwd|auth|bearer|credential|apikey|private|access"
 BENIGN_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|version|href|src|blob|tree|base64|image|session|trace|request|build|asset|chunk"
 DICTIONARY = "account|address|admin|api|app|asset|author|bundle|button|cache|chunk|class|client|color|config|content|controller|count|data|default|document|element|error|event|example|field|file|font|footer|format|function|general|group|header|image|index|information|item|label|layout|list|main|manager|message|min|model|module|name|number|object|option|page|panel|param|placeholder|product|profile|public|query|release|report|request|response|result|sample|section|server|service|session|static|status|string|style|system|table|template|test|text|title|type|update|user|value|vendor|version|view|widget|your"
-CONTEXT_CHARS = 48
 FEATURES = ("length", "transitions", "digits", "uppers", "dictionary", "distinct", "hex", "slashes", "path_before", "path_after", "secret_before", "benign_before", "benign_after", "assigned", "dashes")
 
 
+@dataclass(frozen=True)
+class CandidateRule:
+    """least: characters of a candidate, with a letter and a digit among them; keys of 80 bits take 20 hexadecimal digits, and shorter
+    strings are mostly words with a number.  context: characters before and after that the forest sees; a name, an
+    assignment and a path or word beside it fit in 48.
+    """
+
+    least: int = 20
+    context: int = 48
+
+    @property
+    def pattern(self) -> str:
+        return r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{%d,}+" % self.least
+
+
 @dataclass(frozen=True)
 class Forest:
     """A fitted forest as a SQL expression of the features; its size is fixed by trees and depth."""
@@ -56,13 +69,13 @@ def features(left: Column, candidate: Column, right: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in zip(FEATURES, values, strict=True)])
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """Labelled findings (left, candidate, right, label) made by rule; ``rows`` bounds the training set.
+def labelled_findings(spark: SparkSession, rows: int = 6000, first: int = 0) -> DataFrame:
+    """Labelled findings (left, candidate, right, label) made by rule; ``rows`` bounds the training set, other ids are held out of it.
 
     Even ids are secrets: random strings of several alphabets, mostly assigned to a telling name.  Odd ids are false
     positives: commit and file hashes, UUIDs, asset paths, identifiers, embedded images, placeholders.
     """
-    r = spark.range(0, rows, 1, 1)
+    r = spark.range(first, first + rows, 1, 1)
     kind = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))
     hexes, other = F.sha2(F.concat(F.lit("a"), F.col("id").cast("string")).cast("binary"), 256), F.sha1(F.concat(F.lit("b"), F.col("id").cast("string")).cast("binary"))
     b64 = F.regexp_replace(F.base64(F.unhex(F.concat(hexes, other))), r"[\r\n]", "")
@@ -100,33 +113,60 @@ def _tree(node) -> str:
     return f"CASE WHEN x.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D THEN {_tree(node.leftChild())} ELSE {_tree(node.rightChild())} END"
 
 
-def scanned(docs: DataFrame, forest: Forest) -> DataFrame:
-    """``docs`` with ``_parts`` (text between candidates) and ``_found``: array of structs (start, length, score, is_secret, candidate).
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once for each row, however often later expressions and their lambdas use it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
 
-    Null and empty texts have no findings.  Narrow: nothing is shuffled and a document's findings stay in its row.
+def _sums_before(lengths: str, block: int = 256) -> Column:
+    """The sums before each place of an array of longs, by sums of blocks: no array grows step by step."""
+    blocks = f"transform(sequence(0, size({lengths}) div {block}), b -> aggregate(slice({lengths}, b * {block} + 1, {block}), 0L, (a, x) -> a + x))"
+    starts = f"transform(array({blocks}), t -> transform(sequence(0, size({lengths}) div {block}), b -> aggregate(slice(t, 1, b), 0L, (a, x) -> a + x)))[0]"
+    return F.expr(f"transform(array({starts}), s -> transform({lengths}, (x, i) -> s[i div {block}] + aggregate(slice({lengths}, (i div {block}) * {block} + 1, i % {block}), 0L, (a, y) -> a + y)))[0]")
+
+
+def scanned(docs: DataFrame, forest: Forest, rule: CandidateRule = CandidateRule()) -> DataFrame:
+    """row (all columns of ``docs``), parts (text between candidates) and found: array of structs (start, length, score, is_secret, candidate).
+
+    Null and empty texts have no findings; null doc_ids and repeated rows are scanned each by itself.  Narrow: nothing is shuffled and a
+    document's findings stay in its row.  Text is split once, and each candidate costs its own features alone.
     """
-    rows = docs.withColumn("_parts", F.split(F.coalesce(F.col("text"), F.lit("")), CANDIDATE, -1)).withColumn("_cands", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(CANDIDATE), F.lit(0)))
-    spots = "transform(_cands, (c, i) -> struct(substr(_parts[i], greatest(1, length(_parts[i]) - {n} + 1)) AS left, c AS candidate, substr(_parts[i + 1], 1, {n}) AS right))".format(n=CONTEXT_CHARS)
-    starts = "aggregate(sequence(0, size(_cands)), struct(CAST(0 AS BIGINT) AS at, CAST(array() AS ARRAY<BIGINT>) AS all), (s, i) -> struct(s.at + length(_parts[i]) + coalesce(length(get(_cands, i)), 0) AS at, array_append(s.all, s.at + length(_parts[i])) AS all)).all"
-    rows = rows.withColumn("_spots", F.expr(spots)).withColumn("_starts", F.expr(starts))
-    rows = rows.withColumn("_x", F.transform("_spots", lambda s: F.struct(s["candidate"].alias("candidate"), features(s["left"], s["candidate"], s["right"]).alias("f"))))
-    rows = rows.withColumn("_scores", F.expr(f"transform(_x, y -> transform(array(y.f), x -> {forest.expression})[0])"))
-    found = f"transform(_cands, (c, i) -> struct(_starts[i] AS start, CAST(length(c) AS BIGINT) AS length, _scores[i] AS score, _scores[i] >= {forest.threshold!r}D AS is_secret, c AS candidate))"
-    return rows.withColumn("_found", F.expr(found)).drop("_spots", "_starts", "_x", "_scores", "_cands")
-
-
-def findings_digest(docs: DataFrame, forest: Forest) -> DataFrame:
-    """A row for each candidate: doc_id, start (code points), length, score, is_secret, SHA-256 of the candidate."""
-    rows = scanned(docs.select("doc_id", "text"), forest).filter(F.size("_found") > 0).select("doc_id", F.explode("_found").alias("f"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = _once(docs.select(F.struct("*").alias("row"), text.alias("t")), "cut", F.struct(F.split("t", rule.pattern, -1).alias("parts"), F.regexp_extract_all("t", F.lit(rule.pattern), F.lit(0)).alias("cands"))).select("row", "cut.parts", "cut.cands")
+    rows = _once(rows, "lengths", F.expr("transform(cands, (c, i) -> CAST(length(parts[i]) + length(c) AS BIGINT))"))
+    rows = _once(rows, "before", _sums_before("lengths"))
+    n = rule.context
+    spots = f"transform(cands, (c, i) -> struct(substr(parts[i], greatest(1, length(parts[i]) - {n} + 1)) AS left, c AS candidate, substr(parts[i + 1], 1, {n}) AS right))"
+    rows = _once(rows, "spots", F.expr(spots))
+    rows = _once(rows, "x", F.transform("spots", lambda s: features(s["left"], s["candidate"], s["right"])))
+    rows = _once(rows, "scores", F.expr(f"transform(x, x -> {forest.expression})"))
+    found = f"transform(cands, (c, i) -> struct(before[i] + length(parts[i]) AS start, CAST(length(c) AS BIGINT) AS length, scores[i] AS score, scores[i] >= {forest.threshold!r}D AS is_secret, c AS candidate))"
+    return _once(rows, "found", F.expr(found)).select("row", "parts", "found")
+
+
+def findings_digest(docs: DataFrame, forest: Forest, rule: CandidateRule = CandidateRule()) -> DataFrame:
+    """A row for each candidate: doc_id, start (code points), length, score, is_secret, SHA-256 of the candidate.
+
+    Rows without doc_id and rows that repeat one give their findings each; an empty table gives none.
+    """
+    rows = scanned(docs.select("doc_id", "text"), forest, rule).select("row.doc_id", F.explode("found").alias("f"))
     return rows.select("doc_id", "f.start", "f.length", F.round("f.score", 9).alias("score"), "f.is_secret", F.sha2(F.col("f.candidate").cast("binary"), 256).alias("sha256"))
 
 
-def redacted(docs: DataFrame, forest: Forest, mask: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every secret replaced by ``mask``, false positives left; ``n_chars`` follows where the table has it."""
-    rows = scanned(docs, forest)
-    rebuilt = F.expr(f"array_join(transform(_parts, (p, i) -> concat(p, coalesce(CASE WHEN get(_found, i).is_secret THEN '{mask}' ELSE get(_found, i).candidate END, ''))), '')")
-    hit = F.exists("_found", lambda f: f["is_secret"])
-    rows = rows.withColumn("text", F.when(hit, rebuilt).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+def redacted(docs: DataFrame, forest: Forest, mask: str = "<SECRET>", rule: CandidateRule = CandidateRule()) -> DataFrame:
+    """``docs`` with every secret replaced by ``mask``, false positives left; ``n_chars`` follows where the table has it.
+
+    Null text stays null; rows without doc_id and repeated rows stay, each redacted by itself; an empty table stays empty.
+    """
+    rebuilt = F.expr(f"array_join(transform(parts, (p, i) -> concat(p, coalesce(CASE WHEN get(found, i).is_secret THEN '{mask}' ELSE get(found, i).candidate END, ''))), '')")
+    hit = F.exists("found", lambda f: f["is_secret"])
+    rows = _once(scanned(docs, forest, rule), "clean", F.when(hit, rebuilt))
+    columns = []
+    for c in docs.columns:
+        own = F.col("row").getField(c)
+        if c == "text":
+            own = F.coalesce("clean", own)
+        elif c == "n_chars":
+            own = F.when(F.col("clean").isNull(), own).otherwise(F.length("clean").cast(docs.schema[c].dataType))
+        columns.append(own.alias(c))
+    return rows.select(*columns)

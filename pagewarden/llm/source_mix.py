@@ -130,13 +130,14 @@ def plan(counts: DataFrame, target: MixTarget = MixTarget()) -> DataFrame:
 
 
 def apply_plan(rows: DataFrame, mix: DataFrame, target: MixTarget = MixTarget()) -> DataFrame:
-    """Each row of ``rows`` (with _source, doc_id) once for each pass that takes it, with ``_epoch`` and ``_block``."""
-    joined = rows.join(mix.select("_source", "n_blocks", "passes", "cut_block", "cut_doc"), "_source").withColumn("_block", block_of(target))
+    """row (all columns of ``rows``, which has _source and doc_id) once for each pass that takes it, with epoch and block."""
+    packed = rows.select(F.struct("*").alias("row"), "_source", "doc_id")
+    joined = packed.join(mix.select("_source", "n_blocks", "passes", "cut_block", "cut_doc"), "_source").withColumn("_block", block_of(target))
     key = block_key(target, F.col("passes"))
     last = (key < F.col("cut_block")) | ((key == F.col("cut_block")) & (doc_key(target, F.col("passes")) <= F.col("cut_doc")))
     times = F.col("passes").cast("int") + F.coalesce(last, F.lit(False)).cast("int")
-    epochs = F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))).alias("_epoch")
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], "_block", epochs)
+    epochs = F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))).alias("epoch")
+    return joined.select("row", F.col("_block").alias("block"), epochs)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -145,16 +146,21 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def mix_digest(docs: DataFrame, target: MixTarget = MixTarget()) -> DataFrame:
-    """doc_id, source, n_tokens, epoch, block of every document taken, once for each pass that takes it."""
+    """doc_id, source, n_tokens, epoch, block of every document taken, once for each pass that takes it.
+
+    Null texts have no tokens and null sources are one source.  Rows that repeat a doc_id, and those without one, have one place in the
+    permutation: at the end of the last pass all of them are taken or none.  An empty table gives no rows.
+    """
     counts = counted(docs)
     mix = staged(plan(counts, target), shared_dir(docs.sparkSession), "plan")
-    return apply_plan(counts, mix, target).select("doc_id", F.col("_source").alias("source"), F.col("tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"))
+    return apply_plan(counts, mix, target).select("row.doc_id", F.col("row._source").alias("source"), F.col("row.tokens").alias("n_tokens"), "epoch", "block")
 
 
 def mixed(docs: DataFrame, target: MixTarget = MixTarget()) -> DataFrame:
     """The documents of the mix with all their columns; one taken by several passes is repeated.
 
     The plan is one short row a source and joins without a hint, so texts stay in place where Spark broadcasts it.
+    Nulls, repeated rows and empty tables are as in ``mix_digest``.
     """
     mix = staged(plan(counted(docs), target), shared_dir(docs.sparkSession), "plan")
-    return apply_plan(docs.withColumn("_source", source_of(docs)), mix, target).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return apply_plan(docs.select(F.struct("*").alias("own"), source_of(docs).alias("_source"), "doc_id"), mix, target).select("row.own.*")

@@ -273,7 +273,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 out.loc[out["doc_id"] == missing, "doc_id"] = pd.NA
                 yield out
 
-    return dealt(manifest.select("path"), "path").mapInPandas(read, READ_SCHEMA)
+    return dealt(manifest.select("path")).mapInPandas(read, READ_SCHEMA)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

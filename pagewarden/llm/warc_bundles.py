@@ -8,10 +8,10 @@ decoding one frame.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -97,11 +97,6 @@ class BundleReader:
     def record(self, frame: int, offset: int, length: int) -> bytes:
         return self.frame(frame)[offset : offset + length]
 
-    def data_frames(self) -> Iterator[bytes]:
-        for k, (_, _, plain) in enumerate(self.frames):
-            if plain:
-                yield self.frame(k)
-
     def record_map(self) -> list[list]:
         at, packed, _ = self.frames[-1]
         self.source.seek(at + 8)
@@ -129,30 +124,25 @@ def encode_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def decode_records(data: bytes) -> Iterator[dict]:
-    """The records of one frame.  Lengths and digests of responses are taken anew from the stored payload."""
+def decode_record(data: bytes) -> dict:
+    """One record.  Lengths and digests of responses are taken anew from the stored payload."""
     import hashlib
 
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        n = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
-        http, _, payload = block.partition(b"\r\n\r\n")
-        length = int(http.rpartition(b"Content-Length: ")[2])
-        revisit = head["WARC-Type"] == "revisit"
-        ident = lambda x: int(i) if (i := x[len("<urn:page:") : -1]) else None
-        yield {
-            "page_id": ident(head["WARC-Record-ID"]),
-            "url": head.get("WARC-Target-URI"),
-            "record_type": head["WARC-Type"],
-            "refers_to": ident(head["WARC-Refers-To"]) if revisit else None,
-            "payload_bytes": length if revisit else len(payload),
-            "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else hashlib.sha1(payload).hexdigest(),
-            "payload": None if revisit else payload,
-        }
+    end = data.index(b"\r\n\r\n")
+    head = dict(line.split(": ", 1) for line in data[:end].decode().split("\r\n")[1:])
+    http, _, payload = data[end + 4 : end + 4 + int(head["Content-Length"])].partition(b"\r\n\r\n")
+    length = int(http.rpartition(b"Content-Length: ")[2])
+    revisit = head["WARC-Type"] == "revisit"
+    ident = lambda x: int(i) if (i := x[len("<urn:page:") : -1]) else None
+    return {
+        "page_id": ident(head["WARC-Record-ID"]),
+        "url": head.get("WARC-Target-URI"),
+        "record_type": head["WARC-Type"],
+        "refers_to": ident(head["WARC-Refers-To"]) if revisit else None,
+        "payload_bytes": length if revisit else len(payload),
+        "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else hashlib.sha1(payload).hexdigest(),
+        "payload": None if revisit else payload,
+    }
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = REVISIT_MIN_BYTES) -> DataFrame:
@@ -206,32 +196,38 @@ def write_bundles(pages: DataFrame, directory: str, *, min_bytes: int = REVISIT_
 
 
 def read_bundles(spark: SparkSession, index: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles that ``index`` names, one task row a bundle, one frame in memory at a time."""
+    """Every record of the bundles that ``index`` names, by each bundle's own record map: a frame is decoded once, by the seek table,
+    and each of its records is taken from its offset.  One frame is in memory at a time."""
 
     def read(batches):
         for pdf in batches:
             for path in pdf["path"]:
                 with reading(path) as source:
-                    for data in BundleReader(source).data_frames():
-                        rows = pd.DataFrame(list(decode_records(data)))
+                    bundle = BundleReader(source)
+                    for frame, records in itertools.groupby(bundle.record_map(), key=lambda r: r[1]):
+                        data = bundle.frame(frame)
+                        rows = pd.DataFrame([decode_record(data[at : at + length]) for _, _, at, length in records])
                         for c in ("page_id", "refers_to"):
                             rows[c] = rows[c].astype("Int64")
                         if not payloads:
                             rows["payload"] = None
                         yield rows
 
-    bundles = dealt(index.select("path").distinct(), "path")
-    return bundles.mapInPandas(read, RECORD_SCHEMA)
+    return dealt(index.select("path").distinct()).mapInPandas(read, RECORD_SCHEMA)
 
 
 def read_record(index_row) -> dict:
     """One record by its index row (path, frame, offset, length)."""
     with reading(index_row["path"]) as source:
-        return next(decode_records(BundleReader(source).record(index_row["frame"], index_row["offset"], index_row["length"])))
+        return decode_record(BundleReader(source).record(index_row["frame"], index_row["offset"], index_row["length"]))
 
 
 def archive_digest(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` to bundles in the shared folder, read them back, and give a row for each record."""
+    """Write ``pages`` to bundles in the shared folder, read them back, and give a row for each record.
+
+    Null html is an empty payload; rows without page_id are responses and nothing refers to them; a repeated row is a record of its own,
+    and no record refers to its own page_id; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     directory = shared_dir(spark)
     index = staged(write_bundles(pages, f"{directory}/bundles", **options), directory, "index")

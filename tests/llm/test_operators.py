@@ -102,6 +102,37 @@ def test_warc_round_trip(spark):
     assert warc_bundles.archive_digest(pages.filter("page_id = 99")).count() == 0
 
 
+def plain_archive(rows: list[tuple]) -> list[tuple]:
+    """(page_id, url, html) by the contract alone."""
+    data = [(i, (h or "").encode()) for i, _, h in rows]
+    out = []
+    for i, d in data:
+        same = [j for j, e in data if e == d and j is not None] if len(d) >= 1000 and i is not None else []
+        to = max(same) if same and max(same) != i else None
+        out.append((i, len(d), hashlib.sha1(d).hexdigest(), "response" if to is None else "revisit", to))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_warc_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    bodies = ["", None, "é" * 499, "é" * 500, "x" * 999, "y" * 1000, "\r\n\r\n" * 300, "WARC/1.1\r\n" * 120, "z" * 300_000]
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, "http://h/a b", "u\r\nx: y"]), rng.choice(bodies)) for _ in range(80)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = warc_bundles.archive_digest(frame, frame_bytes=3000, bundle_bytes=2000).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=key) == sorted(plain_archive(rows), key=key)
+
+
+def test_bundles_are_read_over_many_tasks(spark):
+    pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(200)], "page_id long, url string, html string").repartition(12)
+    index = warc_bundles.write_bundles(pages, shared_dir(spark) + "/b").cache()
+    assert index.select("path").distinct().count() >= 4
+    back = warc_bundles.read_bundles(spark, index).select("page_id", F.spark_partition_id().alias("p"))
+    assert back.select("p").distinct().count() >= 3
+    index.unpersist()
+
+
 def test_warc_random_access(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", "né" * (k * 50)) for k in range(40)], "page_id long, url string, html string")
     index = warc_bundles.write_bundles(pages, shared_dir(spark) + "/b", frame_bytes=2000).cache()
@@ -127,6 +158,28 @@ def test_line_quality_common_lines_deplete(spark, docs, empty):
     assert line_quality.quality_digest(empty).count() == 0
 
 
+def test_line_quality_of_more_distinct_words_than_a_code_holds():
+    text = " ".join(f"{k:x}" for k in range((1 << 21) + 10)) + " g h i g h i"
+    codes = {}
+    assert line_quality.text_stats(text, codes)[4] == 6 and line_quality.text_stats("x y z u", codes)[4] == 0
+
+
+#: Names that the operators use themselves.
+OWN_NAMES = ["row", "host", "common", "removed", "s", "v", "n_blocks", "passes", "cut_block", "cut_doc", "_source", "_block", "epoch", "block", "parts", "cands", "lengths", "before", "spots", "x", "scores", "found", "clean", "own", "key", "a.b"]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    forest = secret_scan.Forest("1.0D")
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{words} {hashlib.sha1(bytes([k])).hexdigest()}", "s", *[f"{c}{k}" for c in OWN_NAMES]) for k in range(3)] + [(None, None, None, *OWN_NAMES)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in OWN_NAMES))
+    for got in (line_quality.keep_good(frame), source_mix.mixed(frame, source_mix.MixTarget(budget_ratio=1.0)), secret_scan.redacted(frame, forest), ngram_join.keep_first(frame)):
+        assert got.columns == frame.columns
+        seen = {r.doc_id: r for r in got.collect()}
+        assert {0, 1, 2} & set(seen) and all(r[c] == f"{c}{k}" for k, r in seen.items() if k is not None for c in OWN_NAMES)
+    assert all("<SECRET>" in r.text for r in secret_scan.redacted(frame, forest).collect() if r.text)
+
+
 def test_source_mix_meets_its_target(spark, docs, empty):
     rng = random.Random(3)
     own = [(k, " ".join("w" for _ in range(rng.randint(1, 40))), "big" if k % 10 < 7 else f"s{k % 3}") for k in range(600)]
@@ -198,11 +251,17 @@ def test_words_have_the_ids_of_the_library():
 def test_language_codes(spark, docs, empty):
     word = {"aa": ["kata", "lopa", "mira"], "bb": ["xiq", "zuq", "wex"], "cc": ["őűt", "áéí", "űő"]}
     rng = random.Random(4)
-    own = [(k, " ".join(rng.choice(word[lang]) for _ in range(30)), lang) for k in range(300) for lang in [rng.choice(["aa", "bb", "cc"])]] + [(900, None, "aa"), (901, "123 !?", "bb"), (None, "kata lopa", None)]
+    own = [(k, " ".join(rng.choice(word[lang]) for _ in range(30)), lang) for k in range(300) for lang in [rng.choice(["aa", "bb", "cc"])]] + [(900, None, "aa"), (901, "123 !? ½ ² Ⅷ", "bb"), (None, "kata lopa", None)]
     got = {r.doc_id: r for r in language_codes.language_digest(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect()}
     assert all(got[k].lang_pred == lang for k, _, lang in own[:300] if got[k].held_out)
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[None].lang_pred == "aa" and not got[None].held_out
     assert all((zlib.crc32(str(k).encode()) % 4 == 2) == got[k].held_out for k in range(300))
+    model = language_codes.train(spark.createDataFrame(own, "doc_id long, text string, lang string"), rows=40)
+    assert model.langs == ["aa", "bb", "cc"]
+    twice = spark.createDataFrame(own + own[:5], "doc_id long, text string, lang string")
+    again = language_codes.predict(twice, model).collect()
+    plain = {i: language_codes.LanguageModel.predict(model, [t])[0] for i, t, _ in own}
+    assert len(again) == len(own) + 5 and all((r.lang_pred, round(r.score, 6)) == (plain[r.doc_id][0], round(plain[r.doc_id][1], 6)) for r in again)
     assert language_codes.language_digest(docs).count() == docs.count()
     assert language_codes.language_digest(empty).count() == 0
 
@@ -226,6 +285,44 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.findings_digest(empty, forest).count() == 0
 
 
+def test_secret_scan_of_many_candidates(spark):
+    """Starts, contexts and masks against a plain version, on a text with thousands of candidates; its time is in proportion."""
+    import re
+    import time
+
+    forest = secret_scan.Forest("CASE WHEN x.digits > 0.5D THEN 1.0D ELSE 0.0D END")
+    rng = random.Random(9)
+    texts = ["", "no candidates here", hashlib.sha1(b"0").hexdigest()]
+    for n in (3, 255, 256, 257, 6000):
+        texts.append("é ".join(rng.choice(["", "x ", "\n"]) + hashlib.sha1(str(rng.random()).encode()).hexdigest()[: rng.choice([24, 40])] for _ in range(n)))
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[3]), (3, texts[3]), (90, None)], "doc_id long, text string")
+    began = time.time()
+    got = secret_scan.findings_digest(frame, forest).collect()
+    assert time.time() - began < 60
+    clean = {(r.doc_id, r.text) for r in secret_scan.redacted(frame, forest).collect()}
+    pattern, want, masked = re.compile(secret_scan.CandidateRule().pattern), [], set()
+    for i, t in list(enumerate(texts)) + [(None, texts[3]), (3, texts[3])]:
+        out = t
+        for m in reversed(list(pattern.finditer(t))):
+            c = m.group()
+            secret = sum(x.isdigit() for x in c) / len(c) > 0.5
+            want.append((i, m.start(), len(c), secret, hashlib.sha256(c.encode()).hexdigest()))
+            out = out[: m.start()] + "<SECRET>" + out[m.end() :] if secret else out
+        masked.add((i, out))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([(r.doc_id, r.start, r.length, r.is_secret, r.sha256) for r in got], key=key) == sorted(want, key=key)
+    assert clean == masked | {(90, None)}
+
+
+def test_forest_on_findings_held_out(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings(spark, 6000))
+    held = secret_scan.labelled_findings(spark, 3000, first=1_000_000)
+    x = held.select("label", secret_scan.features(F.col("left"), F.col("candidate"), F.col("right")).alias("x"))
+    r = x.select("label", (F.expr(forest.expression) >= forest.threshold).cast("int").alias("said")).groupBy("label", "said").count().collect()
+    n = {(int(v.label), v.said): v["count"] for v in r}
+    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) >= 0.95 and n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9
+
+
 def test_pieces(spark, docs, empty):
     import sentencepiece
 
