@@ -11,6 +11,7 @@ sharing the partial overlap of common paths and leaving subtrees whose remaining
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,33 +68,85 @@ def word_digest(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words)) if words else bytes(16)
 
 
+#: Bytes that are hashed at once; a longer word is taken whole.
+SLICE = 1 << 18
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are white space, and a random value of each other byte, the same for A-Z as for a-z."""
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    value = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    value[ord("A") : ord("Z") + 1] = value[ord("a") : ord("z") + 1]
+    value[space] = 0
+    return space, value
+
+
 class Shingler:
-    """Sets of n-gram keys; word hashes are kept for a worker's texts."""
+    """Sets of n-gram keys of whole texts.
 
-    def __init__(self, words: int, limit: int = 500_000):
-        import xxhash
+    A word's hash is the sum of its bytes' values times powers of an odd base, modulo 2^64, divided by the power at its start, so that all
+    words of many texts come from running sums.
+    """
 
-        self.n, self.limit, self.hash, self.known = words, limit, xxhash.xxh64_intdigest, {}
+    def __init__(self, words: int):
+        self.n, (self.space, self.value) = words, _tables()
+        self.up, self.down = self._powers(SLICE)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, inverse))
+
+    def words(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of each word; words end at white space and before each of ``starts``."""
+        space = self.space[data]
+        first = ~space
+        first[1:] &= space[:-1]
+        begins = starts[starts < len(data)]
+        first[begins] = ~space[begins]
+        first = np.flatnonzero(first)
+        last = ~space
+        last[:-1] &= space[1:]
+        before = begins[begins > 0] - 1
+        last[before] = ~space[before]
+        last = np.flatnonzero(last)
+        out, at = [np.zeros(0, np.uint64)], 0
+        while at < len(first):
+            base = int(first[at])
+            to = max(at + 1, int(np.searchsorted(last, base + SLICE, side="left")))
+            part = data[base : int(last[to - 1]) + 1]
+            if len(part) >= len(self.up):
+                self.up, self.down = self._powers(len(part))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(self.value[part] * self.up[: len(part)], out=sums[1:])
+            a, b = first[at:to] - base, last[at:to] - base + 1
+            out.append(packs.mix((sums[b] - sums[a]) * self.down[a] ^ (b - a).astype(np.uint64)))
+            at = to
+        return np.concatenate(out), first
+
+    def fold(self, parts) -> np.ndarray:
+        key = np.zeros(len(parts[0]), np.uint64)
+        for h in parts:
+            key = (key ^ h) * _BASE
+            key ^= key >> np.uint64(29)
+        return packs.mix(key ^ np.uint64(len(parts)))
 
-    def keys(self, data: bytes) -> np.ndarray:
-        """Sorted distinct keys of a whole text; a text with fewer words than n is one key, without words none."""
-        words = data.translate(LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < self.n:
-            return np.asarray([self.hash(b" ".join(words), seed=len(words))], np.uint64)
-        known, digest = self.known, self.hash
-        if len(known) > self.limit:
-            known.clear()
-        for w in {w for w in words if w not in known}:
-            known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def sets(self, data: bytes, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Sorted distinct keys of each text of ``data``, which has ``starts`` of its texts and its end; a text with fewer words than n is
+        one key, without words none."""
+        h, first = self.words(np.frombuffer(data, np.uint8), starts)
+        cuts = np.searchsorted(first, starts).tolist()
         m = len(h) - self.n + 1
-        key = np.zeros(m, np.uint64)
-        for k in range(self.n):
-            key = (key ^ h[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        return np.unique(packs.mix(key))
+        key = self.fold([h[k : k + m] for k in range(self.n)]) if m > 0 else None
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a >= self.n:
+                yield np.unique(key[a : b - self.n + 1])
+            else:
+                yield self.fold([h[k : k + 1] for k in range(a, b)]) if b > a else np.zeros(0, np.uint64)
+
+    def keys(self, data: bytes) -> np.ndarray:
+        return next(self.sets(data, np.asarray([0, len(data)])))
 
 
 @dataclass
@@ -227,11 +280,10 @@ def candidate_sets(table: DataFrame, again: DataFrame, rule: JoinRule) -> DataFr
         for pdf in batches:
             for row in pdf.itertuples():
                 pack, seen, first = packs.Pack(row), set(), []
-                for k, data in enumerate(pack.texts()):
+                for k, keys in enumerate(shingler.sets(pack.data, pack.starts)):
                     d = row.digests[16 * k : 16 * k + 16]
                     if pack.known[k] and d not in seen:
                         seen.add(d)
-                        keys = shingler.keys(data)
                         first.append(keys[: rule.first_keys(len(keys))])
                 keys, counts = np.unique(np.concatenate([*first, np.zeros(0, np.uint64)]), return_counts=True)
                 yield pd.DataFrame(list(packs.split_keys(pack.id, keys, counts > 1, ranges)), columns=["key_range", "pack", "keys", "twice"])
@@ -241,15 +293,10 @@ def candidate_sets(table: DataFrame, again: DataFrame, rule: JoinRule) -> DataFr
         shared, gone = packs.keys_of(right[right["keys"].notna()]), right["rows"].dropna()
         gone = np.sort(np.concatenate([np.asarray(x, np.int64) for x in gone])) if len(gone) else np.zeros(0, np.int64)
         for row in left.itertuples():
-            pack, sizes, kept, sets, seen = packs.Pack(row), [], [], [], {}
+            pack, sizes, kept, sets = packs.Pack(row), [], [], []
             repeats = packs.member(row.first_row + np.arange(pack.n), gone)
-            for k, data in enumerate(pack.texts()):
-                d = row.digests[16 * k : 16 * k + 16]
-                if d in seen:
-                    sizes.append(seen[d])
-                    continue
-                keys = shingler.keys(data)
-                n = seen[d] = len(keys)
+            for k, keys in enumerate(shingler.sets(pack.data, pack.starts)):
+                n = len(keys)
                 sizes.append(n)
                 if n and pack.known[k] and not repeats[k] and np.count_nonzero(packs.member(keys[: rule.first_keys(n)], shared)) >= rule.needed(n):
                     kept.append(k)

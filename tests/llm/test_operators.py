@@ -481,6 +481,21 @@ def test_prefix_tree_finds_every_link(seed):
     assert got == brute.components(ids, lambda a, b: far(a, b) or own(a, b) and (a < 30) == (b < 30))
 
 
+def test_shingles_of_joined_texts():
+    rng = random.Random(8)
+    bits = ["aB", "Ab", "é", "É", "x", " ", "\n", "\t\v", "\u00a0", "日本 ", "q" * 3000 + " "]
+    texts = ["", " ", "one", "a b", "A B"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["w" * 300_000, " ".join("v%d" % k for k in range(90_000))]
+    data = [t.encode() for t in texts]
+    starts = np.cumsum([0, *map(len, data)])
+    for n in (1, 3, 5):
+        shingler, known = ngram_join.Shingler(n), {}
+        for text, d, keys in zip(texts, data, shingler.sets(b"".join(data), starts), strict=True):
+            want = brute.shingles(text, n)
+            assert len(keys) == len(want) and (np.diff(keys.astype(object)) > 0).all() and (keys == shingler.keys(d)).all()
+            if len(want) < 200:
+                assert known.setdefault(frozenset(keys.tolist()), want) == want
+
+
 @pytest.mark.parametrize("group_keys", [60, 400, 150_000])
 def test_large_centres_lose_no_link(spark, group_keys):
     """A group of near copies, most of them linked in chains, some only by a document of another part, and blocks of unlike sizes."""
