@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .rules import FALLBACK_PATTERNS, java
 
 #: A string value in JSON text: a string that no colon follows.
-STRING_VALUE = r'"((?:[^"\\]|\\.)*)"(?!\s*:)'
+STRING_OR_KEY = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'
 
 
 def string_values(json: Column) -> Column:
     """All string values at any depth of JSON text, keys left out; null if it isn't JSON."""
-    return F.when(F.try_parse_json(json).isNotNull(), F.regexp_extract_all(json, F.lit(STRING_VALUE), F.lit(1)))
+    strings = F.filter(F.regexp_extract_all(json, F.lit(STRING_OR_KEY), F.lit(0)), lambda s: ~s.endswith(":"))
+    return F.when(F.try_parse_json(json).isNotNull(), F.transform(strings, lambda s: F.substring(s, F.lit(2), F.length(s) - 2)))
 
 
 def contains_raw_pii(json: Column) -> Column:

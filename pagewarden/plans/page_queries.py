@@ -69,11 +69,12 @@ def s5_sensitive_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def s6_page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a page: clean url, visible text length, elements, interactive elements, detections of every kind."""
-    p = pages(spark, sf_dir)
-    counted = P.page_elements(p).groupBy("page_id").agg(F.count("*").alias("elements"), F.count_if(P.interactive()).alias("interactive"))
-    hits = P.sensitive_text(p).groupBy("page_id").agg(F.count("*").alias("detections"), F.array_sort(F.collect_set("category")).alias("categories"))
-    rows = p.select("page_id", urls.sanitize_url(F.col("url")).alias("url"), F.length(P.visible_text(F.col("html"))).alias("text_chars"))
-    return rows.join(counted, "page_id", "left").join(hits, "page_id", "left").select("page_id", "url", "text_chars", F.coalesce("elements", F.lit(0)).alias("elements"), F.coalesce("interactive", F.lit(0)).alias("interactive"), F.coalesce("detections", F.lit(0)).alias("detections"), F.coalesce(F.array_join("categories", ","), F.lit("")).alias("categories"))
+    return context_of(pages(spark, sf_dir))
+
+
+def context_of(p: DataFrame) -> DataFrame:
+    rows = p.select("page_id", urls.sanitize_url(F.col("url")).alias("url"), F.length(P.visible_text(F.col("html"))).alias("text_chars")).join(P.page_context(p), "page_id", "left")
+    return rows.select("page_id", "url", "text_chars", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("elements", "interactive", "detections")], F.coalesce(F.array_join("categories", ","), F.lit("")).alias("categories"))
 
 
 @query()
@@ -241,17 +242,24 @@ OLD = [("e1", "input", "textbox", ["to recipients", "to"]), ("e2", "button", Non
 NEW = [("n1", "input", "textbox", ["to recipients"]), ("n2", "button", None, ["send"]), ("n3", "button", None, ["send"]), ("n4", "a", None, ["my profile page"])]
 
 
+def rebound(old: DataFrame, new: DataFrame) -> DataFrame:
+    """page_id, new, score: the element (tag, role, terms) of a page that a lost one is bound to, by points for tag, role and terms; at
+    least 12 and a unique winner.  Candidates are those of the lost element's page."""
+    pairs = old.withColumnsRenamed({"tag": "otag", "role": "orole", "terms": "oterms"}).join(new, "page_id")
+    exact = lambda t: F.array_contains("terms", t)
+    partial = lambda t: F.exists("terms", lambda v: F.contains(v, t) | F.contains(t, v))
+    points = F.aggregate("oterms", F.lit(0), lambda a, t: a + F.when(exact(t), 12).when(partial(t), 4).otherwise(0))
+    scored = pairs.select("page_id", "new", (points + F.when(F.col("tag") == F.col("otag"), 3).otherwise(0) + F.when(F.col("role") == F.col("orole"), 3).otherwise(0)).alias("score"))
+    return ranking.unique_winner(scored, ["page_id"], "score", 12)
+
+
 @query()
 def j9_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lost elements bound anew: points for tag, role and terms; at least 12 and a unique winner."""
     schema = "tag string, role string, terms array<string>"
-    old = rows_of(spark, f"id string, {schema}", OLD).withColumnsRenamed({"tag": "otag", "role": "orole", "terms": "oterms"})
-    pairs = old.join(rows_of(spark, f"new string, {schema}", NEW), F.col("otag").isNotNull())
-    exact = lambda t: F.array_contains("terms", t)
-    partial = lambda t: F.exists("terms", lambda v: F.contains(v, t) | F.contains(t, v))
-    points = F.aggregate("oterms", F.lit(0), lambda a, t: a + F.when(exact(t), 12).when(partial(t), 4).otherwise(0))
-    scored = pairs.select("id", "new", (points + F.when(F.col("tag") == F.col("otag"), 3).otherwise(0) + F.when(F.col("role") == F.col("orole"), 3).otherwise(0)).alias("score"))
-    return ranking.unique_winner(scored, ["id"], "score", 12)
+    old, new = rows_of(spark, f"page_id string, {schema}", OLD), rows_of(spark, f"new string, {schema}", NEW)
+    every = old.select("page_id").join(F.broadcast(new), F.lit(True))  # four literal rows
+    return rebound(old, every).withColumnRenamed("page_id", "id")
 
 
 def _points(term: str):
@@ -317,15 +325,19 @@ def t9_person_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(spark, "id long, q string, page string", rows).unionByName(own).select("id", person_query(F.col("q"), F.col("page")).alias("person"))
 
 
-@query()
-def t6_sanitize_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sanitized_elements(p: DataFrame) -> DataFrame:
     """Fields of elements cleaned; the text of an element that classifies as sensitive is masked as a whole."""
-    e = P.page_elements(form_page(spark).unionByName(pages(spark, sf_dir)))
+    e = P.page_elements(p)
     metadata = F.concat_ws(" ", P.attribute("type"), P.attribute("name"), P.attribute("id"), P.attribute("autocomplete"), text.truthy(F.col("label")))
     hit = text.classify(metadata, P.attribute("value")).isNotNull() & F.col("tag").isin("input", "textarea")
     return e.select("page_id", "element_id", F.when(hit, "[REDACTED]").otherwise(text.sanitize(F.col("text"))).alias("text"), text.sanitize(F.col("label")).alias("label"), text.sanitize(P.attribute("placeholder")).alias("placeholder"))
 
 
+@query()
+def t6_sanitize_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitized_elements(form_page(spark).unionByName(pages(spark, sf_dir)))
+
+
 @query(f"SELECT category, n FROM (SELECT {sql_classify(chr(39) * 2, 'text', 'category')} AS category, count(*) AS n FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) GROUP BY 1) WHERE category IS NOT NULL")
 def u1_union_of_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = spread(table(spark, sf_dir, "documents").select("text")).unionByName(spread(table(spark, sf_dir, "conversations").select("text")))

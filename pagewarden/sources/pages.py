@@ -12,62 +12,95 @@ from ..functions import rules, text
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 KEPT = ("type", "id", "name", "autocomplete", "placeholder", "value", "href", "role", "title", "for", "style", "aria-label", "aria-labelledby", "aria-describedby", "aria-expanded", "aria-haspopup", "aria-checked", "aria-selected", "tabindex", "contenteditable", "disabled")
-ELEMENT_SCHEMA = "page_id long, ord int, parent int, tag string, text string, form int, label_ord int, attrs map<string,string>"
-RUN_SCHEMA = "page_id long, ord int, parent int, parent_tag string, text string"
+
+
+SCAN_SCHEMA = "page_id long, is_run boolean, ord int, parent int, tag string, text string, form int, label_ord int, attrs map<string,string>"
+#: Elements that a scan names or looks labels up in; others carry no text of their own, which would repeat that of all below them.
+TEXTED = {"button", "input", "textarea", "select", "a", "label", "option", *(f"h{k}" for k in range(1, 7))}
 
 
 class _Tree(HTMLParser):
-    """Elements and text runs of one page in document order."""
+    """Elements and text runs of one page in document order; each tag and run costs the same at any depth."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.elements: list[dict] = []
+        self.elements: list[list] = []  # parent, tag, form, label, attributes, first run, run after the last
         self.runs: list[tuple] = []
-        self.open: list[int] = []
+        self.open: list[tuple] = []  # element, tag, nearest form, nearest label
+        self.depth: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         k = len(self.elements)
-        near = lambda t: next((i for i in reversed(self.open) if self.elements[i]["tag"] == t), None)
-        self.elements.append({"ord": k, "parent": self.open[-1] if self.open else None, "tag": tag, "text": [], "form": near("form"), "label_ord": near("label"), "attrs": {a: v or "" for a, v in attrs if a in KEPT}})
+        parent, _, form, label = self.open[-1] if self.open else (None, None, None, None)
+        kept = {a: v or "" for a, v in attrs if a in KEPT}
+        self.elements.append([parent, tag, form, label, kept, len(self.runs), len(self.runs)])
         if tag not in VOID:
-            self.open.append(k)
+            self.open.append((k, tag, k if tag == "form" else form, k if tag == "label" else label))
+            self.depth[tag] = self.depth.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.elements[self.open[i]]["tag"] == tag:
-                del self.open[i:]
+        while self.depth.get(tag):
+            k, name, *_ = self.open.pop()
+            self.elements[k][6] = len(self.runs)
+            self.depth[name] -= 1
+            if name == tag:
                 break
 
     def handle_data(self, data):
         if data.strip() and self.open:
-            self.runs.append((len(self.runs), self.open[-1], self.elements[self.open[-1]]["tag"], data))
-            if self.elements[self.open[-1]]["tag"] not in ("script", "style"):
-                for i in self.open:
-                    self.elements[i]["text"].append(data)
+            self.runs.append((self.open[-1][0], self.open[-1][1], data))
+
+    def close(self):
+        super().close()
+        for k, *_ in self.open:
+            self.elements[k][6] = len(self.runs)
+
+    def text(self, k: int) -> str:
+        """The text of an element, white space collapsed, scripts left out."""
+        _, tag, _, _, attrs, first, end = self.elements[k]
+        if tag not in TEXTED and "role" not in attrs and "contenteditable" not in attrs:
+            return ""
+        return " ".join("".join(data for _, t, data in self.runs[first:end] if t not in ("script", "style")).split())
 
 
-def _parsed(pages: DataFrame, rows, schema: str) -> DataFrame:
+def scan(pages: DataFrame) -> DataFrame:
+    """All elements and text runs of all pages, from one parse a page.
+
+    Null html has neither; rows without page_id keep it null.
+    """
+
     def run(batches):
         for pdf in batches:
             out = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"], strict=True):
+            for page_id, html in zip(pdf["page_id"].astype("Int64"), pdf["html"], strict=True):
                 tree = _Tree()
                 tree.feed(html or "")
                 tree.close()
-                out += rows(int(page_id), tree)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({c: "Int32" for c in ("parent", "form", "label_ord") if c in schema})
+                out += [(page_id, False, k, e[0], e[1], tree.text(k), e[2], e[3], e[4]) for k, e in enumerate(tree.elements)]
+                out += [(page_id, True, k, parent, tag, data, None, None, None) for k, (parent, tag, data) in enumerate(tree.runs)]
+            rows = pd.DataFrame(out, columns=[c.split()[0] for c in SCAN_SCHEMA.split(", ")])
+            yield rows.astype({"page_id": "Int64", "parent": "Int32", "form": "Int32", "label_ord": "Int32"})
 
-    return pages.select("page_id", "html").mapInPandas(run, schema)
+    return pages.select("page_id", "html").mapInPandas(run, SCAN_SCHEMA)
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """All elements of all pages in document order, with their text, attributes, form and enclosing label."""
-    return _parsed(pages, lambda p, t: [(p, e["ord"], e["parent"], e["tag"], " ".join("".join(e["text"]).split()), e["form"], e["label_ord"], e["attrs"]) for e in t.elements], ELEMENT_SCHEMA)
+    """All elements of all pages in document order, with attributes, form and enclosing label, and the text of those that a scan names."""
+    return scan(pages).filter("NOT is_run").drop("is_run")
 
 
 def text_runs(pages: DataFrame) -> DataFrame:
     """All text runs with their element."""
-    return _parsed(pages, lambda p, t: [(p, *r) for r in t.runs], RUN_SCHEMA)
+    return scan(pages).filter("is_run").select("page_id", "ord", "parent", F.col("tag").alias("parent_tag"), "text")
+
+
+def page_context(pages: DataFrame) -> DataFrame:
+    """page_id, elements, interactive, detections, categories of every page, from one parse and one aggregation."""
+    seen = ~F.col("is_run") & selected() & visible()
+    body = F.col("is_run") & ~F.col("tag").isin(*SKIPPED, "title")
+    hits = F.when(body, F.transform(text.matches(F.col("text")), lambda m: m["category"]))
+    rows = scan(pages).select("page_id", seen.alias("seen"), (seen & category().isin(*rules.INTERACTIVE)).alias("interactive"), hits.alias("hits"))
+    return rows.groupBy("page_id").agg(F.count_if("seen").alias("elements"), F.count_if("interactive").alias("interactive"), F.sum(F.coalesce(F.size("hits"), F.lit(0))).alias("detections"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("hits"))))).alias("categories"))
 
 
 def attribute(name: str) -> Column:
@@ -114,7 +147,7 @@ def page_elements(pages: DataFrame) -> DataFrame:
     """The scan of a page: selected, visible, numbered elements; text to 500 characters, label looked up."""
     every = elements(pages)
     found = numbered(every.filter(selected() & visible())).withColumn("category", category())
-    return labelled(found, every).withColumn("text", F.substring(text.first_truthy(F.col("text"), attribute("value"), F.lit("")), 1, 500))
+    return labelled(found, every).withColumn("text", F.coalesce(F.substring(text.first_truthy(F.col("text"), attribute("value")), 1, 500), F.lit("")))
 
 
 def labelled(found: DataFrame, every: DataFrame) -> DataFrame:
