@@ -16,13 +16,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS page_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS timer, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS fired FROM e UNION ALL
+SELECT page_id, i, CASE WHEN timer IS NULL OR due THEN ms + 7200000 ELSE timer END, CASE WHEN ok THEN timer ELSE last END, CASE WHEN ok THEN timer END
+FROM (SELECT *, due AND (last IS NULL OR timer - last >= 54000000) AS ok FROM (SELECT s.page_id, e.i, timer, last, e.ms, coalesce(timer <= e.ms, false) AS due FROM s JOIN e ON s.page_id = e.page_id AND e.i = s.i + 1)))
+SELECT page_id, fired AS scan_at FROM s WHERE fired IS NOT NULL UNION ALL SELECT page_id, timer FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i DESC) AS r FROM s) WHERE r = 1 AND timer IS NOT NULL AND (last IS NULL OR timer - last >= 54000000)""")
 def r1_scan_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans that a page watcher makes: 2 time units after the first change, none within 15 of the last; hours here."""
     return E.scan_times(events(spark, sf_dir).select(F.col("user_id").alias("page_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at")), delay=2 * 3_600_000, pause=15 * 3_600_000)
 
 
-@query("""SELECT user_id, session_start, n, last_event FROM (SELECT user_id, s, min(ts) AS session_start, count(*) AS n, arg_max(event_id, ts) AS last_event FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, s)""")
+@query("""SELECT user_id, session_start, n, last_event FROM (SELECT user_id, s, min(ts) AS session_start, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, s)""")
 def r2_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.debounced(events(spark, sf_dir), "user_id", "30 minutes").select("user_id", "session_start", "n", "last_event")
 
@@ -44,9 +48,9 @@ def r5_call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(events(spark, sf_dir).select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], 7, "call").select("user_id", "event_id", "call")
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS status, max(ts) AS at FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS at FROM events GROUP BY user_id")
 def r8_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.max("ts").alias("at"))
+    return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"))
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 4")
@@ -54,9 +58,9 @@ def k2_last_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn").desc()], 4).select("conv_id", "turn", "role")
 
 
-@query("SELECT event_type, arg_max(props, ts) AS props FROM events GROUP BY event_type")
+@query("SELECT event_type, arg_max(props, (ts, event_id)) AS props FROM events GROUP BY event_type")
 def k6_last_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("event_type").agg(F.max_by("props", "ts").alias("props"))
+    return events(spark, sf_dir).groupBy("event_type").agg(F.max_by("props", F.struct("ts", "event_id")).alias("props"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso, epoch_us(ts) // 1000 AS ms, epoch_us(TIMESTAMP '2024-03-01') // 1000 - epoch_us(ts) // 1000 > 120000 AS stale FROM events")
@@ -115,7 +119,7 @@ def o6_most_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) <= 50 AS allowed FROM events GROUP BY user_id")
 def o7_step_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("user_id").agg(F.collect_list("event_id").alias("steps")).select("user_id", (F.size("steps") <= 50).alias("allowed"))
+    return events(spark, sf_dir).groupBy("user_id").agg((F.count("*") <= 50).alias("allowed"))
 
 
 @query("SELECT event_id, CAST(round(100 * (event_id % 7 + 1) / 7.0) AS BIGINT) AS percent FROM events")
@@ -156,7 +160,7 @@ def f10_intent_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("conv_id", F.regexp_extract("line", MEDIA, 2).alias("media"), F.regexp_extract("line", SEARCH, 1).alias("searched"), F.lower(F.regexp_extract("line", SEARCH, 2)).alias("site"))
 
 
-@query()
+@query("SELECT conv_id, turn, role FROM (SELECT *, max(CASE WHEN turn < 2 THEN turn END) OVER (PARTITION BY conv_id) AS seen FROM conversations) WHERE seen IS NULL OR turn > seen")
 def r7_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that are new since the last seen state of each conversation."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")

@@ -9,19 +9,19 @@ from ..functions import geometry as G
 from ..operators import spatial
 from . import query, rows_of, table
 
-ELEMENTS = "(SELECT p_partkey AS id, p_partkey % 50 AS page_id, (p_partkey * 37) % 1200 AS x, (p_partkey * 91) % 700 AS y, 20 + (p_partkey * 13) % 300 AS w, 16 + (p_partkey * 7) % 120 AS h FROM part)"
-VISUALS = "(SELECT s_suppkey AS vid, s_suppkey % 50 AS page_id, (s_suppkey * 53) % 1200 AS vx, (s_suppkey * 29) % 700 AS vy, 30 + (s_suppkey * 17) % 200 AS vw, 20 + (s_suppkey * 11) % 80 AS vh FROM supplier)"
+ELEMENTS = "(SELECT p_partkey AS id, p_partkey // 40 AS page_id, (p_partkey * 37) % 1200 AS x, (p_partkey * 91) % 700 AS y, 20 + (p_partkey * 13) % 300 AS w, 16 + (p_partkey * 7) % 120 AS h FROM part)"
+VISUALS = "(SELECT s_suppkey AS vid, s_suppkey // 2 AS page_id, (s_suppkey * 53) % 1200 AS vx, (s_suppkey * 29) % 700 AS vy, 30 + (s_suppkey * 17) % 200 AS vw, 20 + (s_suppkey * 11) % 80 AS vh FROM supplier)"
 INTER = "greatest(0, least(x + w, vx + vw) - greatest(x, vx)) * greatest(0, least(y + h, vy + vh) - greatest(y, vy))"
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(k.alias("id"), (k % 50).alias("page_id"), G.rect(k * 37 % 1200, k * 91 % 700, 20 + k * 13 % 300, 16 + k * 7 % 120).alias("rect"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.floor(k / 40).alias("page_id"), G.rect(k * 37 % 1200, k * 91 % 700, 20 + k * 13 % 300, 16 + k * 7 % 120).alias("rect"))
 
 
 def visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("vid"), (k % 50).alias("page_id"), G.rect(k * 53 % 1200, k * 29 % 700, 30 + k * 17 % 200, 20 + k * 11 % 80).alias("vrect"))
+    return table(spark, sf_dir, "supplier").select(k.alias("vid"), F.floor(k / 2).alias("page_id"), G.rect(k * 53 % 1200, k * 29 % 700, 30 + k * 17 % 200, 20 + k * 11 % 80).alias("vrect"))
 
 
 def flat(r: str) -> list:
@@ -262,23 +262,39 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.select("page_id", F.explode("kept").alias("k")).select("page_id", "k.id")
 
 
-@query()
+def _greedy(boxes: str, clash: str, order: str = "o, id") -> str:
+    """SQL of greedy suppression of ``boxes`` (page_id, o, id, x, y, w, h, t) by a condition on structs k (kept) and b: a box after the other, page by page."""
+    return f"""WITH RECURSIVE boxes AS (SELECT page_id, list({{'id': id, 'x': x, 'y': y, 'w': w, 'h': h, 't': t}} ORDER BY {order}) AS bs FROM {boxes} GROUP BY page_id),
+steps AS (SELECT page_id, bs, 0 AS i, bs[1:0] AS kept FROM boxes UNION ALL SELECT page_id, bs, i + 1, CASE WHEN len(list_filter(kept, lambda k: {clash.replace("b.", "bs[i + 1].")})) > 0 THEN kept ELSE list_append(kept, bs[i + 1]) END FROM steps WHERE i < len(bs))
+SELECT page_id, b.id AS id, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.t AS t FROM (SELECT page_id, unnest(kept) AS b FROM steps WHERE i = len(bs))"""
+
+
+_SHARED = "(greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y)))"
+_IOU = f"{_SHARED} / (k.w * k.h + b.w * b.h - {_SHARED})"
+_BY_ID = f"(SELECT *, id AS o, id % 3 AS t FROM {ELEMENTS})"
+_BY_AREA = f"(SELECT *, -w * h AS o, id % 3 AS t FROM {ELEMENTS})"
+
+
+@query(f"SELECT page_id, id FROM ({_greedy(f'(SELECT * FROM {_BY_ID} WHERE w >= 12 AND h >= 12)', _IOU + ' >= 0.42')})")
 def w2_face_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = F.filter("boxes", lambda b: (b["width"] >= 12) & (b["height"] >= 12))
     return _kept(_ordered(spark, sf_dir, "arrival").select("page_id", G.suppressed(big, lambda k, b: G.iou(k, b) >= 0.42).alias("kept")))
 
 
-@query()
+@query(f"SELECT page_id, id FROM ({_greedy(_BY_AREA, _IOU + ' >= 0.70')})")
 def w3_region_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(_ordered(spark, sf_dir, "area").select("page_id", G.suppressed(F.col("boxes"), lambda k, b: G.iou(k, b) >= 0.70).alias("kept")))
 
 
-@query()
+@query(f"SELECT page_id, id FROM ({_greedy(_BY_ID, _IOU + ' >= 0.85 AND k.t = b.t')})")
 def w4_same_type_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(_ordered(spark, sf_dir, "arrival").select("page_id", G.suppressed(F.col("boxes"), lambda k, b: (G.iou(k, b) >= 0.85) & (k["type"] == b["type"])).alias("kept")))
 
 
-@query()
+_CONTAINED = f"({_SHARED} / (k.w * k.h) >= 0.90 OR {_SHARED} / (b.w * b.h) >= 0.90)"
+
+
+@query(f"SELECT page_id, id FROM ({_greedy('(SELECT *, -w * h AS o FROM (' + _greedy(_BY_AREA, _CONTAINED) + '))', _IOU + ' >= 0.65')})")
 def w5_two_pass_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _ordered(spark, sf_dir, "area").select("page_id", G.suppressed(F.col("boxes"), lambda k, b: (G.containment(b, k) >= 0.90) | (G.containment(k, b) >= 0.90)).alias("boxes"))
     return _kept(first.select("page_id", G.suppressed(F.col("boxes"), lambda k, b: G.iou(k, b) >= 0.65).alias("kept")))

@@ -32,7 +32,7 @@ def debounced(events: DataFrame, key: str, gap: str) -> DataFrame:
     """One row for each burst of a key: when it starts, how many events, the last one.  Works on batches and, below a
     watermark on ts, on streams."""
     grouped = events.groupBy(key, F.session_window("ts", gap).alias("w"))
-    return grouped.agg(F.count("*").alias("n"), F.max_by("event_id", "ts").alias("last_event")).select(key, F.col("w.start").alias("session_start"), "n", "last_event")
+    return grouped.agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")).select(key, F.col("w.start").alias("session_start"), "n", "last_event")
 
 
 def _before(events: DataFrame, key: str, kinds: list[str]) -> DataFrame:
@@ -85,4 +85,4 @@ def continuation_stream(events: DataFrame, put: str, take: str, ttl_seconds: int
 
 def latest_status(events: DataFrame) -> DataFrame:
     """The last status of each key; a running aggregate on a stream."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.max("ts").alias("at"))
+    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"))
