@@ -25,13 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pagewarden-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker while a table is staged: each side holds several of them outside its heap.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of about BATCH_BYTES for the jobs inside; the session's own setting comes back after them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def staged(df: DataFrame, directory: str, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs a reread of finished files, not a recomputation.
     """
     path = f"{directory}/{label}"
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
