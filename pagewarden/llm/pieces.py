@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 CACHE_WORDS = 400_000
-#: Texts whose pieces a task holds at once.
-STEP = 300
+#: Characters of texts whose pieces a task holds at once; a longer text is alone.
+STEP_CHARS = 1 << 20
 PIECES_SCHEMA = "doc_id long, ids array<int>, starts array<long>, ends array<long>"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean, ids array<int>"
 
@@ -75,9 +75,8 @@ class Model:
         # Merges can't cross the start of a run of spaces if no piece has a space mark after another character.
         self.splits = all(set(p.piece) == {SPACE} or SPACE not in p.piece[1:] for p in proto.pieces) and not proto.trainer_spec.treat_whitespace_as_suffix
         self.simple = not self.map.units and self.dummy and not self.squeeze and self.splits
-        #: Source bytes of each piece where characters stay as they are: a space mark is one byte.
-        texts = [p.piece for p in proto.pieces]
-        self.widths = np.asarray([1 if p.type == p.BYTE else len(t.encode()) - 2 * t.count(SPACE) for p, t in zip(proto.pieces, texts, strict=True)], np.int64)
+        #: Normalised bytes of each piece.
+        self.widths = np.asarray([1 if p.type == p.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.words: dict[str, tuple] = {}
 
     def normalised(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -117,19 +116,30 @@ class Model:
                 blank = space
         return bytes(out), np.asarray([*places, end], np.int64)
 
+    def places(self, text: str) -> np.ndarray:
+        """The second part of ``normalised``: where each normalised byte, and the end, comes from.
+
+        Without a key in the map each character stays, so the walk is one step for the whole text: a space becomes the bytes of its mark.
+        """
+        if self.map.units or self.squeeze or not text:
+            return self.normalised(text)[1]
+        data = np.frombuffer(text.encode(), np.uint8)
+        mark = len(SPACE.encode())
+        lead = np.zeros(mark if self.dummy else 0, np.int64)
+        first = np.maximum.accumulate(np.where(data & 0xC0 != 0x80, np.arange(len(data)), 0))  # of each byte's character
+        return np.concatenate([lead, np.repeat(first, np.where(data == 0x20, mark, 1)), [len(data)]])
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and the source bytes [start, end) of each piece; by segments where the model allows it."""
         entries = self.entries(text)
         return self.whole(text) if entries is None else self.spans(text, entries)
 
     def spans(self, text: str, entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pieces of a text's segments with their source bytes."""
+        """The pieces of a text's segments, each projected through the normaliser's alignment."""
         ids = np.frombuffer(b"".join([e[0] for e in entries]), "<i4")
-        width = self.widths[ids]
-        if len(ids):
-            width[0] -= 1  # the dummy prefix before the first character has no source byte
+        width, places = self.widths[ids], self.places(text)
         ends = np.cumsum(width)
-        return ids, ends - width, ends
+        return ids, places[ends - width], places[ends]
 
     def entries(self, text: str) -> list[tuple] | None:
         """Ids (bytes) and decimal ids of the text's segments; None if the model or the text needs it whole.
@@ -179,7 +189,7 @@ class Model:
         plain, places = self.normalised(text)
         widths = np.asarray([self.piece_bytes(i) for i in ids.tolist()], np.int64)
         if (widths < 0).any() or widths.sum() != len(plain):  # an unknown piece has no fixed width
-            proto = self.lib.encode(text, out_type="immutable_proto")
+            proto = self.lib.encode(text, return_type="proto")
             widths = np.asarray([len(p.piece.encode()) if not self.lib.is_byte(p.id) else 1 for p in proto.pieces], np.int64)
         ends = np.cumsum(widths)
         return ids, places[ends - widths], places[ends]
@@ -255,10 +265,14 @@ def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> Data
 
 
 def _steps(batches):
-    """The batches in slices of STEP rows: a text's ids as Python numbers take many times its bytes."""
+    """The batches in slices of about STEP_CHARS of text or ids: a text's ids as Python numbers take many times its bytes."""
     for pdf in batches:
-        for k in range(0, len(pdf), STEP):
-            yield pdf.iloc[k : k + STEP].reset_index(drop=True)
+        sizes = pdf.iloc[:, 1].map(lambda x: 0 if x is None else len(x)).to_numpy()
+        step = (np.cumsum(sizes) - sizes) // STEP_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield pdf.iloc[a:b].reset_index(drop=True)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

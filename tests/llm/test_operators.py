@@ -343,36 +343,76 @@ def test_pieces(spark, docs, empty):
     assert back[1] == "a " and back[7] == ""
 
 
-def test_compiled_map_takes_the_longest_prefix():
+def double_array(keys: dict[bytes, int]) -> bytes:
+    """A tiny double array with room for each node's children in a block of its own."""
+    import struct
+
+    units, blocks = {0: 0}, 0
+    nodes = {b"": 0}
+    for key in sorted({k[:j] for k in keys for j in range(len(k) + 1)}, key=len):
+        at = nodes[key]
+        below = sorted({k[len(key)] for k in keys if k.startswith(key) and len(k) > len(key)})
+        blocks += 1
+        base = blocks << 8
+        units[at] = units.get(at, 0) | (at ^ base) << 10 | (0x100 if key in keys else 0)
+        if key in keys:
+            units[base] = 0x80000000 | keys[key]
+        for c in below:
+            units[base ^ c] = c
+            nodes[key + bytes([c])] = base ^ c
+    n = -(-(max(units) + 1) // 256) * 256
+    return struct.pack(f"<{n}I", *[units.get(k, 0) for k in range(n)])
+
+
+def compiled(rules: dict[str, str]) -> bytes:
     import struct
 
-    def double_array(keys):
-        """A tiny double array with room for each node's children in a block of its own."""
-        units, blocks = {0: 0}, 0
-        nodes = {b"": 0}
-        for key in sorted({k[:j] for k in keys for j in range(len(k) + 1)}, key=len):
-            at = nodes[key]
-            below = sorted({k[len(key)] for k in keys if k.startswith(key) and len(k) > len(key)})
-            blocks += 1
-            base = blocks << 8
-            units[at] = units.get(at, 0) | (at ^ base) << 10 | (0x100 if key in keys else 0)
-            if key in keys:
-                units[base] = 0x80000000 | keys[key]
-            for c in below:
-                units[base ^ c] = c
-                nodes[key + bytes([c])] = base ^ c
-        return struct.pack(f"<{max(units) + 1}I", *[units.get(k, 0xFFFFFF00) for k in range(max(units) + 1)])
-
-    trie = double_array({b"a": 0, b"abc": 2, b"b": 4})
-    cmap = pieces.CharsMap(struct.pack("<I", len(trie)) + trie + b"X\0Y\0Z\0")
+    values, keys = b"", {}
+    for key, value in rules.items():
+        keys[key.encode()] = len(values)
+        values += value.encode() + b"\0"
+    trie = double_array(keys)
+    return struct.pack("<I", len(trie)) + trie + values
+
+
+def test_compiled_map_takes_the_longest_prefix():
+    cmap = pieces.CharsMap(compiled({"a": "X", "abc": "Y", "b": "Z"}))
     assert [cmap.longest(t, 0) for t in (b"abc", b"abd", b"b", b"q")] == [(3, 2), (1, 0), (1, 4), (0, 0)]
     assert [cmap.replacement(k) for k in (0, 2, 4)] == [b"X", b"Y", b"Z"]
 
 
-def test_width_table_gives_the_spans_of_the_normaliser(rows):
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_spans_through_a_map_are_those_of_the_library(tmp_path, squeeze):
+    """The public model with a map of its own put in: ligatures, wide letters, longer and shorter replacements, and one that vanishes."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(tokenizers_.path("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap = compiled({"ﬁ": "fi", "Ａ": "A", "①": "1", "\u3000": " ", "Q": "q", "Qu": "kw", "½": "1/2", "é": "é"})
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    model, lib = pieces.Model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    bits = ["ﬁ", "Ａ", "①", "\u3000", "Qu", "Q", "½", "é", "the", "word", " ", "  ", "日", "😀", "x"]
+    for _ in range(200):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        ids, starts, ends = model.encode(text)
+        want = lib.encode(text, return_type="proto")
+        assert ids.tolist() == [p.id for p in want.pieces]
+        if all(not lib.is_byte(p.id) for p in want.pieces):
+            chars = lambda at: len(text.encode()[:at].decode(errors="ignore"))
+            assert [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == [(p.begin, p.end) for p in want.pieces], text
+
+
+def test_alignment_of_a_map_without_keys_is_that_of_the_walk(rows):
     model = pieces.Model(tokenizers_.path("piece_bpe_32k.model"))
     assert model.simple and not model.map.units
     for t in [t or "" for _, t in rows if len(t or "") < 5000] + [" a", "a ", "a  b", "  ", "é😀 z", "\0 a", "a\tb\nc"]:
+        assert model.places(t).tolist() == model.normalised(t)[1].tolist()
         for way, want in zip(model.spans(t, model.entries(t)), model.whole(t), strict=True):
             assert way.tolist() == want.tolist()
 
