@@ -229,14 +229,15 @@ def ordered_alike(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
 def links_among(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent: int, old: int = 0) -> list[tuple[int, int]]:
     """Links that span those among a group's sets, or only those between the first ``old`` sets and the others.
 
-    Each set is looked up among those before it; one that equals an earlier set stands behind it and isn't looked up again.
+    Each set is looked up among those before it.  One that has the keys and size of an earlier set has the same links: it isn't looked
+    up again if the two link, which their other keys, that no set shares, may prevent.
     """
     ranks, universe = ordered_alike(sets)
     tree, forest, out, known = PrefixTree(percent, universe), Forest(len(ids)), [], {}
     order = np.argsort([len(r) for r in ranks], kind="stable").tolist() if not old else range(len(ids))
     for k in order:
         equal = known.setdefault((k < old, sizes[k], ranks[k].tobytes()), k)
-        if equal != k:
+        if equal != k and (100 + percent) * len(ranks[k]) >= 2 * percent * sizes[k]:
             if forest.join(equal, k):
                 out.append((ids[equal], ids[k]))
             continue

@@ -83,4 +83,31 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT (100 * (n_words - n_removed_words) < 50 * n_words) AS kept FROM j
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_quality": _QUALITY_SQL}
+#: The rule of revisits over whole payloads.
+_ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+t AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS top FROM p)
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to, url FROM t
+"""
+#: Least nodes that nodes reach over the links of ``links`` (x < y).
+_REACH = "reach AS (SELECT id AS node, id AS root FROM nodes UNION SELECT CASE WHEN l.x = r.node THEN l.y ELSE l.x END, r.root FROM reach r JOIN links l ON r.node = l.x OR r.node = l.y)"
+#: All pairs of vectors by their cosine.
+_COSINE_SQL = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (SELECT * FROM nodes WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.id AS x, b.id AS y FROM good a JOIN good b ON a.id < b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+{_REACH},
+ends AS (SELECT id, count(*) AS n FROM (SELECT x AS id FROM links UNION ALL SELECT y FROM links) GROUP BY id)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, id = root AS kept FROM (SELECT node AS id, min(root) AS root FROM reach GROUP BY node) LEFT JOIN ends USING (id)
+"""
+#: All pairs of documents that share a shingle.
+_JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents),
+nodes AS (SELECT id, CASE WHEN len(w) = 0 THEN w WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+e AS (SELECT id, len(g) AS n, unnest(g) AS k FROM nodes),
+links AS (SELECT a.id AS x, b.id AS y FROM e a JOIN e b ON a.k = b.k AND a.id < b.id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+{_REACH}
+SELECT id AS doc_id, len(g) AS n_shingles, root AS component_id FROM nodes JOIN (SELECT node AS id, min(root) AS root FROM reach GROUP BY node) USING (id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc_bundles": _ARCHIVE_SQL, "op3_line_quality": _QUALITY_SQL, "op9_cap_filters": _COSINE_SQL, "op10_ngram_join": _JACCARD_SQL}

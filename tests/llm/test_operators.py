@@ -506,17 +506,22 @@ def test_prefix_tree_finds_every_link(seed):
     rng = random.Random(seed)
     base = [rng.sample(range(200), 60) for _ in range(4)]
     sets = [sorted(set(rng.choice(base)[: rng.randint(40, 60)]) ^ set(rng.sample(range(200), rng.randint(0, 4)))) for _ in range(60)]
+    sets += [sets[k] for k in range(12)]
     held = [np.asarray(s, np.uint64) for s in sets]
     sizes = [len(s) + rng.randint(0, 6) for s in sets]  # with keys that no other set has
+    sizes[60:66] = [sizes[k] for k in range(6)]
+    sizes[66:] = [len(s) + 12 for s in sets[66:]]
+    for k in range(6, 12):
+        sizes[k] = len(sets[k]) + 12  # equal keys and sizes, yet unlike
     full = [frozenset(s) | {(k, j) for j in range(n - len(s))} for k, (s, n) in enumerate(zip(sets, sizes, strict=True))]
     linked = lambda a, b: brute.similar(full[a], full[b], 85)
-    ids = list(range(60))
+    ids = list(range(len(sets)))
     links = set(ngram_join.links_among(ids, held, sizes, 85))
     assert all(linked(a, b) for a, b in links)
     assert brute.components(ids, lambda a, b: (a, b) in links or (b, a) in links) == brute.components(ids, linked)
     across = set(ngram_join.links_among(ids, held, sizes, 85, 30))
     far = lambda a, b: (a < 30) != (b < 30) and linked(a, b)
-    own = lambda a, b: held[a].tolist() == held[b].tolist() and sizes[a] == sizes[b]
+    own = lambda a, b: held[a].tolist() == held[b].tolist() and sizes[a] == sizes[b] and linked(a, b)
     got = brute.components(ids, lambda a, b: (a, b) in across or (b, a) in across or own(a, b) and (a < 30) == (b < 30))
     assert got == brute.components(ids, lambda a, b: far(a, b) or own(a, b) and (a < 30) == (b < 30))
 

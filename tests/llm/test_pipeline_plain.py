@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from pagewarden.llm import secret_scan
+from pagewarden.llm import secret_scan, source_mix
 
 from . import brute
 
@@ -77,12 +77,12 @@ def near_duplicates(rows: list[dict]) -> list[dict]:
 def secrets(rows: list[dict], verdicts: dict) -> list[dict]:
     masked = []
     for r in rows:
-        text = re.sub(secret_scan.CANDIDATE, lambda m: "<SECRET>" if verdicts[r["doc_id"], m.start()] else m[0], r["text"])  # noqa: B023
+        text = re.sub(secret_scan.CandidateRule().pattern, lambda m: "<SECRET>" if verdicts[r["doc_id"], m.start()] else m[0], r["text"])  # noqa: B023
         masked.append({**r, "text": text})
     return masked
 
 
-def mixing(rows: list[dict]) -> list[dict]:
+def mixing(rows: list[dict], block_tokens: int = 65536) -> list[dict]:
     md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
     of = defaultdict(list)
     for r in rows:
@@ -108,7 +108,7 @@ def mixing(rows: list[dict]) -> list[dict]:
     for (s, rs), w in zip(of.items(), share(e), strict=True):
         budget = math.floor(round(w * total, 6))
         passes, rest = divmod(budget, tokens[s])
-        blocks = max(1, math.ceil(tokens[s] / 65536))
+        blocks = max(1, math.ceil(tokens[s] / block_tokens))
         block = lambda i: int(md5("mix", "block", i)[:8], 16) % blocks  # noqa: B023, E731
         order = sorted(rs, key=lambda x: (md5("mix", "order", passes, s, block(x[0]["doc_id"])), md5("mix", "doc", passes, x[0]["doc_id"])))  # noqa: B023
         out += [r for r, _ in rs] * passes
@@ -120,6 +120,17 @@ def mixing(rows: list[dict]) -> list[dict]:
     return out
 
 
+@pytest.mark.parametrize("block_tokens", [65536, 500])
+def test_mix_equals_the_plain_mix(spark, block_tokens):
+    """Which documents the last pass takes, by blocks of few documents and by one block."""
+    rows = [r for r in fixture() if r["text"]]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = source_mix.mix_digest(docs, source_mix.MixTarget(block_tokens=block_tokens)).collect()
+    want = Counter(r["doc_id"] for r in mixing(rows, block_tokens))
+    assert Counter(r.doc_id for r in got) == want and max(want.values()) > 1
+    assert all(r.n_tokens == len(words_of(rows[r.doc_id]["text"])) for r in got)
+
+
 def test_run_equals_the_plain_chain(spark, tmp_path):
     import sentencepiece
 
