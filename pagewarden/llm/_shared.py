@@ -41,6 +41,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, own)
 
 
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches for all of a session's jobs: for applications and queries, whose last job their caller runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def staged(df: DataFrame, directory: str, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 

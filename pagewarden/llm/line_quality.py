@@ -45,7 +45,7 @@ def text_stats(text: str | None, codes: dict[bytes, int]) -> tuple[int, int, int
     lines = [x for x in data.split(b"\n") if x and x.strip()]
     repeated = 0
     if n >= 4:
-        if len(codes) > 200_000:
+        if len(codes) > 100_000:
             codes.clear()
         ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint64, n)
         if len(codes) <= 1 << 21:
@@ -111,11 +111,12 @@ def verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     common = common_lines(docs, limits).groupBy("host").agg(F.collect_list("line_hash").alias("common"))
     common = staged(common, shared_dir(docs.sparkSession), "common")
     # The caller's row is one struct, so no name of its columns can clash with one here.
-    rows = docs.select(F.struct("*").alias("row"), host_of(docs).alias("host"), "text").join(common, "host", "left")
-    removed = F.filter(normal_lines(F.col("text")), lambda x: F.array_contains(F.col("common"), F.xxhash64(x)))
+    rows = docs.select(F.struct("*").alias("row"), host_of(docs).alias("host")).join(common, "host", "left")
+    text = F.col("row").getField("text")
+    removed = F.filter(normal_lines(text), lambda x: F.array_contains(F.col("common"), F.xxhash64(x)))
     n_removed = F.aggregate(removed, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    rows = rows.withColumn("removed", F.when(F.col("common").isNull() | F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_removed))
-    rows = rows.withColumn("s", F.pandas_udf(base_stats, STATS_SCHEMA)(F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.withColumn("removed", F.when(F.col("common").isNull() | text.isNull(), F.lit(0).cast("long")).otherwise(n_removed))
+    rows = rows.withColumn("s", F.pandas_udf(base_stats, STATS_SCHEMA)(F.coalesce(text, F.lit(""))))
     n = F.col("s.n_words")
     failed = (n < 50) | (100 * F.col("s.n_repeat_words") > 50 * n)
     depleted = 100 * (n - F.col("removed")) < limits.keep_percent * n

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import cap_filters, language_codes, line_quality, ngram_join, pieces, secret_scan, source_mix, suffix_dedup, token_files, warc_bundles
+from ._shared import lean
 
 
 def _tokenizer(name: str) -> str:
@@ -16,6 +17,7 @@ def _tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -102,7 +104,8 @@ SELECT id AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, id = root
 """
 #: All pairs of documents that share a shingle.
 _JACCARD_SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
 nodes AS (SELECT id, CASE WHEN len(w) = 0 THEN w WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
 e AS (SELECT id, len(g) AS n, unnest(g) AS k FROM nodes),
 links AS (SELECT a.id AS x, b.id AS y FROM e a JOIN e b ON a.k = b.k AND a.id < b.id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
