@@ -122,6 +122,16 @@ def sanitize_fallback(text: Column) -> Column:
     return _replaced(F.coalesce(text, F.lit("")), rules.FALLBACK_PATTERNS, "<REDACTED>")
 
 
+def sums_before(lengths: Column, block: int = 256) -> Column:
+    """The sum of what stands before each place of an array of numbers, by sums of blocks: work is nearly in proportion to its size."""
+    add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    blocks = lambda n: F.sequence(F.lit(0), F.floor(F.size(n) / block).cast("int"))
+    whole = lambda n: F.transform(blocks(n), lambda b: add(F.slice(n, b * block + 1, F.lit(block))))
+    starts = lambda t: F.transform(t, lambda x, b: add(F.slice(t, F.lit(1), b)))
+    inside = lambda n, s: F.transform(n, lambda x, i: F.get(s, F.floor(i / block).cast("int")) + add(F.slice(n, i - i % block + 1, i % block)))
+    return let(lengths, lambda n: let(let(whole(n), starts), lambda s: inside(n, s)))
+
+
 def matches(text: Column) -> Column:
     """All matches of the extraction patterns as an array of structs (value, category, severity, start, end).
 
@@ -133,24 +143,37 @@ def matches(text: Column) -> Column:
     for category, pattern, fold in rules.MATCH_PATTERNS:
         p = java(pattern, fold)
         both = F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("v"), F.split(text, p, -1).alias("g"))
-        parts.append(F.when(found(text, pattern, fold), let(both, _hits(category))).otherwise(none))
+        parts.append(F.when(found(text, pattern, fold), let(both, _placed(category))).otherwise(none))
     return F.concat(*parts)
 
 
-def _hits(category: str):
-    return lambda x: F.transform(x["v"], _hit(category, x["v"], x["g"]))
+def _placed(category: str):
+    """A match starts after the gaps up to its own and the matches before it."""
+
+    def hits(x: Column) -> Column:
+        lengths = F.transform(x["v"], lambda v, i: F.length(F.get(x["g"], i)) + F.length(v))
+        return let(sums_before(lengths), lambda before: F.transform(x["v"], lambda v, i: _hit(category, v, F.get(before, i) + F.length(F.get(x["g"], i)))))
+
+    return hits
+
 
+def _hit(category: str, v: Column, start: Column) -> Column:
+    d = classify(F.lit(category), v)
+    return F.struct(v.alias("value"), d["category"].alias("category"), d["severity"].alias("severity"), start.cast("int").alias("start"), (start + F.length(v)).cast("int").alias("end"))
 
-def _hit(category: str, values: Column, gaps: Column):
-    """Struct of the i-th match; it starts after the gaps up to its own and the matches before it."""
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
 
-    def hit(v: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(values, F.lit(1), i))
-        d = classify(F.lit(category), v)
-        return F.struct(v.alias("value"), d["category"].alias("category"), d["severity"].alias("severity"), start.alias("start"), (start + F.length(v)).alias("end"))
+def _valued(category: str):
+    return lambda v: let(classify(F.lit(category), v), lambda d: F.struct(v.alias("value"), d["category"].alias("category"), d["severity"].alias("severity")))
 
-    return hit
+
+def matched_values(text: Column) -> Column:
+    """The matches without their places: array of structs (value, category, severity)."""
+    none = F.array().cast("array<struct<value:string,category:string,severity:string>>")
+    parts = []
+    for category, pattern, fold in rules.MATCH_PATTERNS:
+        values = F.regexp_extract_all(text, F.lit(java(pattern, fold)), F.lit(0))
+        parts.append(F.when(found(text, pattern, fold), F.transform(values, _valued(category))).otherwise(none))
+    return F.concat(*parts)
 
 
 def label_categories(text: Column) -> Column:

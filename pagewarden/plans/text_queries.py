@@ -109,11 +109,19 @@ def sql_matches() -> str:
 
 @query(sql_matches())
 def t4_match_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values and classes; documents hold no identity number, whose look-around the SQL lacks.  Offsets are tested apart."""
-    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.matches(F.col("text"))).alias("m"))
+    """Values and classes; documents hold no identity number, whose look-around the SQL lacks.  Offsets are those of t4_match_places."""
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.matched_values(F.col("text"))).alias("m"))
     return found.groupBy("doc_id", F.col("m.value").alias("value"), F.col("m.category").alias("category"), F.col("m.severity").alias("severity")).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS in_place FROM ({sql_matches()}) GROUP BY doc_id")
+def t4_match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many matches a document has, and how many of them stand where their offsets say."""
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.explode(text.matches(F.col("text"))).alias("m"))
+    there = F.substring(F.col("text"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")) == F.col("m.value")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(there).alias("in_place"))
+
+
 @query()
 def t4_match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = texts(spark, sf_dir).select("origin", "id", F.explode(text.matches(F.col("text"))).alias("m"))
