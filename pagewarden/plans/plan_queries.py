@@ -178,8 +178,12 @@ TYPED = [("search mail", PROSE, "ed", "ed"), ("search mail", "short", "ed", "pla
 def n5_type_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long prose planned for a search box goes to the first editor, if there is one."""
     rows = rows_of(spark, "id int, descriptor string, value string, editor string", [(k, *r[:3]) for k, r in enumerate(TYPED)])
+    return rows.select("id", type_target().alias("target"))
+
+
+def type_target():
     prose = (F.length("value") > 80) & F.col("value").rlike(r"\s") & F.lower("descriptor").contains("search")
-    return rows.select("id", F.when(prose & F.col("editor").isNotNull(), F.col("editor")).otherwise("planned").alias("target"))
+    return F.when(prose & F.col("editor").isNotNull(), F.col("editor")).otherwise("planned")
 
 
 STATES = [(1, '{"interactiveElements": [{"a": 1}, {"a": 2}], "forms": [], "privacy": {"sanitized": true, "rawScreenshotIncluded": false, "redactedRegionCount": 3}}'), (2, '{"visualText": [1, 2, 3], "privacy": {"sanitized": false}}'), (3, "not json")]
@@ -187,14 +191,21 @@ STATES = [(1, '{"interactiveElements": [{"a": 1}, {"a": 2}], "forms": [], "priva
 
 @query("SELECT * FROM (VALUES (1, 2, 0, 0, 3), (2, 0, 0, 3, 0), (3, 0, 0, 0, 0)) AS v(id, elements, forms, visual_text, redacted)")
 def a8_receipt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(spark, "id int, s string", STATES).select("id", *receipt_counts())
+
+
+def receipt_counts() -> list:
     n = lambda p: F.coalesce(F.size(F.from_json(F.get_json_object("s", f"$.{p}"), "array<string>")), F.lit(0))
-    return rows_of(spark, "id int, s string", STATES).select("id", n("interactiveElements").alias("elements"), n("forms").alias("forms"), n("visualText").alias("visual_text"), F.coalesce(F.get_json_object("s", "$.privacy.redactedRegionCount").try_cast("int"), F.lit(0)).alias("redacted"))
+    return [n("interactiveElements").alias("elements"), n("forms").alias("forms"), n("visualText").alias("visual_text"), F.coalesce(F.get_json_object("s", "$.privacy.redactedRegionCount").try_cast("int"), F.lit(0)).alias("redacted")]
 
 
 @query("SELECT * FROM (VALUES (1, 'OK'), (2, 'NOT_SANITIZED'), (3, 'INVALID_JSON')) AS v(id, status)")
 def s10_ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.try_parse_json("s").isNull(), "INVALID_JSON").when(~J.privacy_gate(F.col("s")), "NOT_SANITIZED").when(J.contains_raw_pii(F.col("s")), "RAW_PII").otherwise("OK")
-    return rows_of(spark, "id int, s string", STATES).select("id", status.alias("status"))
+    return rows_of(spark, "id int, s string", STATES).select("id", state_status().alias("status"))
+
+
+def state_status():
+    return F.when(F.try_parse_json("s").isNull(), "INVALID_JSON").when(~J.privacy_gate(F.col("s")), "NOT_SANITIZED").when(J.contains_raw_pii(F.col("s")), "RAW_PII").otherwise("OK")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(text) BETWEEN 1 AND 1000")
@@ -245,10 +256,14 @@ def m13_sensitive_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 1 AS image_id, 4 AS texts, 2 AS regions, 4 AS sensitive")
 def a6_vision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = rows_of(spark, "image_id int, text_id int, text string, x1 int, y1 int, x2 int, y2 int", OCR)
+    return vision_summary(texts, rows_of(spark, "image_id int, region_id int, x int, y int, width int, height int", FIELDS))
+
+
+def vision_summary(texts: DataFrame, regions: DataFrame) -> DataFrame:
+    """How many texts, regions and sensitive places a picture has."""
     from ..operators.vision import sensitive_information
 
-    texts = rows_of(spark, "image_id int, text_id int, text string, x1 int, y1 int, x2 int, y2 int", OCR)
-    regions = rows_of(spark, "image_id int, region_id int, x int, y int, width int, height int", FIELDS)
     parts = [(texts, "texts"), (regions, "regions"), (sensitive_information(texts, regions, 640, 480), "sensitive")]
     ones = [d.select("image_id", *[F.lit(int(n == m)).alias(m) for _, m in parts]) for d, n in parts]
     return ones[0].unionByName(ones[1]).unionByName(ones[2]).groupBy("image_id").agg(*[F.sum(m).cast("int").alias(m) for _, m in parts])
