@@ -152,7 +152,7 @@ def f9_search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS = [(1, "https://github.com/me", "https://github.com/me"), (2, "https://github.com/me", "https://github.com/me/repo"), (3, "https://github.com/me", "https://x.org/me"), (4, "https://github.com/", "https://github.com/")]
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS v(id, identity)")
 def p23_profile_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(spark, "id int, page string, link string", LINKS).select("id", urls.profile_identity(F.col("page"), F.col("link")).alias("identity"))
 
@@ -253,7 +253,7 @@ def rebound(old: DataFrame, new: DataFrame) -> DataFrame:
     return ranking.unique_winner(scored, ["page_id"], "score", 12)
 
 
-@query()
+@query("SELECT 'e1' AS id, 'n1' AS new, 22 AS score")
 def j9_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lost elements bound anew: points for tag, role and terms; at least 12 and a unique winner."""
     schema = "tag string, role string, terms array<string>"
@@ -316,7 +316,7 @@ def j4_query_name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("page_id", "ord", count_name(F.col("text"), F.lit("rohan mehta")).alias("times")).filter("times > 0")
 
 
-@query()
+@query(f"""SELECT * FROM (VALUES (1, 'max verstappen'), (2, 'max verstappen'), (3, NULL), (4, NULL)) AS v(id, person) UNION ALL SELECT -1 - conv_id * 1000 - turn, CASE WHEN regexp_matches(q, '^[A-Za-z][A-Za-z''-]+( [A-Za-z][A-Za-z''-]+){{1,2}}$') THEN q END FROM (SELECT conv_id, turn, {sql_collapse('text')} AS q FROM conversations WHERE role = 'user')""")
 def t9_person_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.names import person_query
 

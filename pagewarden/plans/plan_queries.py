@@ -64,7 +64,7 @@ def f3_step_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_rows(spark).select("id", J.parse_plan(F.col("raw"), F.lit("do it")).alias("p")).select("id", F.col("p.error").isNull().alias("ok"))
 
 
-@query()
+@query("SELECT id, action, CAST(element_id AS VARCHAR) AS element_id, CAST(NULL AS VARCHAR) AS selector FROM (VALUES (1, 'click', 'e1'), (13, 'closetabs', NULL)) AS v(id, action, element_id)")
 def f4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = raw_rows(spark).select("id", J.parse_plan(F.col("raw"), F.lit("do it")).alias("p")).filter("p.error IS NULL").select("id", F.explode("p.steps").alias("t"))
     return p.select("id", F.get_json_object("t", "$.action").alias("action"), F.get_json_object("t", "$.target.elementId").alias("element_id"), F.get_json_object("t", "$.target.selector").alias("selector"))
@@ -104,7 +104,7 @@ def f14_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("conv_id", user_prompt(F.concat(F.lit("https://x.org/"), F.col("conv_id").cast("string")), F.col("role"), text.truncate(F.col("text"), 80)).alias("prompt"))
 
 
-@query()
+@query("""SELECT conv_id, '[{"role":"system","content":"You plan browser steps."},{"role":"user","content":' || CAST(to_json(text) AS VARCHAR) || '}]' AS messages FROM conversations WHERE turn = 0""")
 def f15_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.prompts import messages
 
@@ -275,7 +275,7 @@ def g12_text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.least(F.lit(200), 4 + 8 * F.length("p_name")).cast("long").alias("text_width"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, 'FACE', 20, 40, 58, 48), (1, 'PERSON', 72, 40, 94, 28), (1, 'GOVERNMENT_ID', 66, 88, 96, 18), (2, 'ADDRESS', 18, 48, 116, 48), (2, 'GOVERNMENT_ID', 66, 96, 96, 14)) AS v(id, category, x, y, width, height)")
 def t17_layout_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones of an identity card from its recognised words."""
     from ..operators.vision import card_zones

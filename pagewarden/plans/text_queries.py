@@ -250,7 +250,7 @@ def j12_severity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("category", text.severity(F.col("category")).alias("severity"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (-1, true), (-2, false), (-3, true), (-4, false), (-5, false)) AS v(event_id, raw_pii) UNION ALL SELECT event_id, regexp_matches(props, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') FROM events")
 def t15_raw_pii_in_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any e-mail, phone, identity or card shape in the values (not the keys) of nested JSON."""
     from ..functions.json_plans import contains_raw_pii
