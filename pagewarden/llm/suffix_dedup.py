@@ -223,7 +223,13 @@ class BlindTrie:
 
 
 def least_owner(keys: np.ndarray, texts: list[bytes], owners: np.ndarray, rule: DedupRule) -> list[np.ndarray]:
-    """For each run and each of its windows, the smallest owner of any run that has the same window.
+    """For each run and each of its windows, the smallest owner of any run that has the same window."""
+    flat, start = least_windows(keys, texts, owners, rule)
+    return np.split(flat, start[1:-1]) if len(texts) else []
+
+
+def least_windows(keys: np.ndarray, texts: list[bytes], owners: np.ndarray, rule: DedupRule) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all runs' windows in a row, and where each run's windows start, with the end.
 
     Runs must be distinct by (key, text).  Runs that are alone with their key need no sorting.
     """
@@ -253,7 +259,7 @@ def least_owner(keys: np.ndarray, texts: list[bytes], owners: np.ndarray, rule:
             for same in trie.leaves():
                 if len(same) > 1:
                     out[spot[same]] = owner[same].min()
-    return np.split(out, out_start[1:-1]) if len(texts) else []
+    return out, out_start
 
 
 # --- the jobs -------------------------------------------------------------------------------------------------------
@@ -275,12 +281,12 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def removed_bytes(runs_: Runs, least: list[np.ndarray], pack: packs.Pack, length: int) -> np.ndarray:
-    """Marks the bytes of a pack that a window covers which an earlier document has."""
+def removed_bytes(runs_: Runs, flat: np.ndarray, sizes: np.ndarray, pack: packs.Pack, length: int) -> np.ndarray:
+    """Marks the bytes of a pack that a window covers which an earlier document has; ``flat`` has the least owners of the windows of each
+    distinct text, ``sizes`` how many windows each has."""
     edge = np.zeros(len(pack.data) + 1, np.int32)
     if len(runs_.of):
-        sizes = np.asarray([len(x) for x in least], np.int64)
-        flat, at = np.concatenate(least), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.cumsum(sizes) - sizes
         n = runs_.size
         inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         hit = flat[np.repeat(at[runs_.of], n) + inner] < np.repeat(pack.doc_ids[runs_.doc], n)
@@ -331,8 +337,12 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
             elif owner < low[at]:
                 low[at] = owner
             of.append(at)
-        least = least_owner(keys[first], [texts[k] for k in first], np.asarray(low, np.int64), rule)
-        rows = [(row.key_range, row.pack, row.n_runs, _packed(np.concatenate([least[of[k]] for k in range(a, b)]).astype("<i8").tobytes())) for row, a, b in zip(pdf.itertuples(), cuts[:-1], cuts[1:], strict=True)]
+        least, start = least_windows(keys[first], [texts[k] for k in first], np.asarray(low, np.int64), rule)
+        of, rows = np.asarray(of, np.int64), []
+        for row, a, b in zip(pdf.itertuples(), cuts[:-1], cuts[1:], strict=True):
+            sizes = start[of[a:b] + 1] - start[of[a:b]]
+            place = np.repeat(start[of[a:b]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            rows.append((row.key_range, row.pack, row.n_runs, _packed(least[place].astype("<i8").tobytes())))
         return pd.DataFrame(rows, columns=["key_range", "pack", "n_runs", "least"])
 
     def apply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -347,7 +357,7 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
                 r = Runs(pack, shared, n)
                 flat = np.frombuffer(b"".join(_unpacked(x) for x in answers["least"]), "<i8")
                 sizes = np.asarray([len(t) - n + 1 for t in r.texts], np.int64)
-                gone = removed_bytes(r, np.split(flat, np.cumsum(sizes)[:-1]), pack, n)
+                gone = removed_bytes(r, flat, sizes, pack, n)
             out.append(finish(pack, gone))
         return pd.concat(out, ignore_index=True)
 
