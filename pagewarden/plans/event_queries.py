@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import ranking
 from ..streaming import events as E
-from . import query, rows_of, spread, table
+from . import ORACLE_SQL, query, rows_of, spread, table
 from .text_queries import quoted, sql_collapse
 
 
@@ -166,3 +166,28 @@ def r7_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     seen = own.filter("turn < 2").groupBy("conv_id").agg(F.max("turn").alias("seen"))
     return own.join(seen, "conv_id", "left").filter("seen IS NULL OR turn > seen").select("conv_id", "turn", "role")
+
+
+def replayed(spark: SparkSession, sf_dir: str, run) -> DataFrame:
+    """The rows that a streaming operator gives for the table of events, read from files as a stream and ended by one event far ahead, so
+    that the watermark passes all others."""
+    from ..sources.sinks import scratch
+
+    path = scratch(spark)
+    own = events(spark, sf_dir).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    ahead = own.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.lit("signup").alias("event_type"), "ts")
+    for rows in (own, ahead):
+        rows.write.mode("append").parquet(f"{path}/in")
+    out = run(spark.readStream.schema(own.schema).parquet(f"{path}/in"))
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").filter("user_id >= 0")
+
+
+@query(ORACLE_SQL["r2_debounce"])
+def r2_debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(spark, sf_dir, lambda rows: E.debounced(rows.withWatermark("ts", "1 hour"), "user_id", "30 minutes")).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n", "last_event")
+
+
+@query(ORACLE_SQL["r4_continuation"])
+def r4_continuation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(spark, sf_dir, lambda rows: E.continuation_stream(rows, "signup", "purchase", 86_400)).select("event_id", "set_id")

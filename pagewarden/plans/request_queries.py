@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,20 +60,10 @@ def s13_stored_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "endpoint", F.when(F.col("h").isNotNull(), F.size("h")).alias("messages"), F.try_element_at("h", F.lit(-1))["text"].alias("last_text"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder of the session's shared folder; a local one only where a local session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/pagewarden-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY event_type")
 def k1_latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report written over an older one and read back."""
-    path, e = _scratch(spark), table(spark, sf_dir, "events")
+    path, e = sinks.scratch(spark), table(spark, sf_dir, "events")
     sinks.write_report(e.groupBy("event_type").agg(F.lit(0).alias("n"), F.min("event_id").alias("last_event")), path)
     sinks.write_report(e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event")), path)
     return spark.read.schema("event_type string, n long, last_event long").json(path)
@@ -85,7 +72,7 @@ def k1_latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def k3_keyed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values put by key in three batches, the last of them a stream that finds one batch a second time; the latest of each key is read back."""
-    path, e = _scratch(spark), table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    path, e = sinks.scratch(spark), table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
     for k in (1, 0):
         sinks.upsert(e.filter(F.col("event_id") % 3 == k), f"{path}/table", "user_id", ["ts", "event_id"])
     e.filter(F.col("event_id") % 3 > 0).write.parquet(f"{path}/in")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of the session's shared folder; a local one only where a local session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{base.rstrip('/')}/pagewarden-{uuid.uuid4().hex}"
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Write the latest report as JSON lines over the one before it."""
     report.write.mode("overwrite").json(path)

@@ -53,36 +53,46 @@ def continuations(events: DataFrame, key: str, put: str, take: str, ttl_seconds:
     return rows.filter(age <= ttl_seconds * 1_000_000).select(key, "event_id", F.col("b_id").alias("set_id"))
 
 
-def continuation_stream(events: DataFrame, put: str, take: str, ttl_seconds: int) -> DataFrame:
-    """The stateful form of ``continuations`` for a stream (user_id, event_id, event_type, ts): a key's state is one value
-    with its time; it goes when it is taken or too old."""
+def continuation_stream(events: DataFrame, put: str, take: str, ttl_seconds: int, lateness: str = "1 hour") -> DataFrame:
+    """The stateful form of ``continuations`` for a stream (user_id, event_id, event_type, ts).
+
+    Rows wait in the state until the watermark has passed them, so they are taken in the order of event time however the batches cut
+    them; rows that come later than ``lateness`` are dropped.  A key's state is one value with its time and the rows that
+    wait; the value goes when it is taken or when the watermark is past its limit.
+    """
+    ttl = ttl_seconds * 1_000_000
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held, held_at, times, ids, puts = state.get if state.exists else (None, None, [], [], [])
+        wait = list(zip(times, ids, puts, strict=True))
+        for pdf in () if state.hasTimedOut else batches:
+            wait += [(int(t.value // 1000), int(i), k == put) for t, i, k in zip(pdf["ts"], pdf["event_id"], pdf["event_type"], strict=True)]
+        mark, out = state.getCurrentWatermarkMs(), []
+        wait.sort()
+        for at, event_id, is_put in [w for w in wait if w[0] <= mark * 1000]:
+            if is_put:
+                held, held_at = event_id, at
+            else:
+                if held is not None and at - held_at <= ttl:
+                    out.append((key[0], event_id, held))
+                held, held_at = None, None
+        wait = [w for w in wait if w[0] > mark * 1000]
+        if held is not None and held_at + ttl < mark * 1000:
+            held, held_at = None, None
+        due = [w[0] for w in wait[:1]] + ([] if held is None else [held_at + ttl])
+        if due:
+            state.update((held, held_at, [w[0] for w in wait], [w[1] for w in wait], [w[2] for w in wait]))
+            state.setTimeoutTimestamp(max(mark + 1, -(-min(due) // 1000)))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        held, out = (state.get if state.exists else None), []
-        for e in rows.itertuples():
-            at = int(e.ts.value // 1000)
-            if e.event_type == put:
-                held = (int(e.event_id), at)
-            elif e.event_type == take:
-                if held is not None and at - held[1] <= ttl_seconds * 1_000_000:
-                    out.append((key[0], int(e.event_id), held[0]))
-                held = None
-        if held is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(held)
-            state.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "set_id"]).astype("int64")
 
-    own = events.filter(F.col("event_type").isin(put, take))
-    return own.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, set_id long", "set_id long, at long", "append", "ProcessingTimeTimeout")
+    own = events.withWatermark("ts", lateness).filter(F.col("event_type").isin(put, take))
+    kept = "held long, held_at long, times array<long>, ids array<long>, puts array<boolean>"
+    return own.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, set_id long", kept, "append", "EventTimeTimeout")
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """The last status of each key; a running aggregate on a stream."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"))
+    """The last status of each key, the later event_id at equal times where there is one; a running aggregate on a stream."""
+    order = F.struct(*[c for c in ("ts", "event_id") if c in events.columns])
+    return events.groupBy("user_id").agg(F.max_by("event_type", order).alias("status"), F.max("ts").alias("at"))
