@@ -36,7 +36,10 @@ def sensitive_information(texts: DataFrame, regions: DataFrame, width: int, heig
     return kept.select("image_id", "k.text_id", "k.type", "k.severity", "k.detection_source", "k.region_id", G.rect("k.x", "k.y", "k.width", "k.height").alias("box"))
 
 
-# Zones of an identity card as shares of its picture.
+# Words of an identity card and of its sides, and zones of its picture as shares of it.
+CARD_WORDS = "aadhaar|aadhar|unique identification|government of india"
+FRONT_WORDS = r"\bdob\b|date of birth|female|male|vid"
+BACK_WORDS = r"\baddress\b|\bs/?o\b|\bd/?o\b|\bc/?o\b|\b\d{6}\b"
 FRONT = [("FACE", 0.05, 0.20, 0.29, 0.48), ("PERSON", 0.31, 0.20, 0.47, 0.28), ("GOVERNMENT_ID", 0.28, 0.68, 0.48, 0.18)]
 BACK = [("ADDRESS", 0.04, 0.28, 0.58, 0.48), ("GOVERNMENT_ID", 0.28, 0.76, 0.48, 0.14)]
 
@@ -46,9 +49,9 @@ def card_zones(words: Column, target: Column) -> Column:
     low = F.lower(F.coalesce(words, F.lit("")))
     zones = lambda table: F.array(*[F.struct(F.lit(c).alias("category"), G.zone(target, *z).alias("rect")) for c, *z in table])
     none = F.slice(zones(FRONT), 1, 0)
-    card = low.rlike("aadhaar|aadhar|unique identification|government of india")
-    front = card & low.rlike(r"\bdob\b|date of birth|female|male|vid")
-    back = card & low.rlike(r"\baddress\b|\bs/?o\b|\bd/?o\b|\bc/?o\b|\b\d{6}\b")
+    card = low.rlike(CARD_WORDS)
+    front = card & low.rlike(FRONT_WORDS)
+    back = card & low.rlike(BACK_WORDS)
     return F.concat(F.when(front, zones(FRONT)).otherwise(none), F.when(back, zones(BACK)).otherwise(none))
 
 

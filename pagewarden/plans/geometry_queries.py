@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import spatial
+from ..operators.vision import BACK, FRONT
 from . import query, rows_of, table
 
 ELEMENTS = "(SELECT p_partkey AS id, p_partkey // 40 AS page_id, (p_partkey * 37) % 1200 AS x, (p_partkey * 91) % 700 AS y, 20 + (p_partkey * 13) % 300 AS w, 16 + (p_partkey * 7) % 120 AS h FROM part)"
@@ -92,7 +93,7 @@ def g9_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(spark, sf_dir).select("id", box.alias("r")).filter("r IS NOT NULL").select("id", *flat("r"))
 
 
-ZONES = [("FACE", 0.05, 0.20, 0.29, 0.48), ("PERSON", 0.31, 0.20, 0.47, 0.28), ("ADDRESS", 0.04, 0.28, 0.58, 0.48)]
+ZONES = [*FRONT[:2], BACK[0]]
 
 
 @query(" UNION ALL ".join(f"SELECT id, '{c}' AS category, CAST(greatest(0, floor(x + w * {x}::DOUBLE + 0.5)) AS INT) AS x, CAST(greatest(0, floor(y + h * {y}::DOUBLE + 0.5)) AS INT) AS y, CAST(floor(w * {w}::DOUBLE + 0.5) AS INT) AS width, CAST(floor(h * {h}::DOUBLE + 0.5) AS INT) AS height FROM {ELEMENTS}" for c, x, y, w, h in ZONES))
