@@ -35,6 +35,25 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in out} == {1, 4} and all(r.n_tokens == len(r.ids) for r in out)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_empty_and_odd_tables(spark, name):
+    """No rows; rows without doc_id, text or source; repeated rows; a column with a name that the stages use themselves."""
+    stage, schema = dict(corpus_pipeline.STAGES)[name], "doc_id long, text string, lang string, source string, n_chars long, row string"
+    assert stage(spark, spark.createDataFrame([], schema), "").count() == 0
+    body = " ".join(f"word{k} other{k % 7}" for k in range(60))
+    rows = [(None, body, None, None, None, "r"), (1, body, "en", "a", 5, "r"), (1, body, "en", "a", 5, "r"), (2, None, "en", None, None, "r"), (2, "", None, "b", 0, "r"), (None, None, None, None, None, None)]
+    got = stage(spark, spark.createDataFrame(rows, schema), "")
+    seen = [r.doc_id for r in got.collect()]
+    if name == "quality":  # three texts have words enough
+        assert sorted(map(str, seen)) == ["1", "1", "None"]
+    elif name == "mixing":  # sources without tokens are taken by no pass
+        assert seen.count(1) % 2 == 0 and set(seen) <= {None, 1, 2}
+    else:
+        assert sorted(map(str, seen)) == ["1", "1", "2", "2", "None", "None"]
+    if name != "encoding":
+        assert got.columns == [c.split()[0] for c in schema.split(", ")] and {r.row for r in got.collect()} <= {"r", None}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
