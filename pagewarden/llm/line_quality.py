@@ -113,10 +113,12 @@ def verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     # The caller's row is one struct, so no name of its columns can clash with one here.
     rows = docs.select(F.struct("*").alias("row"), host_of(docs).alias("host")).join(common, "host", "left")
     text = F.col("row").getField("text")
+    # Not to be moved or repeated: a filter on the verdict would else compute it once below the join and once above.
+    stats = F.pandas_udf(base_stats, STATS_SCHEMA).asNondeterministic()
     removed = F.filter(normal_lines(text), lambda x: F.array_contains(F.col("common"), F.xxhash64(x)))
     n_removed = F.aggregate(removed, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
     rows = rows.withColumn("removed", F.when(F.col("common").isNull() | text.isNull(), F.lit(0).cast("long")).otherwise(n_removed))
-    rows = rows.withColumn("s", F.pandas_udf(base_stats, STATS_SCHEMA)(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumn("s", stats(F.coalesce(text, F.lit(""))))
     n = F.col("s.n_words")
     failed = (n < 50) | (100 * F.col("s.n_repeat_words") > 50 * n)
     depleted = 100 * (n - F.col("removed")) < limits.keep_percent * n
