@@ -201,8 +201,9 @@ def near_links(reps: DataFrame, options: CapFilters, directory: str) -> DataFram
                     yield pd.DataFrame({"vec_id": rows["vec_id"].to_numpy(), "copies": rows["copies"].to_numpy(), "dims": d, "filters": filter_lists(x[at : at + 512], made[d], options.each), "vector": raw})
 
     lists = staged(reps.mapInPandas(listed, LIST_SCHEMA), directory, "lists")
-    # Only the filters that have to be split are joined, which are few; the others' members move once.
+    # Only the filters that have to be split are joined, which are few: as a finished table Spark sees their size before members move.
     split = lists.select(F.explode("filters").alias("filter"), "dims").groupBy("filter", "dims").agg(F.ceil(F.count("*") / options.chunk).cast("int").alias("k")).filter("k > 1")
+    split = staged(split, directory, "split")
     parts = lists.select(F.explode("filters").alias("filter"), "*").join(split, ["filter", "dims"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     parts = parts.withColumn("own", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("k")).cast("int")).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     parts = parts.withColumn("lo", F.least("own", "peer")).withColumn("hi", F.greatest("own", "peer")).drop("k", "peer")
