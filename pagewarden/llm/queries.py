@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and SQL for those that SQL can express."""
+"""The queries of the thirteen operators and of the pipeline, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, language_codes, line_quality, ngram_join, pieces, secret_scan, source_mix, suffix_dedup, token_files, warc_bundles
+from . import cap_filters, filter_audit, importance, language_codes, line_quality, ngram_join, pieces, secret_scan, source_mix, suffix_dedup, token_files, warc_bundles
 from ._shared import lean
 
 
@@ -61,7 +61,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_digest(_table(spark, sf_dir, "documents"), ngram_join.JoinRule(words=3, percent=90, slack_percent=20))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters, op10_ngram_join)}
+def op11_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters, op10_ngram_join, op11_crc_resample, op13_filter_cube)}
 #: The base rules and the line limits of ``line_quality.LineLimits()``.
 _QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
@@ -113,4 +121,23 @@ links AS (SELECT a.id AS x, b.id AS y FROM e a JOIN e b ON a.k = b.k AND a.id <
 SELECT id AS doc_id, len(g) AS n_shingles, root AS component_id FROM nodes JOIN (SELECT node AS id, min(root) AS root FROM reach GROUP BY node) USING (id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc_bundles": _ARCHIVE_SQL, "op3_line_quality": _QUALITY_SQL, "op9_cap_filters": _COSINE_SQL, "op10_ngram_join": _JACCARD_SQL}
+#: Every document's place of removal in every order.
+_AUDIT_SQL = r"""
+WITH marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS lead FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+flags AS (SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+  regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > lead, false)] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN marks USING (doc_id)),
+cases AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, fails),
+k AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, k.i AS step, o[k.i] AS f, o[1:k.i - 1] AS earlier FROM orders, k),
+told AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failed, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n_fails FROM steps, cases),
+sums AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, f, sum(CASE WHEN NOT gone AND NOT failed THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failed THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN gone AND failed THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN NOT gone AND failed THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failed THEN toxic ELSE 0 END) AS toxic_lost FROM told GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM sums
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc_bundles": _ARCHIVE_SQL, "op3_line_quality": _QUALITY_SQL, "op9_cap_filters": _COSINE_SQL, "op10_ngram_join": _JACCARD_SQL, "op13_filter_cube": _AUDIT_SQL}
