@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, filter_audit, importance, language_codes, line_quality, ngram_join, pieces, secret_scan, source_mix, suffix_dedup, token_files, warc_bundles
+from . import cap_filters, filter_audit, importance, language_codes, line_quality, multiprobe, ngram_join, pieces, secret_scan, source_mix, suffix_dedup, token_files, warc_bundles
 from ._shared import lean
 
 
@@ -65,11 +65,15 @@ def op11_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.search_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters, op10_ngram_join, op11_crc_resample, op13_filter_cube)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_warc_bundles, op3_line_quality, op4_source_mix, op5_token_files, op6_language_codes, op7_secret_scan, op8_pieces, op9_cap_filters, op10_ngram_join, op11_crc_resample, op12_multiprobe, op13_filter_cube)}
 #: The base rules and the line limits of ``line_quality.LineLimits()``.
 _QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
