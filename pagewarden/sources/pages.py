@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..functions.ids import exact, ids_of, listed
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 KEPT = ("type", "id", "name", "autocomplete", "placeholder", "value", "href", "role", "title", "for", "style", "aria-label", "aria-labelledby", "aria-describedby", "aria-expanded", "aria-haspopup", "aria-checked", "aria-selected", "tabindex", "contenteditable", "disabled")
@@ -71,17 +72,19 @@ def scan(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for page_id, html in zip(pdf["page_id"].astype("Int64"), pdf["html"], strict=True):
+            ids, out = [], []
+            for page_id, html in zip(ids_of(pdf, "page_id"), pdf["html"], strict=True):
                 tree = _Tree()
                 tree.feed(html or "")
                 tree.close()
-                out += [(page_id, False, k, e[0], e[1], tree.text(k), e[2], e[3], e[4]) for k, e in enumerate(tree.elements)]
-                out += [(page_id, True, k, parent, tag, data, None, None, None) for k, (parent, tag, data) in enumerate(tree.runs)]
-            rows = pd.DataFrame(out, columns=[c.split()[0] for c in SCAN_SCHEMA.split(", ")])
-            yield rows.astype({"page_id": "Int64", "parent": "Int32", "form": "Int32", "label_ord": "Int32"})
-
-    return pages.select("page_id", "html").mapInPandas(run, SCAN_SCHEMA)
+                ids += [page_id] * (len(tree.elements) + len(tree.runs))
+                out += [(False, k, e[0], e[1], tree.text(k), e[2], e[3], e[4]) for k, e in enumerate(tree.elements)]
+                out += [(True, k, parent, tag, data, None, None, None) for k, (parent, tag, data) in enumerate(tree.runs)]
+            rows = pd.DataFrame(out, columns=[c.split()[0] for c in SCAN_SCHEMA.split(", ")][1:])
+            rows.insert(0, "page_id", listed([None if i is pd.NA else int(i) for i in ids]))
+            yield rows.astype({"parent": "Int32", "form": "Int32", "label_ord": "Int32"})
+
+    return pages.select("html", *exact("page_id")).mapInPandas(run, SCAN_SCHEMA)
 
 
 def elements(pages: DataFrame) -> DataFrame:
