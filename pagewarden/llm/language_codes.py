@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import exact, ids_of
+
 DIMENSIONS = 2048
 #: Bound of the labelled sample that the classifiers are fitted on.
 TRAIN_ROWS = 3000
@@ -138,10 +140,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches):
         for pdf in batches:
             out = pd.DataFrame(model.predict([t if isinstance(t, str) else None for t in pdf["text"]]), columns=["lang_pred", "score", "ambiguous"])
-            out.insert(0, "doc_id", pd.array(pdf["doc_id"], "Int64"))
+            out.insert(0, "doc_id", ids_of(pdf, "doc_id"))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select(*exact("doc_id"), "text").mapInPandas(run, SCHEMA)
 
 
 def language_digest(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

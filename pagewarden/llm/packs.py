@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import exact, ids_of
 from ._shared import staged
 
 PACK_BYTES = 2 << 20
@@ -47,7 +48,7 @@ def staged_packs(docs: DataFrame, directory: str, pack_bytes: int = PACK_BYTES,
             return pd.DataFrame([row], columns=[c.split()[0] for c in PACK_SCHEMA.split(", ")])
 
         for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for i, text in zip(ids_of(pdf, "doc_id"), pdf["text"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if ids and size + len(data) > pack_bytes:
                     yield close()
@@ -57,7 +58,7 @@ def staged_packs(docs: DataFrame, directory: str, pack_bytes: int = PACK_BYTES,
         if ids:
             yield close()
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(*exact("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return staged(rows.mapInPandas(pack, PACK_SCHEMA), directory, "packs", codec="none")
 
 

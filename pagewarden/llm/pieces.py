@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import exact, ids_of
+
 SPACE = "▁"
 CACHE_WORDS = 400_000
 #: Characters of texts whose pieces a task holds at once; a longer text is alone.
@@ -224,7 +226,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
         m = model_of(model)
         for pdf in _steps(batches):
             found = [m.encode(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [f[0].tolist() for f in found], "starts": [f[1].tolist() for f in found], "ends": [f[2].tolist() for f in found]})
+            yield pd.DataFrame({"doc_id": ids_of(pdf, "doc_id"), "ids": [f[0].tolist() for f in found], "starts": [f[1].tolist() for f in found], "ends": [f[2].tolist() for f in found]})
 
     return _texts(docs).mapInPandas(encode, PIECES_SCHEMA)
 
@@ -235,9 +237,9 @@ def decode_pieces(pieces: DataFrame, model: str) -> DataFrame:
     def decode(batches):
         lib = model_of(model).lib
         for pdf in _steps(batches):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [lib.decode([] if x is None else [int(i) for i in x]) for x in pdf["ids"]]})
+            yield pd.DataFrame({"doc_id": ids_of(pdf, "doc_id"), "text": [lib.decode([] if x is None else [int(i) for i in x]) for x in pdf["ids"]]})
 
-    return pieces.select("doc_id", "ids").mapInPandas(decode, "doc_id long, text string")
+    return pieces.select("ids", *exact("doc_id")).mapInPandas(decode, "doc_id long, text string")
 
 
 def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> DataFrame:
@@ -256,8 +258,7 @@ def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> Data
                 decoded = m.lib.decode(ids) if ids else ""
                 rows.append((len(ids), hashlib.sha256(plain.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), covered, ids if with_ids else None))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_ok", "ids"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out.insert(0, "doc_id", ids_of(pdf, "doc_id"))
             yield out
 
     found = _texts(docs).mapInPandas(digest, DIGEST_SCHEMA)
@@ -267,7 +268,7 @@ def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> Data
 def _steps(batches):
     """The batches in slices of about STEP_CHARS of text or ids: a text's ids as Python numbers take many times its bytes."""
     for pdf in batches:
-        sizes = pdf.iloc[:, 1].map(lambda x: 0 if x is None else len(x)).to_numpy()
+        sizes = pdf.iloc[:, 0].map(lambda x: 0 if x is None else len(x)).to_numpy()
         step = (np.cumsum(sizes) - sizes) // STEP_CHARS
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(pdf)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -276,4 +277,4 @@ def _steps(batches):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), *exact("doc_id"))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import masked
 from . import packs
 from ._shared import shared_dir, staged
 
@@ -377,24 +378,24 @@ def table_dir(table: DataFrame) -> str:
 
 def _digest(pack: packs.Pack, gone: np.ndarray) -> pd.DataFrame:
     rows, data = [], np.frombuffer(pack.data, np.uint8)
-    for i, known, a, b in zip(pack.doc_ids.tolist(), pack.known.tolist(), pack.starts[:-1].tolist(), pack.starts[1:].tolist(), strict=True):
+    for a, b in zip(pack.starts[:-1].tolist(), pack.starts[1:].tolist(), strict=True):
         cut, part = gone[a:b], data[a:b]
         n = int(cut.sum())
         spans = int((cut[1:] & ~cut[:-1]).sum() + cut[0]) if n else 0
-        rows.append((i if known else None, b - a, n, spans, hashlib.sha256((part[~cut] if n else part).tobytes()).hexdigest()))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN_SCHEMA.split(", ")])
-    out["doc_id"] = out["doc_id"].astype("Int64")
+        rows.append((b - a, n, spans, hashlib.sha256((part[~cut] if n else part).tobytes()).hexdigest()))
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN_SCHEMA.split(", ")][1:])
+    out.insert(0, "doc_id", masked(pack.doc_ids, pack.known))
     return out
 
 
 def _spans(pack: packs.Pack, gone: np.ndarray) -> pd.DataFrame:
     rows, data = [], np.frombuffer(pack.data, np.uint8)
-    for i, known, a, b in zip(pack.doc_ids.tolist(), pack.known.tolist(), pack.starts[:-1].tolist(), pack.starts[1:].tolist(), strict=True):
+    for a, b in zip(pack.starts[:-1].tolist(), pack.starts[1:].tolist(), strict=True):
         cut = np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))
         spans = [[x, y] for x, y in zip(np.flatnonzero(cut == 1).tolist(), np.flatnonzero(cut == -1).tolist(), strict=True)]
-        rows.append((i if known else None, data[a:b][~gone[a:b]].tobytes(), spans))
-    out = pd.DataFrame(rows, columns=["doc_id", "kept", "spans"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
+        rows.append((data[a:b][~gone[a:b]].tobytes(), spans))
+    out = pd.DataFrame(rows, columns=["kept", "spans"])
+    out.insert(0, "doc_id", masked(pack.doc_ids, pack.known))
     return out
 
 

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import exact, ids_of
 from ._shared import dealt, reading, shared_dir, staged, writing
 
 # Fixed values of the file format.
@@ -238,9 +239,9 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
             return row
 
         for pdf in batches:
-            texts = pdf["text"].tolist()
+            texts, batch_ids = pdf["text"].tolist(), ids_of(pdf, "doc_id")
             for k in range(0, len(texts), 500):
-                for doc_id, ids in zip(pdf["doc_id"].iloc[k : k + 500], cache.ids(texts[k : k + 500]), strict=True):
+                for doc_id, ids in zip(batch_ids[k : k + 500], cache.ids(texts[k : k + 500]), strict=True):
                     held.append(ids + end)
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     filled += len(held[-1]) // 4
@@ -249,8 +250,10 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
         if held:
             yield close()
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInPandas(write, MANIFEST_SCHEMA)
+    rows = docs.select(*exact("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # Rows without doc_id, and those that repeat one, are spread over ranges of a hash.
+    order = ["doc_id_known", "doc_id", F.xxhash64("text")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInPandas(write, MANIFEST_SCHEMA)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

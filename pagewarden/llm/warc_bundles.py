@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import exact, ids_of, listed
 from ._shared import dealt, reading, shared_dir, staged, writing
 
 # Fixed values of the file format.
@@ -173,14 +174,14 @@ def write_bundles(pages: DataFrame, directory: str, *, min_bytes: int = REVISIT_
             if state:
                 state["out"].close()
                 state["ctx"].__exit__(None, None, None)
-                rows = pd.DataFrame([(r[0], state["path"], *r[1:]) for r in state["out"].records], columns=["page_id", "path", "frame", "offset", "length"])
-                rows["page_id"] = rows["page_id"].astype("Int64")
+                rows = pd.DataFrame([(state["path"], *r[1:]) for r in state["out"].records], columns=["path", "frame", "offset", "length"])
+                rows.insert(0, "page_id", listed([r[0] for r in state["out"].records]))
                 state.clear()
                 return rows
             return None
 
         for pdf in batches:
-            for page_id, url, payload, digest, refers_to in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"].astype("Int64"), strict=True):
+            for page_id, url, payload, digest, refers_to in zip(ids_of(pdf, "page_id"), pdf["url"], pdf["payload"], pdf["digest"], ids_of(pdf, "refers_to"), strict=True):
                 if not state:
                     path = f"{directory}/{uuid.uuid4().hex}.warc.zst"
                     ctx = writing(path)
@@ -192,7 +193,7 @@ def write_bundles(pages: DataFrame, directory: str, *, min_bytes: int = REVISIT_
         if (rows := close()) is not None:
             yield rows
 
-    return with_revisits(pages, min_bytes).mapInPandas(write, INDEX_SCHEMA)
+    return with_revisits(pages, min_bytes).select("url", "payload", "digest", *exact("page_id", "refers_to")).mapInPandas(write, INDEX_SCHEMA)
 
 
 def read_bundles(spark: SparkSession, index: DataFrame, *, payloads: bool = True) -> DataFrame:
@@ -206,9 +207,8 @@ def read_bundles(spark: SparkSession, index: DataFrame, *, payloads: bool = True
                     bundle = BundleReader(source)
                     for frame, records in itertools.groupby(bundle.record_map(), key=lambda r: r[1]):
                         data = bundle.frame(frame)
-                        rows = pd.DataFrame([decode_record(data[at : at + length]) for _, _, at, length in records])
-                        for c in ("page_id", "refers_to"):
-                            rows[c] = rows[c].astype("Int64")
+                        decoded = [decode_record(data[at : at + length]) for _, _, at, length in records]
+                        rows = pd.DataFrame({c: listed([r[c] for r in decoded]) if c in ("page_id", "refers_to") else [r[c] for r in decoded] for c in decoded[0]})
                         if not payloads:
                             rows["payload"] = None
                         yield rows

@@ -287,9 +287,10 @@ def test_secret_scan(spark, docs, empty):
 
 def test_secret_scan_of_many_candidates(spark):
     """Starts, contexts and masks against a plain version, on a text with thousands of candidates; its time is in proportion."""
-    import re
     import time
 
+    import regex as re  # like Java's, it looks behind by a varying length
+
     forest = secret_scan.Forest("CASE WHEN x.digits > 0.5D THEN 1.0D ELSE 0.0D END")
     rng = random.Random(9)
     texts = ["", "no candidates here", hashlib.sha1(b"0").hexdigest()]
@@ -323,6 +324,42 @@ def test_forest_on_findings_held_out(spark):
     assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) >= 0.95 and n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9
 
 
+def test_written_forest_is_sparks_own(spark):
+    model = secret_scan.fit(secret_scan.labelled_findings(spark, 2000))
+    held = secret_scan.labelled_findings(spark, 500, first=2_000_000)
+    own = model.transform(secret_scan.assembled(held)).select("features", "probability").collect()
+    x = held.select(secret_scan.features(F.col("left"), F.col("candidate"), F.col("right")).alias("x"))
+    got = {tuple(r.x): r.p for r in x.select("x", F.expr(secret_scan.written(model).expression).alias("p")).collect()}
+    assert all(abs(got[tuple(r.features.toArray().tolist())] - r.probability[1]) < 1e-9 for r in own)
+
+
+def test_secrets_of_lines_that_the_generator_did_not_make(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    h = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    said = {}
+    for name, secret in (("secret", True), ("token", True), ("AUTH_TOKEN", True), ("api_key", True), ("commit", False), ("sha1", False), ("checksum", False), ("etag", False)):
+        for before in ("", "word words ", "a token and a commit "):
+            for space, quote in (("=", ""), (" = ", '"'), (": ", "")):
+                said[f"{before}{name}{space}{quote}{h(name + space)}{quote}"] = secret
+    said |= {f"AWS_SECRET_ACCESS_KEY={'aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA3bC5dE7fG'}": True, 'password = "Tr0ub4dor99"': True, "DB_PASSWORD=h4Xk29qLw": True, "pwd=Zx9#kLm2Qp": True}
+    said |= {"password: example123": False, "key: section12": False, f"fix commit {h('c')} now": False, f"token revision {h('d')}": False, "sha256:" + hashlib.sha256(b"q").hexdigest(): False}
+    lines = list(said)
+    found = secret_scan.findings_digest(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), forest).collect()
+    assert {lines[r.doc_id]: r.is_secret for r in found} == said and len(found) == len(said)
+
+
+def test_redaction_survives_any_projection(spark):
+    import itertools
+
+    frame = spark.createDataFrame([(1, "token = " + hashlib.sha1(b"s").hexdigest(), 48, "x", "y", "z")], "doc_id long, text string, n_chars long, parts string, t string, `a.b` string")
+    clean = secret_scan.redacted(frame, secret_scan.Forest("1.0D"))
+    whole = clean.first().asDict()
+    assert whole["text"] == "token = <SECRET>" and whole["n_chars"] == 16
+    for pair in itertools.chain(itertools.combinations(clean.columns, 1), itertools.combinations(clean.columns, 2)):
+        assert clean.select(*[f"`{c}`" for c in pair]).first().asDict() == {c: whole[c] for c in pair}
+    assert clean.filter("n_chars > 20").count() == 0
+
+
 def test_pieces(spark, docs, empty):
     import sentencepiece
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 
 import corpus_pipeline
 from pagewarden.llm import secret_scan, source_mix
@@ -77,7 +78,7 @@ def near_duplicates(rows: list[dict]) -> list[dict]:
 def secrets(rows: list[dict], verdicts: dict) -> list[dict]:
     masked = []
     for r in rows:
-        text = re.sub(secret_scan.CandidateRule().pattern, lambda m: "<SECRET>" if verdicts[r["doc_id"], m.start()] else m[0], r["text"])  # noqa: B023
+        text = regex.sub(secret_scan.CandidateRule().pattern, lambda m: "<SECRET>" if verdicts[r["doc_id"], m.start()] else m[0], r["text"])  # noqa: B023
         masked.append({**r, "text": text})
     return masked
 
