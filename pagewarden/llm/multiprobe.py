@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, staged
+from ._shared import dealt, shared_dir, staged
 
 
 @dataclass(frozen=True)
@@ -32,12 +32,12 @@ class ProbeRule:
 
     neighbours: int = 20
     success: float = 0.95
-    tables: int = 8
+    tables: int = 6
     width: float = 2.5
     bucket: float = 16.0
     probes: int = 2048
     thrift: float = 0.6
-    chunk: int = 8192
+    chunk: int = 32768
     sample: int = 4096
     seed: int = 17
 
@@ -69,7 +69,7 @@ class Tables:
 
     def __init__(self, group: Group, rule: ProbeRule):
         self.rule, self.group = rule, group
-        self.k = max(0, round(math.log2(max(1.0, group.n / rule.bucket))) - 1) if group.n > rule.chunk // 8 else 0
+        self.k = max(0, round(math.log2(max(1.0, group.n / rule.bucket))) - 1) if group.n > min(1024, rule.chunk) else 0
         #: Functions whose cells make a block: enough that a block is about a chunk of rows.
         self.m = min(self.k, max(0, math.ceil(math.log2(max(1.0, group.n / rule.chunk)))))
         rng = np.random.default_rng([rule.seed, group.dims, self.k])
@@ -241,7 +241,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, rule: ProbeRule, directory:
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in VISIT_SCHEMA.split(", ")])
 
     lists = staged(sized.select("vec_id", "vector", "dims", "octave").mapInPandas(hashed, ROW_SCHEMA), directory, "rows")
-    asked = staged(queries.select("query", "vector").mapInPandas(visits, VISIT_SCHEMA), directory, "visits")
+    asked = staged(dealt(queries.select("query", "vector")).mapInPandas(visits, VISIT_SCHEMA), directory, "visits")
     spots = ["grp", "tab", "block"]
     held = lists.select("vec_id", "grp", "vector", F.posexplode(F.arrays_zip("codes", "blocks")).alias("tab", "x")).select("grp", "tab", F.col("x.blocks").alias("block"), "vec_id", "vector", F.col("x.codes").alias("code"))
     members = staged(held.groupBy(*spots).agg(F.count("*").alias("n")), directory, "members")
