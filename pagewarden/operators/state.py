@@ -52,11 +52,21 @@ def compact_state(pages: DataFrame, visuals: DataFrame) -> DataFrame:
 
     ``visuals`` has one row a page: page_id and the arrays texts, regions and objects of compact structs.
     """
-    elements = P.page_elements(pages).filter(P.interactive()).select("page_id", F.struct(F.col("ord").alias("o"), compact_element().alias("e")).alias("e"))
-    elements = elements.groupBy("page_id").agg(F.array_sort(F.collect_list("e"), lambda a, b: a["o"] - b["o"])["e"].alias("elements"), F.count_if(F.col("e.e.text").contains("_1>")).alias("masked"))
-    forms = P.forms(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("form_id").alias("formId"), F.transform("controls", compact_control).alias("controls"))), lambda a, b: F.when(a["formId"] < b["formId"], -1).otherwise(1)).alias("forms"))
+    # One parse a page and one aggregation: an element is a member of the list of elements, a control of the list of controls, or both.
+    seen = P.selected() & P.visible()
+    every = P.elements(pages).select("*", seen.alias("seen"), (P.visible() & F.col("tag").isin(*P.CONTROLS) & F.col("form").isNotNull()).alias("held"))
+    every = P.described(every.filter("seen OR held")).withColumn("element_id", F.lit(""))
+    element, control = F.struct("ord", P.interactive().alias("interactive"), compact_element().alias("e")), F.struct("form_no", P.control().alias("c"))
+    lists = every.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(F.col("seen"), element)), lambda a, b: a["ord"] - b["ord"]).alias("seen"), F.array_sort(F.collect_list(F.when(F.col("held"), control)), lambda a, b: a["c"]["ord"] - b["c"]["ord"]).alias("held"))
+    named = F.transform("seen", lambda x, i: F.struct(x["interactive"], x["e"].withField("elementId", F.concat(F.lit("element_"), (i + 1).cast("string"))).alias("e")))
+    lists = lists.select("page_id", "held", F.filter(named, lambda x: x["interactive"])["e"].alias("elements"))
+    masked = F.when(F.size("elements") > 0, F.size(F.filter("elements", lambda e: e["text"].contains("_1>"))).cast("long"))
+    of_form = lambda n: F.transform(F.filter("held", lambda c: c["form_no"] == n)["c"], lambda c, i: compact_control(P.numbered_control(P.form_id(n), c, i)))
+    by_name = lambda a, b: F.when(a["formId"] < b["formId"], -1).otherwise(1)
+    held = F.array_sort(F.transform(F.array_distinct("held.form_no"), lambda n: F.struct(P.form_id(n).alias("formId"), of_form(n).alias("controls"))), by_name)
+    lists = lists.select("page_id", F.when(F.size("elements") > 0, F.col("elements")).alias("elements"), masked.alias("masked"), F.when(F.size("held") > 0, held).alias("forms"))
     title = text.sanitize(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    rows = pages.select("page_id", urls.sanitize_url(F.col("url")).alias("url"), title.alias("title")).join(elements, "page_id", "left").join(forms, "page_id", "left").join(visuals, "page_id", "left")
+    rows = pages.select("page_id", urls.sanitize_url(F.col("url")).alias("url"), title.alias("title")).join(lists, "page_id", "left").join(visuals, "page_id", "left")
     n = lambda c: F.greatest(F.size(c), F.lit(0))
     mapped = lambda c: F.greatest(F.size(F.filter(c, lambda v: F.size(v["mappedElementIds"]) > 0)), F.lit(0))
     privacy = F.struct(F.lit(True).alias("sanitized"), (F.coalesce("masked", F.lit(0)) > 0).alias("piiDetected"), F.coalesce("masked", F.lit(0)).alias("redactedRegionCount"), F.lit(False).alias("rawScreenshotIncluded"))

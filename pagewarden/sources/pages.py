@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.ids import exact, ids_of, listed
+from . import hiding
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 KEPT = ("type", "id", "name", "autocomplete", "placeholder", "value", "href", "role", "title", "for", "style", "aria-label", "aria-labelledby", "aria-describedby", "aria-expanded", "aria-haspopup", "aria-checked", "aria-selected", "tabindex", "contenteditable", "disabled")
 
 
-SCAN_SCHEMA = "page_id long, is_run boolean, ord int, parent int, tag string, text string, form int, label_ord int, attrs map<string,string>"
+#: ``ord`` to ``last`` are an element and all below it; a run has its element's tag and ``shown``.
+SCAN_SCHEMA = "page_id long, is_run boolean, ord int, last int, parent int, tag string, shown boolean, text string, form int, form_no int, form_name string, label_ord int, label string, attrs map<string,string>"
 #: Elements that a scan names or looks labels up in; others carry no text of their own, which would repeat that of all below them.
 TEXTED = {"button", "input", "textarea", "select", "a", "label", "option", *(f"h{k}" for k in range(1, 7))}
 
@@ -26,6 +28,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[list] = []  # parent, tag, form, label, attributes, first run, run after the last
+        self.names: list[set[str]] = []  # ids, classes and attributes as selectors write them
         self.runs: list[tuple] = []
         self.open: list[tuple] = []  # element, tag, nearest form, nearest label
         self.depth: dict[str, int] = {}
@@ -35,6 +38,7 @@ class _Tree(HTMLParser):
         parent, _, form, label = self.open[-1] if self.open else (None, None, None, None)
         kept = {a: v or "" for a, v in attrs if a in KEPT}
         self.elements.append([parent, tag, form, label, kept, len(self.runs), len(self.runs)])
+        self.names.append({f"#{v}" if a == "id" else f"[{a}]" for a, v in attrs} | {f"[{a}]" for a, _ in attrs} | {f".{c}" for a, v in attrs if a == "class" for c in (v or "").split()})
         if tag not in VOID:
             self.open.append((k, tag, k if tag == "form" else form, k if tag == "label" else label))
             self.depth[tag] = self.depth.get(tag, 0) + 1
@@ -55,20 +59,49 @@ class _Tree(HTMLParser):
         super().close()
         for k, *_ in self.open:
             self.elements[k][6] = len(self.runs)
+        page = [(e[0], e[1], names) for e, names in zip(self.elements, self.names, strict=True)]
+        attrs = [e[4] for e in self.elements]
+        self.shown = hiding.shown(page, [a.get("style") for a in attrs], [a.get("type") for a in attrs], "\n".join(data for _, t, data in self.runs if t == "style"))
+        self.last = list(range(len(page)))
+        for k in range(len(page) - 1, 0, -1):
+            if (parent := page[k][0]) is not None:
+                self.last[parent] = max(self.last[parent], self.last[k])
 
     def text(self, k: int) -> str:
-        """The text of an element, white space collapsed, scripts left out."""
+        """The text of an element, white space collapsed, scripts left out; hidden parts too unless all of it is hidden."""
         _, tag, _, _, attrs, first, end = self.elements[k]
         if tag not in TEXTED and "role" not in attrs and "contenteditable" not in attrs:
             return ""
-        return " ".join("".join(data for _, t, data in self.runs[first:end] if t not in ("script", "style")).split())
+        runs = [(parent, data) for parent, t, data in self.runs[first:end] if t not in ("script", "style")]
+        return _joined([data for parent, data in runs if self.shown[parent]]) or _joined([data for _, data in runs])
+
+    def rows(self) -> list[tuple]:
+        """The page's elements and runs as rows of SCAN_SCHEMA without the page."""
+        texts = [self.text(k) for k in range(len(self.elements))]
+        labels: dict[str, str] = {}
+        forms: dict[int, tuple] = {}
+        for k, (_, tag, _, _, attrs, *_) in enumerate(self.elements):
+            if tag == "label" and attrs.get("for"):
+                labels.setdefault(attrs["for"], texts[k])
+            if tag == "form":
+                forms[k] = (len(forms) + 1, attrs.get("name") or None)
+        out = []
+        for k, (parent, tag, form, label, attrs, *_) in enumerate(self.elements):
+            named = (labels.get(attrs["id"]) if attrs.get("id") else None) or (texts[label] if label is not None else "")
+            out.append((False, k, self.last[k], parent, tag, self.shown[k], texts[k], form, *forms.get(form, (None, None)), label, named, attrs))
+        return out + [(True, k, None, parent, tag, self.shown[parent], data, None, None, None, None, None, None) for k, (parent, tag, data) in enumerate(self.runs)]
+
+
+def _joined(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
 
 
 def scan(pages: DataFrame) -> DataFrame:
-    """All elements and text runs of all pages, from one parse a page.
+    """All elements and text runs of all pages, from one parse a page: texts, labels, forms and what is hidden come with them.
 
     Null html has neither; rows without page_id keep it null.
     """
+    columns = [c.split()[0] for c in SCAN_SCHEMA.replace("map<string,string>", "map").split(", ")][1:]
 
     def run(batches):
         for pdf in batches:
@@ -77,12 +110,12 @@ def scan(pages: DataFrame) -> DataFrame:
                 tree = _Tree()
                 tree.feed(html or "")
                 tree.close()
-                ids += [page_id] * (len(tree.elements) + len(tree.runs))
-                out += [(False, k, e[0], e[1], tree.text(k), e[2], e[3], e[4]) for k, e in enumerate(tree.elements)]
-                out += [(True, k, parent, tag, data, None, None, None) for k, (parent, tag, data) in enumerate(tree.runs)]
-            rows = pd.DataFrame(out, columns=[c.split()[0] for c in SCAN_SCHEMA.split(", ")][1:])
+                found = tree.rows()
+                ids += [page_id] * len(found)
+                out += found
+            rows = pd.DataFrame(out, columns=columns)
             rows.insert(0, "page_id", listed([None if i is pd.NA else int(i) for i in ids]))
-            yield rows.astype({"parent": "Int32", "form": "Int32", "label_ord": "Int32"})
+            yield rows.astype(dict.fromkeys(("last", "parent", "form", "form_no", "label_ord"), "Int32"))
 
     return pages.select("html", *exact("page_id")).mapInPandas(run, SCAN_SCHEMA)
 
@@ -94,13 +127,13 @@ def elements(pages: DataFrame) -> DataFrame:
 
 def text_runs(pages: DataFrame) -> DataFrame:
     """All text runs with their element."""
-    return scan(pages).filter("is_run").select("page_id", "ord", "parent", F.col("tag").alias("parent_tag"), "text")
+    return scan(pages).filter("is_run").select("page_id", "ord", "parent", F.col("tag").alias("parent_tag"), "shown", "text")
 
 
 def page_context(pages: DataFrame) -> DataFrame:
     """page_id, elements, interactive, detections, categories of every page, from one parse and one aggregation."""
     seen = ~F.col("is_run") & selected() & visible()
-    body = F.col("is_run") & ~F.col("tag").isin(*SKIPPED, "title")
+    body = F.col("is_run") & F.col("shown") & ~F.col("tag").isin(*SKIPPED, "title")
     hits = F.when(body, F.transform(text.matches(F.col("text")), lambda m: m["category"]))
     rows = scan(pages).select("page_id", seen.alias("seen"), (seen & category().isin(*rules.INTERACTIVE)).alias("interactive"), hits.alias("hits"))
     return rows.groupBy("page_id").agg(F.count_if("seen").alias("elements"), F.count_if("interactive").alias("interactive"), F.sum(F.coalesce(F.size("hits"), F.lit(0))).alias("detections"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("hits"))))).alias("categories"))
@@ -111,9 +144,8 @@ def attribute(name: str) -> Column:
 
 
 def visible() -> Column:
-    """Visibility as far as static HTML tells: no inline style or type that hides the element."""
-    style = F.lower(F.regexp_replace(F.coalesce(attribute("style"), F.lit("")), r"\s", ""))
-    return ~style.rlike(r"display:none|visibility:hidden|opacity:0(?![.\d])|(^|;)width:0(?![.\d])|(^|;)height:0(?![.\d])") & (F.coalesce(attribute("type"), F.lit("")) != "hidden")
+    """Visibility as far as static HTML tells: no style of the element, of a style sheet of the page or of what it inherits hides it."""
+    return F.col("shown")
 
 
 def category() -> Column:
@@ -148,18 +180,12 @@ def numbered(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 def page_elements(pages: DataFrame) -> DataFrame:
     """The scan of a page: selected, visible, numbered elements; text to 500 characters, label looked up."""
-    every = elements(pages)
-    found = numbered(every.filter(selected() & visible())).withColumn("category", category())
-    return labelled(found, every).withColumn("text", F.coalesce(F.substring(text.first_truthy(F.col("text"), attribute("value")), 1, 500), F.lit("")))
+    return described(numbered(elements(pages).filter(selected() & visible())))
 
 
-def labelled(found: DataFrame, every: DataFrame) -> DataFrame:
-    """``label``: text of the label for the element's id, else of the enclosing label, else empty."""
-    labels = every.filter("tag = 'label'")
-    by_id = labels.filter(attribute("for").isNotNull()).groupBy("page_id", attribute("for").alias("_for")).agg(F.min_by("text", "ord").alias("_by_id"))
-    around = labels.select("page_id", F.col("ord").alias("label_ord"), F.col("text").alias("_around"))
-    joined = found.withColumn("_for", attribute("id")).join(by_id, ["page_id", "_for"], "left").join(around, ["page_id", "label_ord"], "left")
-    return joined.withColumn("label", F.coalesce(text.truthy(F.col("_by_id")), F.col("_around"), F.lit(""))).drop("_for", "_by_id", "_around")
+def described(found: DataFrame) -> DataFrame:
+    """Elements with their category and their text to 500 characters.  ``label`` is the text of the label for the element's id, else of the enclosing label, else empty."""
+    return found.withColumn("category", category()).withColumn("text", F.coalesce(F.substring(text.first_truthy(F.col("text"), attribute("value")), 1, 500), F.lit("")))
 
 
 def runtime_elements(pages: DataFrame, limit: int = 60) -> DataFrame:
@@ -176,21 +202,33 @@ def runtime_elements(pages: DataFrame, limit: int = 60) -> DataFrame:
     )
 
 
+#: The tags of a form's controls.
+CONTROLS = ("input", "textarea", "select", "button")
+
+
 def forms(pages: DataFrame) -> DataFrame:
     """page_id, form_id, name and the visible controls as an array of structs numbered ``form_i_control_j``."""
-    every = elements(pages)
-    heads = every.filter("tag = 'form'").withColumn("i", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")))
-    heads = heads.select("page_id", F.col("ord").alias("form"), F.concat(F.lit("form_"), F.col("i").cast("string")).alias("form_id"), attribute("name").alias("form_name"))
-    controls = labelled(every.filter(F.col("tag").isin("input", "textarea", "select", "button") & visible() & F.col("form").isNotNull()), every)
-    controls = controls.join(heads, ["page_id", "form"]).withColumn("j", F.row_number().over(Window.partitionBy("page_id", "form").orderBy("ord")))
-    one = F.struct("j", F.concat("form_id", F.lit("_control_"), F.col("j").cast("string")).alias("control_id"), "tag", attribute("type").alias("type"), attribute("name").alias("name"), "label", attribute("placeholder").alias("placeholder"))
-    return controls.groupBy("page_id", "form_id", "form_name").agg(F.array_sort(F.collect_list(one)).alias("controls"))
+    controls = elements(pages).filter(F.col("tag").isin(*CONTROLS) & visible() & F.col("form").isNotNull())
+    held = controls.groupBy("page_id", "form_no", "form_name").agg(F.array_sort(F.collect_list(control())).alias("controls"))
+    return held.select("page_id", form_id(F.col("form_no")).alias("form_id"), "form_name", F.transform("controls", lambda c, i: numbered_control(form_id(F.col("form_no")), c, i)).alias("controls"))
+
+
+def form_id(number: Column) -> Column:
+    return F.concat(F.lit("form_"), number.cast("string"))
+
+
+def control() -> Column:
+    """Struct of a control, before it has its number."""
+    return F.struct("ord", "tag", attribute("type").alias("type"), attribute("name").alias("name"), "label", attribute("placeholder").alias("placeholder"))
+
+
+def numbered_control(form: Column, c: Column, i: Column) -> Column:
+    return F.struct((i + 1).alias("j"), F.concat(form, F.lit("_control_"), (i + 1).cast("string")).alias("control_id"), *[c[f].alias(f) for f in ("tag", "type", "name", "label", "placeholder")])
 
 
 def sensitive_inputs(pages: DataFrame) -> DataFrame:
     """Inputs with a value that classifies as sensitive."""
-    every = elements(pages)
-    fields = labelled(every.filter(F.col("tag").isin("input", "textarea") & visible()), every)
+    fields = elements(pages).filter(F.col("tag").isin("input", "textarea") & visible())
     metadata = F.concat_ws(" ", *[attribute(a) for a in ("type", "name", "id", "autocomplete", "placeholder", "aria-label")], text.truthy(F.col("label")))
     found = fields.filter(F.trim(F.coalesce(attribute("value"), F.lit(""))) != "").withColumn("d", text.classify(metadata, attribute("value")))
     return found.filter("d IS NOT NULL").select("page_id", "ord", "tag", F.lit("input").alias("source"), "d.category", "d.severity", "d.reason")
@@ -200,8 +238,8 @@ SKIPPED = ("script", "style", "noscript", "input", "textarea", "select", "option
 
 
 def sensitive_text(pages: DataFrame) -> DataFrame:
-    """Matches of the rules in text runs outside the skipped tags."""
-    runs = text_runs(pages).filter(~F.col("parent_tag").isin(*SKIPPED) & (F.col("parent_tag") != "title"))
+    """Matches of the rules in text runs that can be seen, outside the skipped tags."""
+    runs = text_runs(pages).filter(F.col("shown") & ~F.col("parent_tag").isin(*SKIPPED) & (F.col("parent_tag") != "title"))
     return runs.select("page_id", "ord", F.lit("text").alias("source"), F.col("parent_tag").alias("tag"), F.explode(text.matches(F.col("text"))).alias("m")).select("page_id", "ord", "source", "tag", "m.category", "m.severity", "m.value", "m.start", "m.end")
 
 
