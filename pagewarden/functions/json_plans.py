@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import plan_steps
 from .rules import FALLBACK_PATTERNS, java
 
-#: A string value in JSON text: a string that no colon follows.
+#: A string in JSON text: a key if a colon follows, else a value.
 STRING_OR_KEY = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'
 
 
 def string_values(json: Column) -> Column:
-    """All string values at any depth of JSON text, keys left out; null if it isn't JSON."""
+    """All string values at any depth of JSON text, decoded, keys left out; null if it isn't JSON.
+
+    The values are put into one array and read at once, so escapes become the characters that they stand for.
+    """
     strings = F.filter(F.regexp_extract_all(json, F.lit(STRING_OR_KEY), F.lit(0)), lambda s: ~s.endswith(":"))
-    return F.when(F.try_parse_json(json).isNotNull(), F.transform(strings, lambda s: F.substring(s, F.lit(2), F.length(s) - 2)))
+    decoded = F.from_json(F.concat(F.lit("["), F.array_join(strings, ","), F.lit("]")), "array<string>")
+    return F.when(F.try_parse_json(json).isNotNull(), F.coalesce(decoded, strings))
 
 
 def contains_raw_pii(json: Column) -> Column:
@@ -39,6 +44,20 @@ MEDIA = r"(?i)\b(play|watch|listen(?:\s+to)?)\s+(.+?)\s*$"
 SEARCH = r"(?i)\b(?:search(?:\s+for)?|find|look\s+up|open)\s+(.+?)\s+(?:on|in|at)\s+(youtube(?:\s+music)?|yt|google|github|wikipedia|wiki|amazon)\b"
 
 
+# What tells a command to close tabs, and one to search.
+TAB_VERB, TAB_NOUN = r"\b(?:close|remove|delete)\b", r"\btabs?\b"
+TAB_OTHERS = r"\b(?:all|other|rest|remaining)\s+tabs?\b"
+TAB_KEPT = r"\b(?:except|but|keep|retain|leave)\b.*\b(?:current|this|one)\s+tab\b|\bonly\s+keep\s+(?:this|current|one|\d+)\s+tab\b"
+TAB_SPAN = r"\btabs?\s+(\d+)\s*(?:to|through|-)\s*(\d+)\b"
+TAB_LIST = r"\btabs?\s+((?:\d+\s*(?:,|and|&)?\s*)+)\b"
+OTHER_SOURCE = r"(?i)\s+(?:on|in)\s+[a-z0-9 .-]+\s*$"
+MEDIA_TAIL = r"(?i)\s+(?:on|in)\s+youtube(?:\s+music)?\s*$"
+ACTS = r"\b(?:click|play|watch|listen|add|put|buy|purchase|cart|basket|bag|compare|select|details?|review)\b"
+OPENS, NEW_TAB = r"\bopen\s+(?!a?\s*new\s+tab\b)(?!.*\bsearch\b)", r"\bnew\s+tab\b"
+COMPOSER = "new message|to recipients|subject|message body"
+# End of the fixed values.
+
+
 # ---- Plans of browser steps ----
 # The vocabulary of steps.
 ACTIONS = ["click", "dblclick", "rightclick", "type", "key", "select", "scroll", "wait", "navigate", "opentab", "closetabs", "hover", "focus", "clear", "drag", "screenshot"]
@@ -101,19 +120,19 @@ def _first_fault(step: Column) -> Column:
 def _fault_of(t: Column) -> Column:
     v = lambda p: F.get_json_object(t, f"$.{p}")
     is_object = lambda x: F.trim(x).startswith("{")
-    integer = lambda x: x.isNull() | x.rlike("^-?[0-9]+$")
+    number_fault = lambda name: plan_steps.whole_number(t, name, F.lit(0))["fault"]
     positive = lambda x: F.coalesce(x.rlike("^[1-9][0-9]*$"), F.lit(False))
     act, scope = F.coalesce(v("action"), F.lit("")), F.coalesce(F.nullif(v("scope"), F.lit("")), F.lit("all_except_current"))
     target_ok, origin = v("target").isNull() | is_object(v("target")), F.coalesce(v("from"), v("source"))
     return (
         F.when(~is_object(t), "STEP_NOT_OBJECT")
         .when(~act.isin(*ACTIONS), "UNKNOWN_ACTION")
-        .when(~integer(v("step")), "UNCAUGHT_VALUE_ERROR")
+        .when(number_fault("step").isNotNull(), number_fault("step"))
         .when(act.isin(*TARGETED, "drag", "key", "scroll") & ~target_ok, "TARGET_NOT_OBJECT")
         .when((act == "drag") & origin.isNotNull() & ~is_object(origin), "TARGET_NOT_OBJECT")
         .when(act.isin("type", "select") & v("value").isNull(), "VALUE_REQUIRED")
-        .when((act == "scroll") & ~integer(v("pixels")), "UNCAUGHT_VALUE_ERROR")
-        .when((act == "wait") & ~integer(v("timeout_ms")), "UNCAUGHT_VALUE_ERROR")
+        .when((act == "scroll") & number_fault("pixels").isNotNull(), number_fault("pixels"))
+        .when((act == "wait") & number_fault("timeout_ms").isNotNull(), number_fault("timeout_ms"))
         .when(act.isin("navigate", "opentab") & (F.coalesce(v("url"), F.lit("")) == ""), "URL_REQUIRED")
         .when((act == "closetabs") & ~scope.isin(*SCOPES), "BAD_SCOPE")
         .when((act == "closetabs") & (scope == "tab_numbers") & ~F.coalesce(v("tab_numbers").rlike(r"^\[[1-9][0-9]*(,[1-9][0-9]*)*\]$"), F.lit(False)), "BAD_TAB_NUMBERS")
@@ -186,17 +205,16 @@ def first_line(intent: Column) -> Column:
 def tab_command(intent: Column) -> Column:
     """Struct (scope, numbers, start, end) of an explicit command to close tabs, else null."""
     line = F.lower(first_line(intent))
-    asked = line.rlike(r"\b(?:close|remove|delete)\b") & line.rlike(r"\btabs?\b")
-    others = line.rlike(r"\b(?:all|other|rest|remaining)\s+tabs?\b") & line.rlike(r"\b(?:except|but|keep|retain|leave)\b.*\b(?:current|this|one)\s+tab\b|\bonly\s+keep\s+(?:this|current|one|\d+)\s+tab\b")
-    span = r"\btabs?\s+(\d+)\s*(?:to|through|-)\s*(\d+)\b"
-    listed = F.regexp_extract(line, r"\btabs?\s+((?:\d+\s*(?:,|and|&)?\s*)+)\b", 1)
+    asked = line.rlike(TAB_VERB) & line.rlike(TAB_NOUN)
+    others = line.rlike(TAB_OTHERS) & line.rlike(TAB_KEPT)
+    listed = F.regexp_extract(line, TAB_LIST, 1)
     numbers = F.filter(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(listed, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int")))), lambda x: x > 0)
     none = F.array().cast("array<int>")
     made = lambda scope, ns=none, a=F.lit(None).cast("int"), b=F.lit(None).cast("int"): F.struct(scope.alias("scope"), ns.alias("numbers"), a.alias("start"), b.alias("end"))
     keep = F.when(line.contains("pinned"), "all_unpinned_except_current").otherwise("all_except_current")
     return (
         F.when(asked & others, made(keep))
-        .when(asked & line.rlike(span), made(F.lit("tab_range"), none, F.regexp_extract(line, span, 1).try_cast("int"), F.regexp_extract(line, span, 2).try_cast("int")))
+        .when(asked & line.rlike(TAB_SPAN), made(F.lit("tab_range"), none, F.regexp_extract(line, TAB_SPAN, 1).try_cast("int"), F.regexp_extract(line, TAB_SPAN, 2).try_cast("int")))
         .when(asked & (F.size(numbers) > 0), made(F.lit("tab_numbers"), numbers))
     )
 
@@ -209,22 +227,26 @@ def direct_search(intent: Column, page_url: Column) -> Column:
     low = F.lower(line)
     named = F.coalesce(*[F.when(low.rlike(rf"\b{name}\b"), name) for name, _, _ in ROUTES], *[F.when(low.contains(a), to) for a, to in ALIASES])
     media, explicit = F.regexp_extract(line, MEDIA, 2), F.regexp_extract(line, SEARCH, 1)
-    other_source = media.rlike(r"(?i)\s+(?:on|in)\s+[a-z0-9 .-]+\s*$") & named.isNull()
+    other_source = media.rlike(OTHER_SOURCE) & named.isNull()
     wanted = F.lower(F.regexp_extract(line, SEARCH, 2))
     alias = F.coalesce(*[F.when(wanted == a, to) for a, to in ALIASES], wanted)
     is_media = media != ""
     site = F.when(is_media, F.coalesce(named, F.lit("youtube"))).when(explicit != "", alias)
-    query = F.when(is_media, F.regexp_replace(media, r"(?i)\s+(?:on|in)\s+youtube(?:\s+music)?\s*$", "")).otherwise(explicit)
+    query = F.when(is_media, F.regexp_replace(media, MEDIA_TAIL, "")).otherwise(explicit)
     query = F.regexp_replace(query, r"^[ .,!?\"]+|[ .,!?\"]+$", "")
-    acts = is_media | low.rlike(r"\b(?:click|play|watch|listen|add|put|buy|purchase|cart|basket|bag|compare|select|details?|review)\b") | low.rlike(r"\bopen\s+(?!a?\s*new\s+tab\b)(?!.*\bsearch\b)")
+    acts = is_media | low.rlike(ACTS) | low.rlike(OPENS)
     skip = intent.contains("AGENT CONTINUATION:") | (is_media & other_source) | (results_site(F.coalesce(page_url, F.lit(""))) == site) | (query == "")
     known = site.isin(*[name for name, _, _ in ROUTES])
-    action = F.when(F.lower(intent).rlike(r"\bnew\s+tab\b"), "opentab").otherwise("navigate")
+    action = F.when(F.lower(intent).rlike(NEW_TAB), "opentab").otherwise("navigate")
     return F.when(F.coalesce(known, F.lit(False)) & ~F.coalesce(skip, F.lit(False)), F.struct(site.alias("site"), query.alias("query"), action.alias("action"), search_url(site, query).alias("url"), (~acts).alias("task_complete")))
 
 
-def stale_plan(intent: Column, page_url: Column, visible: Column, plan: Column) -> Column:
-    """Error code of a continuation that starts over on a results page or in a mail editor, else null."""
+def stale_plan(intent: Column, page_url: Column, visible: Column, plan: Column, elements: Column | None = None) -> Column:
+    """Error code of a continuation that starts over on a results page or in a mail editor, else null.
+
+    ``elements`` is the JSON array of the page's elements; with it, only typing into one that is editable fills an open editor,
+    and their texts, labels, placeholders and roles count as text of the page.  Without it every type step does.
+    """
     from .urls import host, results_site
 
     steps = F.from_json(F.get_json_object(plan, "$.tasks"), "array<string>")
@@ -233,11 +255,19 @@ def stale_plan(intent: Column, page_url: Column, visible: Column, plan: Column)
     says_search = F.exists(steps, lambda t: F.lower(get(t, "description")).contains("search"))
     again = any_of("type", "key", "navigate", "opentab") | says_search | ~any_of("click", "dblclick")
     low = F.lower(F.coalesce(visible, F.lit("")))
-    composing = host(page_url).contains("mail.google.com") & low.rlike("new message|to recipients|subject|message body")
+    typing = any_of("type")
+    if elements is not None:
+        listed = F.from_json(elements, "array<string>")
+        told = F.flatten(F.transform(listed, lambda e: F.array(*[get(e, c) for c in ("text", "label", "placeholder", "role")])))
+        low = F.concat_ws(" ", low, F.lower(F.array_join(told, " ")))
+        able = lambda e: ~F.coalesce(F.get_json_object(e, "$.editable"), F.lit("")).isin("", "false", "0", "[]", "{}") & (get(e, "elementId") != "")
+        editors = F.coalesce(F.transform(F.filter(listed, able), lambda e: get(e, "elementId")), F.array().cast("array<string>"))
+        typing = F.exists(steps, lambda t: (get(t, "action") == "type") & F.array_contains(editors, get(t, "target.elementId")))
+    composing = host(page_url).contains("mail.google.com") & low.rlike(COMPOSER)
     tabs = F.exists(steps, lambda t: (get(t, "action") == "key") & (F.lower(F.coalesce(F.nullif(get(t, "key"), F.lit("")), get(t, "value"))) == "tab"))
     return (
         F.when(~intent.contains("AGENT CONTINUATION:"), F.lit(None).cast("string"))
         .when(results_site(page_url).isNotNull() & again, "ALREADY_ON_RESULTS")
         .when(composing & any_of("navigate", "opentab"), "COMPOSER_OPEN")
-        .when(composing & (tabs | ~any_of("type")), "COMPOSER_NEEDS_TYPE")
+        .when(composing & (tabs | ~typing), "COMPOSER_NEEDS_TYPE")
     )
