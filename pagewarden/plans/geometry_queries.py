@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import spatial
+from ..operators.suppression import suppress
 from ..operators.vision import BACK, FRONT
 from . import query, rows_of, table
 
@@ -253,14 +254,14 @@ def f20_rect_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(spark, "id int, j string", F20).select("id", G.any_rect(F.col("j")).alias("r")).select("id", *flat("r"))
 
 
-def _ordered(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    r = F.col("rect")
-    box = F.struct((F.col("id") if by == "arrival" else -G.area(r)).alias("o"), "id", r["x"].alias("x"), r["y"].alias("y"), r["width"].alias("width"), r["height"].alias("height"), (F.col("id") % 3).alias("type"))
-    return elements(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+def _boxes(spark: SparkSession, sf_dir: str, by: str, page_size: int = 40) -> DataFrame:
+    """Boxes with their rank within a page: by arrival, or the largest first."""
+    rank = F.struct(F.lit(0).cast("long").alias("o"), "id") if by == "arrival" else F.struct((-G.area(F.col("rect"))).cast("long").alias("o"), "id")
+    return elements(spark, sf_dir).select(F.floor(F.col("id") / page_size).alias("page_id"), rank.alias("rank"), "id", "rect", (F.col("id") % 3).alias("type"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.select("page_id", F.explode("kept").alias("k")).select("page_id", "k.id")
+def _overlap(least: float):
+    return lambda k, b: G.iou(k["rect"], b["rect"]) >= least
 
 
 def _greedy(boxes: str, clash: str, order: str = "o, id") -> str:
@@ -278,18 +279,22 @@ _BY_AREA = f"(SELECT *, -w * h AS o, id % 3 AS t FROM {ELEMENTS})"
 
 @query(f"SELECT page_id, id FROM ({_greedy(f'(SELECT * FROM {_BY_ID} WHERE w >= 12 AND h >= 12)', _IOU + ' >= 0.42')})")
 def w2_face_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    big = F.filter("boxes", lambda b: (b["width"] >= 12) & (b["height"] >= 12))
-    return _kept(_ordered(spark, sf_dir, "arrival").select("page_id", G.suppressed(big, lambda k, b: G.iou(k, b) >= 0.42).alias("kept")))
+    big = _boxes(spark, sf_dir, "arrival").filter("rect.width >= 12 AND rect.height >= 12")
+    return suppress(big, _overlap(0.42)).select("page_id", "id")
 
 
 @query(f"SELECT page_id, id FROM ({_greedy(_BY_AREA, _IOU + ' >= 0.70')})")
 def w3_region_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(_ordered(spark, sf_dir, "area").select("page_id", G.suppressed(F.col("boxes"), lambda k, b: G.iou(k, b) >= 0.70).alias("kept")))
+    return suppress(_boxes(spark, sf_dir, "area"), _overlap(0.70)).select("page_id", "id")
 
 
 @query(f"SELECT page_id, id FROM ({_greedy(_BY_ID, _IOU + ' >= 0.85 AND k.t = b.t')})")
 def w4_same_type_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(_ordered(spark, sf_dir, "arrival").select("page_id", G.suppressed(F.col("boxes"), lambda k, b: (G.iou(k, b) >= 0.85) & (k["type"] == b["type"])).alias("kept")))
+    return suppress(_boxes(spark, sf_dir, "arrival"), _alike).select("page_id", "id")
+
+
+def _alike(k, b):
+    return (G.iou(k["rect"], b["rect"]) >= 0.85) & (k["type"] == b["type"])
 
 
 _CONTAINED = f"({_SHARED} / (k.w * k.h) >= 0.90 OR {_SHARED} / (b.w * b.h) >= 0.90)"
@@ -297,5 +302,18 @@ _CONTAINED = f"({_SHARED} / (k.w * k.h) >= 0.90 OR {_SHARED} / (b.w * b.h) >= 0.
 
 @query(f"SELECT page_id, id FROM ({_greedy('(SELECT *, -w * h AS o FROM (' + _greedy(_BY_AREA, _CONTAINED) + '))', _IOU + ' >= 0.65')})")
 def w5_two_pass_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _ordered(spark, sf_dir, "area").select("page_id", G.suppressed(F.col("boxes"), lambda k, b: (G.containment(b, k) >= 0.90) | (G.containment(k, b) >= 0.90)).alias("boxes"))
-    return _kept(first.select("page_id", G.suppressed(F.col("boxes"), lambda k, b: G.iou(k, b) >= 0.65).alias("kept")))
+    first = suppress(_boxes(spark, sf_dir, "area"), _within)
+    return suppress(first, _overlap(0.65)).select("page_id", "id")
+
+
+def _within(k, b):
+    return (G.containment(b["rect"], k["rect"]) >= 0.90) | (G.containment(k["rect"], b["rect"]) >= 0.90)
+
+
+_CROWDED = f"(SELECT * REPLACE (id // 500 AS page_id) FROM {_BY_AREA})"
+
+
+@query(f"SELECT page_id, id FROM ({_greedy(_CROWDED, _IOU + ' >= 0.42')})")
+def w3_crowded_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of five hundred boxes, by rounds over their conflicts."""
+    return suppress(_boxes(spark, sf_dir, "area", 500), _overlap(0.42)).select("page_id", "id")
