@@ -77,10 +77,10 @@ SAMPLE = "Rohan Mehta\nDOB: 12/03/1990\n1234 5678 9012\nAddress: 5 Long Lane\nNe
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, i, line, following: lines of documents with the next one, looked up in the document's own array."""
+    """doc_id, i, line, following: lines of documents, each with the next one."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionAll(rows_of(spark, "doc_id long, text string", [(-1, SAMPLE)]))
-    parts = docs.select("doc_id", F.split("text", "\n", -1).alias("l"))
-    return parts.select("doc_id", "l", F.posexplode("l").alias("i", "line")).select("doc_id", "i", "line", F.get("l", F.col("i") + 1).alias("following"))
+    parts = docs.select("doc_id", text.let(F.split("text", "\n", -1), lambda l: F.arrays_zip(l.alias("line"), F.slice(l, F.lit(2), F.size(l)).alias("following"))).alias("pairs"))
+    return parts.select("doc_id", F.posexplode("pairs").alias("i", "p")).select("doc_id", "i", F.col("p")["line"].alias("line"), F.col("p")["following"].alias("following"))
 
 
 @query(f"SELECT doc_id, CAST(i AS INT) AS i, {CLASS} AS class FROM {LINES} WHERE {CLASS} IS NOT NULL")
@@ -191,3 +191,35 @@ def r2_debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["r4_continuation"])
 def r4_continuation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed(spark, sf_dir, lambda rows: E.continuation_stream(rows, "signup", "purchase", 86_400)).select("event_id", "set_id")
+
+
+@query(ORACLE_SQL["r1_scan_throttle"])
+def r1_scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The throttle as a stream whose timers fire by event time."""
+    run = lambda rows: E.scan_stream(rows, "user_id", 2 * 3_600_000, 15 * 3_600_000)
+    return replayed(spark, sf_dir, run).select(F.col("user_id").alias("page_id"), "scan_at")
+
+
+#: Clicks are changes, and a key is busy from a view to a purchase.
+_FEED = """WITH e AS (SELECT user_id, event_id, event_type, ts, coalesce(last_value(CASE WHEN event_type IN ('view', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'view', false) AS busy,
+count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS span FROM events WHERE event_type IN ('click', 'view', 'purchase'))
+SELECT user_id, event_id, event_id AS told_by FROM e WHERE event_type = 'click' AND NOT busy"""
+_HELD = """ UNION ALL SELECT user_id, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type = 'click' AND busy) AS event_id, max(event_id) FILTER (WHERE event_type = 'purchase') AS told_by
+FROM e GROUP BY user_id, span HAVING count(*) FILTER (WHERE event_type = 'click' AND busy) > 0 AND count(*) FILTER (WHERE event_type = 'purchase') > 0"""
+
+
+@query(_FEED)
+def r7_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a key that is not busy; those in a busy time are ignored."""
+    return E.change_feed(events(spark, sf_dir), "user_id", "click", "view", "purchase")
+
+
+@query(_FEED + _HELD)
+def r7_held_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but the last change of a busy time comes when it ends."""
+    return E.change_feed(events(spark, sf_dir), "user_id", "click", "view", "purchase", hold=True)
+
+
+@query(_FEED + _HELD)
+def r7_held_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(spark, sf_dir, lambda rows: E.change_stream(rows, "user_id", "click", "view", "purchase", hold=True))

@@ -2,30 +2,164 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import exact, masked
+
 
 def scan_times(changes: DataFrame, delay: int, pause: int) -> DataFrame:
     """page_id, scan_at: a timer of ``delay`` starts at a page's first change; later changes don't move it, and a scan
-    within ``pause`` of the last one is dropped.  ``changes`` has page_id and at in milliseconds."""
-    rows = changes.groupBy("page_id").agg(F.array_sort(F.collect_list("at")).alias("t"))
-    none = F.lit(None).cast("long")
-    start = F.struct(none.alias("timer"), none.alias("last"), F.array().cast("array<bigint>").alias("scans"))
+    within ``pause`` of the last one is dropped.  ``changes`` has page_id and at in milliseconds; rows without page_id are one page, those without a time are left out.
+
+    A page's changes pass in order and leave two numbers behind, so no page is ever held as a whole.
+    """
+
+    def run(batches):
+        page, timer, last = None, None, None
+        for pdf in batches:
+            at, ids, known = pdf["at"].to_numpy(np.int64), pdf["page_id"].to_numpy(np.int64), pdf["page_id_known"].to_numpy(bool)
+            turns = np.flatnonzero((ids[1:] != ids[:-1]) | (known[1:] != known[:-1])) + 1
+            out = []
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(at)], strict=True):
+                if a == b:
+                    continue
+                if (name := (int(ids[a]), bool(known[a]))) != page:
+                    if timer is not None and (last is None or timer - last >= pause):
+                        out.append((*page, timer))
+                    page, timer, last = name, None, None
+                k = a
+                while k < b:
+                    if timer is not None:
+                        # The first change that the timer doesn't cover; it has fired by then.
+                        k += int(np.searchsorted(at[k:b], timer, "left"))
+                        if k == b:
+                            break
+                        if last is None or timer - last >= pause:
+                            out.append((*page, timer))
+                            last = timer
+                    timer = int(at[k]) + delay
+            yield _scans(out)
+        if timer is not None and (last is None or timer - last >= pause):
+            yield _scans([(*page, timer)])
+
+    rows = changes.filter("at IS NOT NULL").select(*exact("page_id"), F.col("at").cast("long").alias("at"))
+    order = ["page_id_known", "page_id"]
+    return rows.repartition(*order).sortWithinPartitions(*order, "at").mapInPandas(run, "page_id long, scan_at long")
+
+
+def _scans(found: list[tuple]) -> pd.DataFrame:
+    ids = masked(np.asarray([f[0] for f in found], np.int64), np.asarray([f[1] for f in found], bool))
+    return pd.DataFrame({"page_id": ids, "scan_at": np.asarray([f[2] for f in found], np.int64)})
+
+
+def in_order_stream(events: DataFrame, key: str, fold: Callable, tick: Callable, state: str, out: str, lateness: str) -> DataFrame:
+    """A stateful operator of a stream (``key``, event_id, event_type, ts) that takes each key's events in the order of (ts, event_id), however batches cut them.
+
+    Events wait in the state until the watermark has passed them; those that come later than ``lateness`` are dropped.  ``fold(values, at, event_id,
+    event_type)`` and ``tick(values, mark)`` give the next values and rows of ``out``; ``tick`` comes after the events up to the watermark (both in
+    microseconds), and gives the time at which it wants to be called again, or null.  ``values`` starts as nulls in the columns of ``state``; a key whose
+    values are all null and that has no waiting event is forgotten.
+    """
+    width, columns = len(state.split(", ")), [c.split()[0] for c in out.split(", ")]
+
+    def step(name, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        values, wait = (None,) * width, []
+        if held.exists:
+            *values, times, ids, kinds = held.get
+            values, wait = tuple(values), list(zip(times, ids, kinds, strict=True))
+        for pdf in () if held.hasTimedOut else batches:
+            wait += [(int(t.value // 1000), int(i), k) for t, i, k in zip(pdf["ts"], pdf["event_id"], pdf["event_type"], strict=True)]
+        mark, rows = held.getCurrentWatermarkMs() * 1000, []
+        wait.sort()
+        for event in [w for w in wait if w[0] <= mark]:
+            values, found = fold(values, *event)
+            rows += found
+        wait = [w for w in wait if w[0] > mark]
+        values, found, due = tick(values, mark)
+        rows += found
+        due = min([w[0] for w in wait[:1]] + [d for d in (due,) if d is not None], default=None)
+        if any(v is not None for v in values) or wait:
+            held.update((*values, [w[0] for w in wait], [w[1] for w in wait], [w[2] for w in wait]))
+            if due is not None:
+                held.setTimeoutTimestamp(max(mark // 1000 + 1, -(-due // 1000)))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame([(name[0], *r) for r in rows], columns=[key, *columns]).astype("int64")
+
+    kept = f"{state}, times array<long>, ids array<long>, kinds array<string>"
+    return events.withWatermark("ts", lateness).select(key, "event_id", "event_type", "ts").groupBy(key).applyInPandasWithState(step, f"{key} long, {out}", kept, "append", "EventTimeTimeout")
+
+
+def scan_stream(changes: DataFrame, key: str, delay: int, pause: int, lateness: str = "1 hour") -> DataFrame:
+    """The stateful form of ``scan_times`` for a stream (``key``, event_id, event_type, ts); ``delay`` and ``pause`` in milliseconds.
+
+    A timer fires when the watermark passes it; a page is forgotten once no pause can drop its next scan.
+    """
+    delay, pause = 1000 * delay, 1000 * pause
 
-    def fired(s):
-        ok = s["last"].isNull() | (s["timer"] - s["last"] >= pause)
-        return F.struct(none.alias("timer"), F.when(ok, s["timer"]).otherwise(s["last"]).alias("last"), F.when(ok, F.array_append(s["scans"], s["timer"])).otherwise(s["scans"]).alias("scans"))
+    def fired(timer, last):
+        fires = last is None or timer - last >= pause
+        return (timer, [(timer // 1000,)]) if fires else (last, [])
 
-    def step(s, at):
-        due = F.when(s["timer"].isNotNull() & (s["timer"] <= at), fired(s)).otherwise(s)
-        return F.struct(F.coalesce(due["timer"], at + delay).alias("timer"), due["last"].alias("last"), due["scans"].alias("scans"))
+    def fold(values, at, event_id, event_type):
+        timer, last = values
+        rows = []
+        if timer is not None and timer <= at:
+            (last, rows), timer = fired(timer, last), None
+        return (at + delay if timer is None else timer, last), rows
 
-    end = F.aggregate("t", start, step, lambda s: F.when(s["timer"].isNotNull(), fired(s)["scans"]).otherwise(s["scans"]))
-    return rows.select("page_id", F.explode(end).alias("scan_at"))
+    def tick(values, mark):
+        timer, last = values
+        rows = []
+        # An event at the timer's own time may still be on its way, but it only starts the next timer.
+        if timer is not None and timer <= mark:
+            (last, rows), timer = fired(timer, last), None
+        if timer is None and last is not None and last + pause <= mark + delay:
+            last = None
+        return (timer, last), rows, timer if timer is not None else (last + pause - delay if last is not None else None)
+
+    return in_order_stream(changes, key, fold, tick, "timer long, last long", "scan_at long", lateness)
+
+
+def change_feed(events: DataFrame, key: str, change: str, begin: str, end: str, *, hold: bool = False) -> DataFrame:
+    """``key``, event_id, told_by: the changes that a key's follower gets, in a batch of events (``key``, event_id, event_type, ts).
+
+    While the key is busy (from ``begin`` to ``end``) changes are ignored, or with ``hold`` the last of them is told by the event that ends it.
+    Other changes are told by themselves.  A begin within a busy time, and an end outside one, mean nothing.
+    """
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    busy = F.last(F.when(F.col("event_type").isin(begin, end), F.col("event_type")), ignorenulls=True).over(w) == begin
+    rows = events.filter(F.col("event_type").isin(change, begin, end)).withColumn("busy", F.coalesce(busy, F.lit(False)))
+    told = rows.filter((F.col("event_type") == change) & ~F.col("busy")).select(key, "event_id", F.col("event_id").alias("told_by"))
+    if not hold:
+        return told
+    # A busy time is what stands between two ends; its last change waits for the end after it.
+    spans = rows.withColumn("span", F.count_if(F.col("event_type") == end).over(w) - F.when(F.col("event_type") == end, 1).otherwise(0))
+    place = F.struct("ts", "event_id")
+    last = spans.groupBy(key, "span").agg(F.max_by("event_id", F.when((F.col("event_type") == change) & F.col("busy"), place)).alias("event_id"), F.max(F.when(F.col("event_type") == end, F.col("event_id"))).alias("told_by"))
+    return told.unionByName(last.filter("event_id IS NOT NULL AND told_by IS NOT NULL").select(key, "event_id", "told_by"))
+
+
+def change_stream(events: DataFrame, key: str, change: str, begin: str, end: str, *, hold: bool = False, lateness: str = "1 hour") -> DataFrame:
+    """The stateful form of ``change_feed``: the same rows under any cut into batches, as long as no event is later than ``lateness``."""
+
+    def fold(values, at, event_id, event_type):
+        busy, waiting = values
+        if event_type == begin:
+            return (1, waiting), []
+        if event_type == end:
+            return (None, None), [(waiting, event_id)] if busy and waiting is not None else []
+        if busy:
+            return (busy, event_id if hold else None), []
+        return values, [(event_id, event_id)]
+
+    own = events.filter(F.col("event_type").isin(change, begin, end))
+    return in_order_stream(own, key, fold, lambda values, mark: (values, [], None), "busy long, waiting long", "event_id long, told_by long", lateness)
 
 
 def debounced(events: DataFrame, key: str, gap: str) -> DataFrame:
