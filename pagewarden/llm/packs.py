@@ -23,6 +23,7 @@ RANGE_BYTES = 8 << 20
 PACK_SCHEMA = "pack long, n_docs long, n_bytes long, first_row long, doc_ids binary, known binary, lengths binary, digests binary, body binary"
 KEY_SCHEMA = "key_range int, pack long, keys binary, twice binary"
 SHARED_SCHEMA = "pack long, keys binary"
+MARKED_SCHEMA = "pack long, keys binary, hot binary"
 COUNT_SCHEMA = "key_range int, pack long, keys binary, counts binary"
 COUNTED_SCHEMA = "pack long, keys binary, counts binary"
 
@@ -128,8 +129,9 @@ def split_counts(pack: int, keys: np.ndarray, counts: np.ndarray, n: int) -> Ite
         yield k, pack, to_blob(keys[a:b]), counts[a:b].astype("<u4").tobytes()
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """For each pack and range, the keys that at least two documents hold, from rows of KEY_SCHEMA."""
+def shared_keys(rows: DataFrame, hot_packs: int | None = None) -> DataFrame:
+    """For each pack and range, the keys that at least two documents hold, from rows of KEY_SCHEMA; with ``hot_packs``, also which of them
+    more packs than that hold (``hot``, a bit a key)."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [from_blob(b) for b in pdf["keys"]]
@@ -139,9 +141,14 @@ def shared_keys(rows: DataFrame) -> DataFrame:
         marked = [p[t] for p, t in zip(parts, twice, strict=True)]
         shared = np.unique(np.concatenate([again, *marked]))
         out = [(i, p[np.isin(p, shared, assume_unique=True)]) for i, p in zip(pdf["pack"], parts, strict=True)] if len(shared) else []
-        return pd.DataFrame([(i, to_blob(p)) for i, p in out if len(p)], columns=["pack", "keys"])
+        out = [(i, p) for i, p in out if len(p)]
+        if hot_packs is None:
+            return pd.DataFrame([(i, to_blob(p)) for i, p in out], columns=["pack", "keys"])
+        # A key that n packs hold stands n times in a row.
+        often = np.unique(keys[hot_packs:][keys[hot_packs:] == keys[: len(keys) - hot_packs]]) if len(keys) > hot_packs else keys[:0]
+        return pd.DataFrame([(i, to_blob(p), np.packbits(member(p, often)).tobytes()) for i, p in out], columns=["pack", "keys", "hot"])
 
-    return rows.groupBy("key_range").applyInPandas(find, SHARED_SCHEMA)
+    return rows.groupBy("key_range").applyInPandas(find, SHARED_SCHEMA if hot_packs is None else MARKED_SCHEMA)
 
 
 def counted_keys(rows: DataFrame) -> DataFrame:
@@ -166,6 +173,12 @@ def keys_of(pdf: pd.DataFrame) -> np.ndarray:
     return np.sort(np.concatenate([from_blob(b) for b in pdf["keys"]])) if len(pdf) else np.zeros(0, np.uint64)
 
 
+def hot_keys_of(pdf: pd.DataFrame) -> np.ndarray:
+    """Those of a pack's keys that ``shared_keys`` marked, sorted."""
+    keys = [from_blob(b) for b in pdf["keys"]]
+    return np.sort(np.concatenate([k[np.unpackbits(np.frombuffer(h, np.uint8), count=len(k)).astype(bool)] for k, h in zip(keys, pdf["hot"], strict=True)])) if len(pdf) else np.zeros(0, np.uint64)
+
+
 def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which keys are in the sorted array ``of``."""
     if not len(of):

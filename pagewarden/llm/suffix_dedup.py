@@ -29,10 +29,12 @@ NONE = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class DedupRule:
-    """length: bytes of a repeated string; shallow: bytes sorted by multikey quicksort before the blind tries."""
+    """length: bytes of a repeated string; shallow: bytes sorted by multikey quicksort before the blind tries; hot_packs: a key that more packs
+    hold is split by whole windows."""
 
     length: int = 50
     shallow: int = 32
+    hot_packs: int = 256
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -104,13 +106,41 @@ def distinct_keys(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[at], np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, bool)
 
 
+def window_hashes(data: bytes, first: np.ndarray, length: int) -> np.ndarray:
+    """A key for each window that depends on all of its bytes."""
+    windows, out = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length), np.zeros(len(first), np.uint64)
+    for at in range(0, len(first), SLICE // 8):
+        part = windows[first[at : at + SLICE // 8]]
+        key = np.full(len(part), 0x51_7C_C1_B7_27_22_0A_95, np.uint64)
+        for k in [*range(0, length - 7, 8), length - 8]:
+            key = (key ^ np.ascontiguousarray(part[:, k : k + 8]).view("<u8").ravel()) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[at : at + len(part)] = packs.mix(key)
+    return out
+
+
+def split_hot(data: bytes, keys, first, size, doc, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs, those with a hot key cut into single windows, each with a key of its own: equal windows still meet, but what stands around a
+    string that very many documents hold no longer gathers with it."""
+    cut = packs.member(keys, hot)
+    if not cut.any():
+        return keys, first, size, doc
+    n = size[cut]
+    each = np.repeat(first[cut], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    rest = ~cut
+    return (
+        np.concatenate([keys[rest], window_hashes(data, each, length)]), np.concatenate([first[rest], each]),
+        np.concatenate([size[rest], np.ones(len(each), size.dtype)]), np.concatenate([doc[rest], np.repeat(doc[cut], n)]),
+    )
+
+
 class Runs:
     """A pack's runs whose keys are shared, and the distinct texts among them in a fixed order."""
 
-    def __init__(self, pack: packs.Pack, shared: np.ndarray, length: int):
+    def __init__(self, pack: packs.Pack, shared: np.ndarray, hot: np.ndarray, length: int):
         keys, first, size, doc = all_runs(pack, length)
         keep = packs.member(keys, shared) & pack.known[doc]
-        keys, self.first, self.size, self.doc = keys[keep], first[keep], size[keep], doc[keep]
+        keys, self.first, self.size, self.doc = split_hot(pack.data, keys[keep], first[keep], size[keep], doc[keep], hot, length)
         data, index, self.of, owner = pack.data, {}, np.zeros(len(keys), np.int64), []
         texts: list[tuple[int, bytes]] = []
         ids = pack.doc_ids[self.doc].tolist()
@@ -310,10 +340,10 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
                 yield pd.DataFrame(list(packs.split_keys(pack.id, distinct, twice, ranges)), columns=["key_range", "pack", "keys", "twice"])
 
     def runs_out(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows, shared = [], packs.keys_of(right)
+        rows, shared, hot = [], packs.keys_of(right), packs.hot_keys_of(right)
         for row in left.itertuples():
             pack = packs.Pack(row)
-            r = Runs(pack, shared, n) if len(shared) else None
+            r = Runs(pack, shared, hot, n) if len(shared) else None
             held, cuts = packs.range_cuts(r.keys, ranges) if r else ([], [0])
             for k, a, b in zip(held, cuts[:-1], cuts[1:], strict=True):
                 sizes = np.asarray([len(t) for t in r.texts[a:b]], "<i4").tobytes()
@@ -349,13 +379,13 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
     def apply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         own = right[right["keys"].notna()]
-        shared = packs.keys_of(own)
+        shared, hot = packs.keys_of(own), packs.hot_keys_of(own)
         answers = right[right["least"].notna()].sort_values("key_range")
         for row in left.itertuples():
             pack = packs.Pack(row)
             gone = np.zeros(len(pack.data), bool)
             if len(answers):
-                r = Runs(pack, shared, n)
+                r = Runs(pack, shared, hot, n)
                 flat = np.frombuffer(b"".join(_unpacked(x) for x in answers["least"]), "<i8")
                 sizes = np.asarray([len(t) - n + 1 for t in r.texts], np.int64)
                 gone = removed_bytes(r, flat, sizes, pack, n)
@@ -365,10 +395,10 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
     spark = table.sparkSession
     size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     ranges = packs.ranges_for(size / ((n - GRAM + 2) / 2) * 8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = staged(packs.shared_keys(table.mapInPandas(keys_out, packs.KEY_SCHEMA)), table_dir(table), "shared", codec="lz4")
+    shared = staged(packs.shared_keys(table.mapInPandas(keys_out, packs.KEY_SCHEMA), rule.hot_packs), table_dir(table), "shared", codec="lz4")
     sent = table.groupBy("pack").cogroup(shared.groupBy("pack")).applyInPandas(runs_out, RUN_SCHEMA)
     back = sent.groupBy("key_range").applyInPandas(sort_range, BACK_SCHEMA)
-    answers = back.select("pack", "key_range", F.lit(None).cast("binary").alias("keys"), "least").unionByName(shared.select("pack", F.lit(None).cast("int").alias("key_range"), "keys", F.lit(None).cast("binary").alias("least")))
+    answers = back.select("pack", "key_range", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("hot"), "least").unionByName(shared.select("pack", F.lit(None).cast("int").alias("key_range"), "keys", "hot", F.lit(None).cast("binary").alias("least")))
     return table.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(apply, schema)
 
 

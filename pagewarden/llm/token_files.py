@@ -33,7 +33,7 @@ FILE_TOKENS = 4_000_000
 STEP_TOKENS = 1 << 18
 CACHE_WORDS = 600_000
 MANIFEST_SCHEMA = "path string, first_doc long, n_docs long, n_tokens long, part int, seq int"
-READ_SCHEMA = "doc_id long, local_start long, n_tokens long, ids_crc32 long, path string"
+READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, path string"
 
 
 #: A space before another white-space character, or at the end of a text: there a cut at each space is not a cut between words.
@@ -257,12 +257,13 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """A row for each stored document, from its file alone: local start, length and CRC-32 of its ids."""
+    """A row for each stored document of the files that ``manifest`` names (path, and base: the tokens of all files before, 0 where it has none), from
+    its file alone: start, length and CRC-32 of its ids."""
     missing = np.iinfo(np.int64).min
 
     def read(batches):
         for pdf in batches:
-            for path in pdf["path"]:
+            for path, base in zip(pdf["path"], pdf["base"], strict=True):
                 with reading(path) as source:
                     file = TokenFile(source)
                     starts = file.starts
@@ -272,21 +273,23 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     for x, y in zip(steps[:-1].tolist(), np.minimum(steps[1:], len(starts) - 1).tolist(), strict=True):
                         data, at = memoryview(file.slice(int(starts[x]), int(starts[y])).tobytes()), (4 * (starts[x : y + 1] - starts[x])).tolist()
                         crc += [zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                out = pd.DataFrame({"doc_id": pd.array(file.doc_ids, "Int64"), "local_start": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": crc, "path": path})
+                out = pd.DataFrame({"doc_id": pd.array(file.doc_ids, "Int64"), "start": starts[:-1] + int(base), "n_tokens": np.diff(starts), "ids_crc32": crc, "path": path})
                 out.loc[out["doc_id"] == missing, "doc_id"] = pd.NA
                 yield out
 
-    return dealt(manifest.select("path")).mapInPandas(read, READ_SCHEMA)
+    base = F.col("base") if "base" in manifest.columns else F.lit(0).cast("long").alias("base")
+    return dealt(manifest.select("path", base)).mapInPandas(read, READ_SCHEMA)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write the token files in the shared folder, read them back, and place each document in the whole.
 
-    The running sum is over the manifest: one small row for each file of millions of tokens.
+    The running sum is over the manifest: one small row for each file of millions of tokens.  Null texts are only the end id, nulls among
+    doc_ids come first, rows that repeat a doc_id are documents of their own in the order of their texts' hashes; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     directory = shared_dir(spark)
     manifest = staged(write_token_files(docs, f"{directory}/tokens", tokenizer, **options), directory, "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return read_token_files(manifest).join(base, "path").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    placed = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    return read_token_files(placed).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -62,6 +62,46 @@ def test_suffix_dedup(rows, docs, empty):
     assert suffix_dedup.dedup_digest(empty).count() == 0
 
 
+def phrase_rows() -> list[tuple]:
+    """One phrase in a third of all documents, each time in other surroundings, among texts that repeat."""
+    rng, phrase = random.Random(21), "the very same words in so many documents"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for k in range(600):
+        text = " ".join(word() for _ in range(30))
+        rows.append((k, f"{text[:90]} {phrase} {text[90:]}" if k % 3 == 0 else text))
+    return [*rows, *[(600 + k, rows[9 * k][1]) for k in range(60)], (700, phrase * 5), (701, "x" * 120), (702, "x" * 90)]
+
+
+@pytest.mark.parametrize("hot_packs", [0, 2])
+def test_suffix_dedup_of_hot_keys(spark, hot_packs):
+    rows = phrase_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rule = suffix_dedup.DedupRule(hot_packs=hot_packs)
+    table = suffix_dedup.packs.staged_packs(frame, shared_dir(spark), pack_bytes=8000)
+    got = suffix_dedup.marks(table, rule, suffix_dedup._digest, suffix_dedup.SPAN_SCHEMA).collect()
+    want = {i: v for (i, _), v in brute.dedup(rows, 50).items()}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_no_key_of_a_hot_phrase_gathers(spark):
+    """The phrase's key alone would bring a text for each document together; split by windows, no key has more than a few."""
+    import collections
+
+    frame = spark.createDataFrame([r for r in phrase_rows() if r[0] % 3 == 0 and r[0] < 600], "doc_id long, text string").repartition(3)
+    table = suffix_dedup.packs.staged_packs(frame, shared_dir(spark), pack_bytes=8000).collect()
+    most = {}
+    for hot in (False, True):
+        texts = collections.Counter()
+        for row in table:
+            pack = suffix_dedup.packs.Pack(row)
+            keys = np.unique(suffix_dedup.all_runs(pack, 50)[0])
+            r = suffix_dedup.Runs(pack, keys, keys if hot else keys[:0], 50)
+            texts.update(r.keys.tolist())
+        most[hot] = max(texts.values())
+    assert most[False] >= 150 and most[True] <= 20
+
+
 def test_suffix_spans_rebuild_the_rest(rows, docs):
     by_id = dict(rows)
     for r in suffix_dedup.dedup(docs).filter("doc_id IS NOT NULL").collect():
