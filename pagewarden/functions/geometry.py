@@ -121,6 +121,37 @@ def line_box(x0: Column, y0: Column, x1: Column, y1: Column, scale: float, off_x
     return F.when((r > x) & (b > y), rect(x, y, r - x, b - y))
 
 
+#: Pixels of a character where no font is known, and of a font whose size is not.
+CHARACTER, FONT_SIZE = 8, 16
+
+
+def _line(r: Column, style: Column) -> tuple[Column, Column]:
+    """Width that a line of an input has, and its height; ``style`` is a struct of left, right, top, bottom, indent, line_height and font_size in pixels, null where unset."""
+    part = lambda name: F.coalesce(style[name], F.lit(0.0))
+    room = F.greatest(F.lit(1.0), r["width"] - part("left") - part("right") - part("indent") - 4)
+    height = F.least(r["height"] - 2.0, F.greatest(F.lit(10.0), F.coalesce(style["line_height"], F.coalesce(style["font_size"], F.lit(FONT_SIZE)) * 1.25)))
+    return room, height
+
+
+def value_box(r: Column, value: Column, multiline: Column, style: Column) -> Column:
+    """Box of an input's whole value: the inside of a field of several lines, else its line of text.  A password shows a character for each of its own, so it is as wide as any value of its length."""
+    part = lambda name: F.coalesce(style[name], F.lit(0.0))
+    room, height = _line(r, style)
+    text_width = F.least(room, F.greatest(F.lit(8.0), F.ceil(CHARACTER * F.length(F.coalesce(value, F.lit("")))) + 4.0))
+    least_1 = lambda c: F.greatest(F.lit(1), half_up(c))
+    inside = rect(half_up(r["x"] + part("left")), half_up(r["y"] + part("top")), least_1(r["width"] - part("left") - part("right")), least_1(r["height"] - part("top") - part("bottom")))
+    line = rect(half_up(r["x"] + part("left") + part("indent")), half_up(r["y"] + (r["height"] - height) / 2), least_1(text_width), least_1(height))
+    return F.when(multiline, inside).otherwise(line)
+
+
+def match_box(r: Column, start: Column, end: Column, style: Column) -> Column:
+    """Box of the characters from ``start`` (0 first) up to ``end`` of an input's value, within its line."""
+    part = lambda name: F.coalesce(style[name], F.lit(0.0))
+    room, height = _line(r, style)
+    x = r["x"] + part("left") + part("indent") + F.least(CHARACTER * start, room)
+    return rect(half_up(x), half_up(r["y"] + (r["height"] - height) / 2), F.greatest(F.lit(1), half_up(F.least(CHARACTER * (end - start) + 4.0, room))), half_up(height))
+
+
 def zone(target: Column, x: float, y: float, width: float, height: float) -> Column:
     """A fixed share of a target rectangle."""
     return rect(F.greatest(F.lit(0), half_up(target["x"] + target["width"] * x)), F.greatest(F.lit(0), half_up(target["y"] + target["height"] * y)), half_up(target["width"] * width), half_up(target["height"] * height))

@@ -146,13 +146,12 @@ def label_values(nodes: DataFrame) -> DataFrame:
     node that isn't a label; or, in the label's own node, what follows a separator."""
     whole = nodes.groupBy("box").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("n"))
     rows = whole.withColumn("label", text.value_label(text.collapse(F.array_join("n.text", " ")))).filter("label IS NOT NULL")
-    out = None
+    values = []
     for category, pattern in rules.VALUE_LABELS:
         p = rules.java(pattern, True)
-        own = rows.filter(F.col("label.category") == category)
         label_node = F.get(F.filter("n", _is_label(p)), F.lit(0))
         other = F.filter("n", _is_value(p, label_node["ord"]))
         inline = F.regexp_extract(label_node["text"], f"{p}[{rules.SPACES}]*[:\\-–—][{rules.SPACES}]*(.+)$", 1)
-        part = own.select("box", F.lit(category).alias("category"), F.coalesce(F.get(other, F.lit(0))["text"], text.truthy(inline)).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out.filter("value IS NOT NULL")
+        values.append(F.when(F.col("label.category") == category, F.coalesce(F.get(other, F.lit(0))["text"], text.truthy(inline))))
+    # A box has one label, so one of the branches counts and the rows are read once.
+    return rows.select("box", F.col("label.category").alias("category"), F.coalesce(*values).alias("value")).filter("value IS NOT NULL")

@@ -38,21 +38,40 @@ def _least_score(far: int) -> int:
     return far - 50 if far >= 50 else 2 * far - 100
 
 
-def nearest_field(labels: DataFrame, fields: DataFrame, width: int, height: int) -> DataFrame:
+#: Fields of a page that each of its labels still meets one and all.
+FEW_FIELDS = 256
+
+
+def nearest_field(labels: DataFrame, fields: DataFrame, width: int, height: int, few: int = FEW_FIELDS) -> DataFrame:
     """For each label (page_id, label_id, rect) the best field (page_id, field_id, ord, frect): right of it or below,
-    near, with a bonus for alignment; the first wins ties.
+    near, with a bonus for alignment; the first wins ties.  Labels of pages with up to ``few`` fields meet all of them, those of crowded pages search by rings.
+    """
+    spark, path = labels.sparkSession, f"{scratch(labels.sparkSession)}/crowded"
+    fields.groupBy("page_id").count().filter(F.col("count") > few).select("page_id").write.parquet(path)
+    crowded = spark.read.schema(fields.select("page_id").schema).parquet(path)
+    some = not crowded.isEmpty()
+    reach = max(width, height) * 0.35
+    pairs = labels.join(fields.join(crowded, "page_id", "left_anti") if some else fields, "page_id")
+    found = pairs.groupBy("page_id", "label_id").agg(F.min(_field_score(reach)).alias("m")).filter("m IS NOT NULL").select("page_id", "label_id", "m.field_id", "m.score")
+    if not some:
+        return found
+    return found.unionByName(by_rings(labels.join(crowded, "page_id", "left_semi"), fields.join(crowded, "page_id", "left_semi"), reach))
+
+
+def by_rings(labels: DataFrame, fields: DataFrame, reach: float) -> DataFrame:
+    """``nearest_field`` for crowded pages.
 
     A search by rings of grid cells: labels and fields join by equality on the cell of a field's centre, first those near the label's own.  A
     label is done once its best score is less than any that a field beyond the ring could have, so on a crowded page none meets
     all fields; the reach of a label bounds the last ring.  Rounds are cut by tables in the shared folder.
     """
     spark, directory = labels.sparkSession, scratch(labels.sparkSession)
-    reach = max(width, height) * 0.35
     cell = lambda c: F.floor(c / RING_CELL).cast("int")
     r, f = F.col("rect"), F.col("frect")
     placed = fields.select("page_id", "field_id", "ord", "frect", cell(G.centre_x(f)).alias("cx"), cell(G.centre_y(f)).alias("cy"))
-    waiting = labels.select("page_id", "label_id", "rect", cell(G.centre_x(r)).alias("lx"), cell(G.centre_y(r)).alias("ly"), F.lit(None).cast("struct<score:double,ord:long,field_id:long>").alias("best"))
-    waiting = waiting.withColumn("best", F.col("best").cast(f"struct<score:double,ord:{fields.schema['ord'].dataType.simpleString()},field_id:{fields.schema['field_id'].dataType.simpleString()}>"))
+    kinds = [fields.schema[c].dataType.simpleString() for c in ("ord", "field_id")]
+    none = F.lit(None).cast(f"struct<score:double,ord:{kinds[0]},field_id:{kinds[1]}>")
+    waiting = labels.select("page_id", "label_id", "rect", cell(G.centre_x(r)).alias("lx"), cell(G.centre_y(r)).alias("ly"), none.alias("best"))
     done, inner = None, -1
     last = int(reach // RING_CELL) + 1
     for k, radius in enumerate([*(x for x in RADII if x < last), last]):

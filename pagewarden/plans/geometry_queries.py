@@ -317,3 +317,40 @@ _CROWDED = f"(SELECT * REPLACE (id // 500 AS page_id) FROM {_BY_AREA})"
 def w3_crowded_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of five hundred boxes, by rounds over their conflicts."""
     return suppress(_boxes(spark, sf_dir, "area", 500), _overlap(0.42)).select("page_id", "id")
+
+
+#: Styles by the part's key: padding to the left 0 to 6 or unset, an indent and a line height for some.
+STYLE = "struct(CASE WHEN k % 7 > 0 THEN k % 7 + 0.5D END AS left, CASE WHEN k % 5 > 0 THEN double(k % 5) END AS right, 2.0D AS top, 1.5D AS bottom, CASE WHEN k % 3 = 0 THEN 10.0D END AS indent, CASE WHEN k % 4 = 1 THEN 18.0D END AS line_height, CASE WHEN k % 2 = 0 THEN 13.0D END AS font_size)"
+_STYLED = f"""(SELECT *, CASE WHEN k % 7 > 0 THEN k % 7 + 0.5 ELSE 0 END AS pl, k % 5 AS pr, CASE WHEN k % 3 = 0 THEN 10 ELSE 0 END AS ti, CASE WHEN k % 4 = 1 THEN 18.0 WHEN k % 2 = 0 THEN 16.25 ELSE 20.0 END AS lh FROM (SELECT e.*, id AS k, length(p_name) AS n FROM {ELEMENTS} e JOIN part ON id = p_partkey))"""
+_LINED = f"(SELECT *, greatest(1.0, w - pl - pr - ti - 4) AS room, least(h - 2.0, greatest(10.0, lh)) AS th FROM {_STYLED})"
+
+
+def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("value"))
+    return elements(spark, sf_dir).join(values, "id").withColumn("k", F.col("id")).withColumn("style", F.expr(STYLE))
+
+
+@query(f"""SELECT id, CAST(floor(x + pl + CASE WHEN k % 6 = 5 THEN 0 ELSE ti END + 0.5) AS INT) AS x, CAST(CASE WHEN k % 6 = 5 THEN floor(y + 2.5) ELSE floor(y + (h - th) / 2 + 0.5) END AS INT) AS y,
+CAST(CASE WHEN k % 6 = 5 THEN greatest(1, floor(w - pl - pr + 0.5)) ELSE greatest(1, floor(least(room, greatest(8, 8 * n + 4)) + 0.5)) END AS INT) AS width, CAST(CASE WHEN k % 6 = 5 THEN greatest(1, floor(h - 3.5 + 0.5)) ELSE greatest(1, floor(th + 0.5)) END AS INT) AS height FROM {_LINED}""")
+def g12_value_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of input values with paddings, indents and line heights; every sixth is a field of several lines."""
+    rows = styled(spark, sf_dir).select("id", G.value_box(F.col("rect"), F.col("value"), F.col("k") % 6 == 5, F.col("style")).alias("r"))
+    return rows.select("id", *flat("r"))
+
+
+@query(f"""SELECT id, CAST(floor(x + pl + ti + least(8 * (k % 3), room) + 0.5) AS INT) AS x, CAST(floor(y + (h - th) / 2 + 0.5) AS INT) AS y, CAST(greatest(1, floor(least(8 * 4 + 4.0, room) + 0.5)) AS INT) AS width, CAST(floor(th + 0.5) AS INT) AS height FROM {_LINED}""")
+def g12_match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of four characters of each input's value."""
+    start = (F.col("k") % 3).cast("int")
+    return styled(spark, sf_dir).select("id", G.match_box(F.col("rect"), start, start + 4, F.col("style")).alias("r")).select("id", *flat("r"))
+
+
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS text_id FROM events, (SELECT max(value) AS top FROM events) WHERE value / top >= 0.30 AND trim(event_type) <> ''""")
+def p15_confident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule by a column that the table has: an event's value as a share of the largest."""
+    from ..operators.vision import confident
+
+    e = table(spark, sf_dir, "events")
+    top = e.agg(F.max("value")).first()[0]
+    rows = e.select("user_id", "event_id", F.col("event_type").alias("text"), (F.col("value") / F.lit(top)).alias("confidence"))
+    return confident(rows, "user_id", "event_id").select("user_id", "event_id", "text_id")

@@ -75,3 +75,13 @@ def test_nearest_field_of_nothing(spark):
     fields = labels.select("page_id", F.col("label_id").alias("field_id"), F.col("label_id").alias("ord"), F.col("rect").alias("frect"))
     assert spatial.nearest_field(labels.limit(0), fields, 1280, 720).collect() == []
     assert spatial.nearest_field(labels, fields.limit(0), 1280, 720).collect() == []
+    assert spatial.by_rings(labels.limit(0), fields, 448).collect() == spatial.by_rings(labels, fields.limit(0), 448).collect() == []
+
+
+def test_rings_equal_all_pairs(spark):
+    rng = random.Random(6)
+    box = lambda: (rng.randint(-50, 1300), rng.randint(-50, 900), rng.randint(1, 200), rng.randint(1, 60))
+    labels = spark.createDataFrame([(k % 3, k, box()) for k in range(90)], "page_id int, label_id int, rect struct<x:int,y:int,width:int,height:int>")
+    fields = spark.createDataFrame([(k % 4, k, k // 2, box()) for k in range(80)], "page_id int, field_id int, ord int, frect struct<x:int,y:int,width:int,height:int>")
+    answers = [{tuple(r) for r in spatial.nearest_field(labels, fields, 1280, 720, few).collect()} for few in (1000, 0)]
+    assert answers[0] == answers[1] and len(answers[0]) > 40
