@@ -243,7 +243,10 @@ def decode_pieces(pieces: DataFrame, model: str) -> DataFrame:
 
 
 def piece_digest(docs: DataFrame, model: str, *, with_ids: bool = False) -> DataFrame:
-    """Digests of the ids and of their decoding for every text, and whether the spans cover its bytes in order; the ids if asked for."""
+    """Digests of the ids and of their decoding for every text, and whether the spans cover its bytes in order; the ids if asked for.
+
+    Null text is empty; rows without doc_id and repeated rows give one each; an empty table gives none; other columns are ignored.
+    """
 
     def digest(batches):
         m = model_of(model)
