@@ -31,7 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that the forest confirms masked in their texts."""
+    """All documents, with the secrets that the forest confirms masked in their texts.
+
+    Null texts stay null; rows without doc_id and repeated rows are masked each by itself; an empty table stays empty.
+    """
     return secret_scan.redacted(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
 
 
