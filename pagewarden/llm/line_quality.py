@@ -129,7 +129,7 @@ def verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
 def quality_digest(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """doc_id, the base statistics, n_removed_words, base_failed and kept of every document.
 
-    Null text has no words and fails; a null source is a host of its own; rows without doc_id and repeated rows count as documents each; an
+    Null text has no words and fails; a null source counts as the empty host; rows without doc_id and repeated rows count as documents each; an
     empty table gives no rows.
     """
     return verdicts(docs.select("doc_id", "source", "text"), limits).select("row.doc_id", "v.*")
