@@ -22,6 +22,7 @@ PACK_BYTES = 2 << 20
 RANGE_BYTES = 8 << 20
 PACK_SCHEMA = "pack long, n_docs long, n_bytes long, first_row long, doc_ids binary, known binary, lengths binary, digests binary, body binary"
 KEY_SCHEMA = "key_range int, pack long, keys binary, twice binary"
+MANY_SCHEMA = f"{KEY_SCHEMA}, many binary"
 SHARED_SCHEMA = "pack long, keys binary"
 MARKED_SCHEMA = "pack long, keys binary, hot binary"
 COUNT_SCHEMA = "key_range int, pack long, keys binary, counts binary"
@@ -122,6 +123,13 @@ def split_keys(pack: int, keys: np.ndarray, twice: np.ndarray, n: int) -> Iterat
         yield k, pack, to_blob(keys[a:b]), np.packbits(twice[a:b]).tobytes()
 
 
+def split_marks(pack: int, keys: np.ndarray, twice: np.ndarray, many: np.ndarray, n: int) -> Iterator[tuple]:
+    """Rows of MANY_SCHEMA: the same with a second mark for each key."""
+    ranges, cuts = range_cuts(keys, n)
+    for k, a, b in zip(ranges, cuts[:-1], cuts[1:], strict=True):
+        yield k, pack, to_blob(keys[a:b]), np.packbits(twice[a:b]).tobytes(), np.packbits(many[a:b]).tobytes()
+
+
 def split_counts(pack: int, keys: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple]:
     """Rows of COUNT_SCHEMA from a pack's sorted distinct keys and the number of its documents that hold each."""
     ranges, cuts = range_cuts(keys, n)
@@ -131,7 +139,7 @@ def split_counts(pack: int, keys: np.ndarray, counts: np.ndarray, n: int) -> Ite
 
 def shared_keys(rows: DataFrame, hot_packs: int | None = None) -> DataFrame:
     """For each pack and range, the keys that at least two documents hold, from rows of KEY_SCHEMA; with ``hot_packs``, also which of them
-    more packs than that hold (``hot``, a bit a key)."""
+    more packs than that have marked as ``many`` (``hot``, a bit a key), from rows of MANY_SCHEMA."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [from_blob(b) for b in pdf["keys"]]
@@ -144,8 +152,9 @@ def shared_keys(rows: DataFrame, hot_packs: int | None = None) -> DataFrame:
         out = [(i, p) for i, p in out if len(p)]
         if hot_packs is None:
             return pd.DataFrame([(i, to_blob(p)) for i, p in out], columns=["pack", "keys"])
-        # A key that n packs hold stands n times in a row.
-        often = np.unique(keys[hot_packs:][keys[hot_packs:] == keys[: len(keys) - hot_packs]]) if len(keys) > hot_packs else keys[:0]
+        found = np.sort(np.concatenate([p[np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)).astype(bool)] for m, p in zip(pdf["many"], parts, strict=True)]))
+        # A key that n packs have marked stands n times in a row.
+        often = np.unique(found[hot_packs:][found[hot_packs:] == found[: len(found) - hot_packs]]) if len(found) > hot_packs else found[:0]
         return pd.DataFrame([(i, to_blob(p), np.packbits(member(p, often)).tobytes()) for i, p in out], columns=["pack", "keys", "hot"])
 
     return rows.groupBy("key_range").applyInPandas(find, SHARED_SCHEMA if hot_packs is None else MARKED_SCHEMA)

@@ -29,12 +29,13 @@ NONE = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class DedupRule:
-    """length: bytes of a repeated string; shallow: bytes sorted by multikey quicksort before the blind tries; hot_packs: a key that more packs
-    hold is split by whole windows."""
+    """length: bytes of a repeated string; shallow: bytes sorted by multikey quicksort before the blind tries; a key of which
+    more than ``hot_packs`` packs hold ``many`` texts or more with different surroundings is split by whole windows."""
 
     length: int = 50
     shallow: int = 32
-    hot_packs: int = 256
+    hot_packs: int = 64
+    many: int = 8
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -106,6 +107,23 @@ def distinct_keys(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[at], np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, bool)
 
 
+def varied_keys(data: bytes, keys: np.ndarray, first: np.ndarray, size: np.ndarray, length: int, many: int) -> np.ndarray:
+    """The keys, sorted, whose runs have ``many`` different texts or more, by their first and last bytes: what repeats with its surroundings has few."""
+    if not len(keys):
+        return keys
+    flat = np.frombuffer(data, np.uint8)
+    words = np.lib.stride_tricks.as_strided(flat, (len(flat) - 7, 8), (1, 1))
+    ends = np.zeros(len(keys), np.uint64)
+    for at in (first, first + 8, first + size + length - 17, first + size + length - 9):
+        ends = (ends ^ np.ascontiguousarray(words[at]).view("<u8").ravel()) * np.uint64(0x9E3779B97F4A7C15)
+        ends ^= ends >> np.uint64(31)
+    order = np.lexsort((ends, keys))
+    keys, ends = keys[order], ends[order]
+    other = np.append(True, (keys[1:] != keys[:-1]) | (ends[1:] != ends[:-1]))
+    distinct, counts = np.unique(keys[other], return_counts=True)
+    return distinct[counts >= many]
+
+
 def window_hashes(data: bytes, first: np.ndarray, length: int) -> np.ndarray:
     """A key for each window that depends on all of its bytes."""
     windows, out = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length), np.zeros(len(first), np.uint64)
@@ -335,9 +353,11 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
         for pdf in batches:
             for row in pdf.itertuples():
                 pack = packs.Pack(row)
-                keys, _, _, doc = all_runs(pack, n)
-                distinct, twice = distinct_keys(keys[pack.known[doc]], doc[pack.known[doc]])
-                yield pd.DataFrame(list(packs.split_keys(pack.id, distinct, twice, ranges)), columns=["key_range", "pack", "keys", "twice"])
+                keys, first, size, doc = all_runs(pack, n)
+                known = pack.known[doc]
+                distinct, twice = distinct_keys(keys[known], doc[known])
+                many = packs.member(distinct, varied_keys(pack.data, keys[known], first[known], size[known], n, rule.many))
+                yield pd.DataFrame(list(packs.split_marks(pack.id, distinct, twice, many, ranges)), columns=["key_range", "pack", "keys", "twice", "many"])
 
     def runs_out(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows, shared, hot = [], packs.keys_of(right), packs.hot_keys_of(right)
@@ -395,7 +415,7 @@ def marks(table: DataFrame, rule: DedupRule, finish, schema: str) -> DataFrame:
     spark = table.sparkSession
     size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     ranges = packs.ranges_for(size / ((n - GRAM + 2) / 2) * 8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = staged(packs.shared_keys(table.mapInPandas(keys_out, packs.KEY_SCHEMA), rule.hot_packs), table_dir(table), "shared", codec="lz4")
+    shared = staged(packs.shared_keys(table.mapInPandas(keys_out, packs.MANY_SCHEMA), rule.hot_packs), table_dir(table), "shared", codec="lz4")
     sent = table.groupBy("pack").cogroup(shared.groupBy("pack")).applyInPandas(runs_out, RUN_SCHEMA)
     back = sent.groupBy("key_range").applyInPandas(sort_range, BACK_SCHEMA)
     answers = back.select("pack", "key_range", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("hot"), "least").unionByName(shared.select("pack", F.lit(None).cast("int").alias("key_range"), "keys", "hot", F.lit(None).cast("binary").alias("least")))

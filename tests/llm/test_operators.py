@@ -73,17 +73,39 @@ def phrase_rows() -> list[tuple]:
     return [*rows, *[(600 + k, rows[9 * k][1]) for k in range(60)], (700, phrase * 5), (701, "x" * 120), (702, "x" * 90)]
 
 
-@pytest.mark.parametrize("hot_packs", [0, 2])
-def test_suffix_dedup_of_hot_keys(spark, hot_packs):
+@pytest.mark.parametrize("hot_packs, many", [(0, 1), (2, 1), (1, 4)])
+def test_suffix_dedup_of_hot_keys(spark, hot_packs, many):
     rows = phrase_rows()
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    rule = suffix_dedup.DedupRule(hot_packs=hot_packs)
+    rule = suffix_dedup.DedupRule(hot_packs=hot_packs, many=many)
     table = suffix_dedup.packs.staged_packs(frame, shared_dir(spark), pack_bytes=8000)
     got = suffix_dedup.marks(table, rule, suffix_dedup._digest, suffix_dedup.SPAN_SCHEMA).collect()
     want = {i: v for (i, _), v in brute.dedup(rows, 50).items()}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_keys_with_many_surroundings():
+    phrase, word = b"the very same words in so many documents", "{:06x} surroundings of its own {:06x}"
+    texts = [word.format(k * 7919, k).encode() + phrase + word.format(k, k * 104729).encode() for k in range(12)]
+    texts += [b"a passage that comes with all that stands around it, long enough for windows of its own" for _ in range(12)]
+    data = b"".join(texts)
+    row = type("Row", (), {})()
+    row.pack, row.n_docs, row.n_bytes = 0, len(texts), len(data)
+    row.doc_ids, row.known = np.arange(len(texts), dtype="<i8").tobytes(), np.ones(len(texts), np.uint8).tobytes()
+    row.lengths = np.asarray([len(t) for t in texts], "<i8").tobytes()
+    import zstandard
+
+    row.body = zstandard.ZstdCompressor().compress(data)
+    pack = suffix_dedup.packs.Pack(row)
+    keys, first, size, doc = suffix_dedup.all_runs(pack, 50)
+    varied = suffix_dedup.varied_keys(pack.data, keys, first, size, 50, 8)
+    own = {k: set() for k in keys.tolist()}
+    for k, a, n in zip(keys.tolist(), first.tolist(), size.tolist(), strict=True):
+        own[k].add(data[a : a + n + 49])
+    assert varied.tolist() == sorted(k for k, ts in own.items() if len(ts) >= 8) and len(varied)
+    assert not set(varied.tolist()) & set(keys[doc >= 12].tolist())
+
+
 def test_no_key_of_a_hot_phrase_gathers(spark):
     """The phrase's key alone would bring a text for each document together; split by windows, no key has more than a few."""
     import collections
