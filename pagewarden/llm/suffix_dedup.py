@@ -34,8 +34,8 @@ class DedupRule:
 
     length: int = 50
     shallow: int = 32
-    hot_packs: int = 64
-    many: int = 8
+    hot_packs: int = 128
+    many: int = 128
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
