@@ -57,13 +57,14 @@ def _scans(found: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"page_id": ids, "scan_at": np.asarray([f[2] for f in found], np.int64)})
 
 
-def in_order_stream(events: DataFrame, key: str, fold: Callable, tick: Callable, state: str, out: str, lateness: str) -> DataFrame:
+def in_order_stream(events: DataFrame, key: str, fold: Callable, tick: Callable, state: str, out: str, lateness: str, only: tuple[str, ...] | None = None) -> DataFrame:
     """A stateful operator of a stream (``key``, event_id, event_type, ts) that takes each key's events in the order of (ts, event_id), however batches cut them.
 
     Events wait in the state until the watermark has passed them; those that come later than ``lateness`` are dropped.  ``fold(values, at, event_id,
     event_type)`` and ``tick(values, mark)`` give the next values and rows of ``out``; ``tick`` comes after the events up to the watermark (both in
     microseconds), and gives the time at which it wants to be called again, or null.  ``values`` starts as nulls in the columns of ``state``; a key whose
-    values are all null and that has no waiting event is forgotten.
+    values are all null and that has no waiting event is forgotten.  Events of other types than ``only`` just move the watermark: they are left out in
+    the step, as Spark takes a filter on the type below the watermark, which then stops at the last event of these kinds.
     """
     width, columns = len(state.split(", ")), [c.split()[0] for c in out.split(", ")]
 
@@ -73,6 +74,7 @@ def in_order_stream(events: DataFrame, key: str, fold: Callable, tick: Callable,
             *values, times, ids, kinds = held.get
             values, wait = tuple(values), list(zip(times, ids, kinds, strict=True))
         for pdf in () if held.hasTimedOut else batches:
+            pdf = pdf if only is None else pdf[pdf["event_type"].isin(only)]
             wait += [(int(t.value // 1000), int(i), k) for t, i, k in zip(pdf["ts"], pdf["event_id"], pdf["event_type"], strict=True)]
         mark, rows = held.getCurrentWatermarkMs() * 1000, []
         wait.sort()
@@ -158,8 +160,7 @@ def change_stream(events: DataFrame, key: str, change: str, begin: str, end: str
             return (busy, event_id if hold else None), []
         return values, [(event_id, event_id)]
 
-    own = events.filter(F.col("event_type").isin(change, begin, end))
-    return in_order_stream(own, key, fold, lambda values, mark: (values, [], None), "busy long, waiting long", "event_id long, told_by long", lateness)
+    return in_order_stream(events, key, fold, lambda values, mark: (values, [], None), "busy long, waiting long", "event_id long, told_by long", lateness, (change, begin, end))
 
 
 def debounced(events: DataFrame, key: str, gap: str) -> DataFrame:
@@ -200,6 +201,7 @@ def continuation_stream(events: DataFrame, put: str, take: str, ttl_seconds: int
         held, held_at, times, ids, puts = state.get if state.exists else (None, None, [], [], [])
         wait = list(zip(times, ids, puts, strict=True))
         for pdf in () if state.hasTimedOut else batches:
+            pdf = pdf[pdf["event_type"].isin([put, take])]
             wait += [(int(t.value // 1000), int(i), k == put) for t, i, k in zip(pdf["ts"], pdf["event_id"], pdf["event_type"], strict=True)]
         mark, out = state.getCurrentWatermarkMs(), []
         wait.sort()
@@ -221,7 +223,8 @@ def continuation_stream(events: DataFrame, put: str, take: str, ttl_seconds: int
             state.remove()
         yield pd.DataFrame(out, columns=["user_id", "event_id", "set_id"]).astype("int64")
 
-    own = events.withWatermark("ts", lateness).filter(F.col("event_type").isin(put, take))
+    # Events of other types move the watermark too, so they are left out in the step: Spark would take a filter below it.
+    own = events.withWatermark("ts", lateness)
     kept = "held long, held_at long, times array<long>, ids array<long>, puts array<boolean>"
     return own.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, set_id long", kept, "append", "EventTimeTimeout")
 

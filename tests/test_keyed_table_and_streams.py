@@ -123,6 +123,22 @@ def test_late_changes_are_dropped_by_the_stream(spark):
     assert {r.event_id for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()} >= {1, 9}
 
 
+@pytest.mark.parametrize("run, rows, want", [
+    (lambda s: E.change_stream(s, "user_id", "click", "view", "purchase", hold=True), ["view", "click", "click", "purchase", "click"], [(1, 2, 3), (1, 4, 4)]),
+    (lambda s: E.continuation_stream(s, "view", "purchase", 86_400), ["view", "click", "view", "purchase"], [(1, 3, 2)]),
+])
+def test_events_of_other_types_move_the_watermark(spark, run, rows, want):
+    """The last event of a stream is of a type that the operator has no use for, and the ones before it come out all the same."""
+    start, path = dt.datetime(2024, 1, 1), folder()
+    own = [(k, start + dt.timedelta(minutes=k), 1, kind) for k, kind in enumerate(rows)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    for part in (own, [(-1, start + dt.timedelta(days=9), -1, "signup")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    out = run(spark.readStream.schema(schema).parquet(f"{path}/in"))
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.schema(out.schema).parquet(f"{path}/out").collect())) == want
+
+
 def test_throttle_of_odd_rows(spark):
     rows = [(None, 5), (None, 9), (1, None), (2**53 + 1, 7), (2**53 + 2, 8)]
     got = E.scan_times(spark.createDataFrame(rows, "page_id long, at long").coalesce(1), 10, 100).collect()
