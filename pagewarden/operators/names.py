@@ -116,7 +116,7 @@ def repeated_names(told: DataFrame) -> DataFrame:
             rows.insert(0, "page_id", ids[[r[0] for r in out]])
             yield rows
 
-    return told.select("names", "runs", *exact("page_id")).mapInPandas(find, HIT_SCHEMA)
+    return P.lean(told).select("names", "runs", *exact("page_id")).mapInPandas(find, HIT_SCHEMA)
 
 
 def _hits(machine, body: str, rank: dict) -> list[tuple]:

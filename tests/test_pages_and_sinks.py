@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pagewarden.functions import text
@@ -24,6 +25,16 @@ def test_pages_without_id_or_html(spark):
     assert P.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_scan_holds_few_rows_at_a_time():
+    """A batch of many pages comes back in parts, whole pages each; a page of more rows than a part is one of its own."""
+    html = ["<p>a</p>" * 3] * 5000 + ["<p>b</p>" * 3000] + [None, "<p>c</p>"]
+    pdf = pd.DataFrame({"html": html, "page_id": range(len(html)), "page_id_known": True})
+    parts = list(P.scanned(iter([pdf])))
+    assert sum(map(len, parts)) == 5000 * 6 + 6000 + 2
+    assert all(len(p) <= P.BATCH_ROWS or p["page_id"].nunique() == 1 for p in parts)
+    assert pd.concat(parts)["page_id"].is_monotonic_increasing
+
+
 def test_deep_and_broken_nesting_takes_time_in_proportion(spark):
     def seconds(n: int) -> float:
         html = "<body>" + "<div>x" * n + "</span>" * n + "</div>" * n + "</body>"
