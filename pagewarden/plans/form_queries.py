@@ -163,7 +163,7 @@ def f4_customer_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     element, selector = F.concat(F.lit('"elementId": "e'), s, F.lit('"')), F.concat(F.lit('"selector": "#s'), s, F.lit('"'))
     target = F.when(k % 5 == 0, F.lit('"e1"')).otherwise(F.concat(F.lit("{"), F.when(k % 3 == 0, element).when(k % 3 == 1, selector).otherwise(F.concat_ws(", ", element, selector)), F.lit("}")))
     raw = F.concat(F.lit('Plan: {"tasks": [{"action": "click", "target": '), target, F.lit("}]} done"))
-    p = table(spark, sf_dir, "customer").select(k.alias("id"), J.parse_plan(raw, F.lit("do it")).alias("p")).filter("p.error IS NULL").select("id", F.explode("p.steps").alias("t"))
+    p = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("id"), J.parse_plan(raw, F.lit("do it")).alias("p")).filter("p.error IS NULL").select("id", F.explode("p.steps").alias("t"))
     return p.select("id", F.get_json_object("t", "$.action").alias("action"), F.get_json_object("t", "$.target.elementId").alias("element_id"), F.get_json_object("t", "$.target.selector").alias("selector"))
 
 
