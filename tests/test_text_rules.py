@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pagewarden.functions import text
+from pagewarden.functions import rules, text
 
 LIVE = [
     ("a@b.com", "<EMAIL_1>"), ("rohan@okbank", "<UPI_ID_1>"), ("password: hunter2, ok", "<PASSWORD_1>, ok"), ("password reset page", "<PASSWORD_1> page"), ("1234567890123456", "123456<PHONE_1>"),
@@ -55,3 +55,22 @@ def test_identity_numbers_are_left_to_the_offsets(spark, tmp_path, name):
     assert_same(spark, registry.queries()[name], registry.oracle_sql()[name], str(tmp_path))
     offsets = registry.queries()["t4_match_offsets"](spark, str(tmp_path)).filter("origin = 'd'")
     assert {(r.id, r.value) for r in offsets.collect()} >= {(1, "2266 6802 0056"), (2, "226668020056"), (3, "ABCDE1234F")}
+
+
+def test_rules_read_a_line_once_and_words_share_their_beginnings(spark):
+    rows = spark.createDataFrame([("a road", "x")], "l string, f string").select(text.line_class(F.col("l"), F.col("f")).alias("c"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1 and rows.first().c == "ADDRESS"
+    words = ["pin", "pin code", "pan", "e-mail", "e.g", "otp"]
+    found = spark.createDataFrame([(t,) for t in ["a pin", "pi n", "xpanx", "e-mail", "exg", "ot", "otp", ""]], "t string").select(F.col("t").rlike(rules.one_of(words)).alias("h")).collect()
+    assert [r.h for r in found] == [True, False, True, True, False, False, True, False]
+    labels = ["my Full  name", "account holder x", "TELEPHONE", "home address", "date of birth", "e-mail", "account no", "IFSC code", "upi", "debit card", "Aadhar", "access token", "birth"]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in labels], "t string").select(text.value_label(F.col("t"))["category"].alias("c")).collect()]
+    assert got == ["PERSON", "PERSON", "PHONE", "ADDRESS", "DATE_OF_BIRTH", "EMAIL", "BANK_ACCOUNT", "IFSC", "UPI_ID", "CARD_NUMBER", "GOVERNMENT_ID", "API_KEY", None]
+
+
+@pytest.mark.parametrize("name", ["f4_customer_targets", "m13_customer_pictures"])
+def test_a_table_of_one_file_is_dealt_over_the_cores(spark, name):
+    from pagewarden import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "Repartition" in plan
