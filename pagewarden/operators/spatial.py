@@ -45,14 +45,15 @@ FEW_FIELDS = 256
 def nearest_field(labels: DataFrame, fields: DataFrame, width: int, height: int, few: int = FEW_FIELDS) -> DataFrame:
     """For each label (page_id, label_id, rect) the best field (page_id, field_id, ord, frect): right of it or below,
     near, with a bonus for alignment; the first wins ties.  Labels of pages with up to ``few`` fields meet all of them, those of crowded pages search by rings.
+    Labels and fields are merged: by the size of the files they were made from, which tells neither their number nor their size in memory, Spark would broadcast them.
     """
     spark, path = labels.sparkSession, f"{scratch(labels.sparkSession)}/crowded"
     fields.groupBy("page_id").count().filter(F.col("count") > few).select("page_id").write.parquet(path)
     crowded = spark.read.schema(fields.select("page_id").schema).parquet(path)
     some = not crowded.isEmpty()
     reach = max(width, height) * 0.35
-    pairs = labels.join(fields.join(crowded, "page_id", "left_anti") if some else fields, "page_id")
-    found = pairs.groupBy("page_id", "label_id").agg(F.min(_field_score(reach)).alias("m")).filter("m IS NOT NULL").select("page_id", "label_id", "m.field_id", "m.score")
+    pairs = labels.join((fields.join(crowded, "page_id", "left_anti") if some else fields).hint("merge"), "page_id")
+    found = _best(pairs, reach).select("page_id", "label_id", "m.field_id", "m.score")
     if not some:
         return found
     return found.unionByName(by_rings(labels.join(crowded, "page_id", "left_semi"), fields.join(crowded, "page_id", "left_semi"), reach))
@@ -77,8 +78,8 @@ def by_rings(labels: DataFrame, fields: DataFrame, reach: float) -> DataFrame:
     for k, radius in enumerate([*(x for x in RADII if x < last), last]):
         step = lambda c: F.explode(F.sequence(c - radius, c + radius))  # noqa: B023, E731
         ring = waiting.select("*", step(F.col("lx")).alias("cx")).select("*", step(F.col("ly")).alias("cy")).filter(F.greatest(F.abs(F.col("cx") - F.col("lx")), F.abs(F.col("cy") - F.col("ly"))) > inner)
-        found = ring.drop("best").join(placed, ["page_id", "cx", "cy"]).groupBy("page_id", "label_id").agg(F.min(_field_score(reach)).alias("m"))
-        here = waiting.join(found, ["page_id", "label_id"], "left").withColumn("best", F.least("best", F.when(F.col("m.score").isNotNull(), F.col("m")))).drop("m")
+        found = _best(ring.drop("best").join(placed.hint("merge"), ["page_id", "cx", "cy"]), reach)
+        here = waiting.join(found.hint("merge"), ["page_id", "label_id"], "left").withColumn("best", F.least("best", F.when(F.col("m.score").isNotNull(), F.col("m")))).drop("m")
         here.write.parquet(f"{directory}/ring-{k}")
         here = spark.read.schema(here.schema).parquet(f"{directory}/ring-{k}")
         closed = F.col("best").isNotNull() & (F.col("best.score") < _least_score(radius * RING_CELL)) if radius < last else F.lit(True)
@@ -90,6 +91,12 @@ def by_rings(labels: DataFrame, fields: DataFrame, reach: float) -> DataFrame:
     return done.filter("best IS NOT NULL").select("page_id", "label_id", "best.field_id", "best.score")
 
 
+def _best(pairs: DataFrame, reach: float) -> DataFrame:
+    """The best field (m) of each label that has one.  Pairs without a score go, and boxes are dropped, before a task sorts them."""
+    scored = pairs.select("page_id", "label_id", _field_score(reach).alias("m")).filter("m IS NOT NULL")
+    return scored.groupBy("page_id", "label_id").agg(F.min("m").alias("m"))
+
+
 def _field_score(reach: float) -> Column:
     """Struct (score, ord, field_id) of a label and a field; null if the field is neither beside nor below, or beyond reach."""
     a, b = F.col("rect"), F.col("frect")

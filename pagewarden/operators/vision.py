@@ -20,13 +20,13 @@ def sensitive_information(texts: DataFrame, regions: DataFrame, width: int, heig
 
     ``texts`` has image_id, text_id, text and corners, ``regions`` image_id, region_id and a rectangle.  Labels take their
     nearest input-like field's box; texts that match a pattern count by themselves; of the same type, boxes that all but coincide
-    count once, in order of text.
+    count once, in order of text.  What a picture has is merged, never broadcast, as in ``nearest_field``.
     """
     own = texts.withColumn("rect", G.from_corners(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     fields = regions.withColumn("frect", G.rect("x", "y", "width", "height")).filter(input_like(F.col("frect"), width, height)).select(F.col("image_id").alias("page_id"), F.col("region_id").alias("field_id"), F.col("region_id").alias("ord"), "frect")
     near = nearest_field(own.select(F.col("image_id").alias("page_id"), F.col("text_id").alias("label_id"), "rect"), fields, width, height)
-    near = near.join(fields.select("page_id", "field_id", "frect"), ["page_id", "field_id"]).select(F.col("page_id").alias("image_id"), F.col("label_id").alias("text_id"), F.col("field_id").alias("region_id"), "frect")
-    labels = own.select("image_id", "text_id", "rect", F.explode(text.label_categories(F.col("text"))).alias("c")).join(near, ["image_id", "text_id"], "left")
+    near = near.join(fields.select("page_id", "field_id", "frect").hint("merge"), ["page_id", "field_id"]).select(F.col("page_id").alias("image_id"), F.col("label_id").alias("text_id"), F.col("field_id").alias("region_id"), "frect")
+    labels = own.select("image_id", "text_id", "rect", F.explode(text.label_categories(F.col("text"))).alias("c")).join(near.hint("merge"), ["image_id", "text_id"], "left")
     labels = labels.select("image_id", "text_id", F.col("c.type").alias("type"), F.col("c.severity").alias("severity"), F.when(F.col("region_id").isNotNull(), "LABEL_AND_UI_CONTEXT").otherwise("SENSITIVE_LABEL").alias("detection_source"), "region_id", F.coalesce("frect", "rect").alias("box"))
     hits = own.select("image_id", "text_id", "rect", F.explode(text.pattern_categories(F.col("text"))).alias("c"))
     hits = hits.select("image_id", "text_id", F.col("c.type").alias("type"), F.col("c.severity").alias("severity"), F.lit("TEXT_PATTERN").alias("detection_source"), F.lit(None).cast("int").alias("region_id"), F.col("rect").alias("box"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from pagewarden import registry
 from pagewarden.functions import geometry as G
 from pagewarden.operators import spatial, suppression
 from pagewarden.operators.suppression import suppress
@@ -72,6 +73,30 @@ def test_crowded_pages_are_dealt_by_their_cells_and_never_broadcast(spark, monke
     assert {tuple(r) for r in got.select("page_id", "id", "rank").collect()} == {tuple(r) for r in want.select("page_id", "id", "rank").collect()}
 
 
+@pytest.mark.parametrize("name", ["m13_customer_pictures", "a6_customer_summary", "j7_nearest_field"])
+def test_labels_and_fields_are_merged_and_never_broadcast(spark, name):
+    found = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rings_are_merged_and_never_broadcast(spark, monkeypatch):
+    plans, write = {}, DataFrameWriter.parquet
+
+    def watched(self, path, *args, **kwargs):
+        write(self, path, *args, **kwargs)
+        plans[path.rsplit("/", 1)[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    k, page = F.col("id"), F.lit(1).alias("page_id")
+    fields = spark.range(40).select(page, k.alias("field_id"), k.alias("ord"), G.rect(k * 37 % 600, k * 53 % 400, F.lit(30), F.lit(12)).alias("frect"))
+    labels = spark.range(20).select(page, k.alias("label_id"), G.rect(k * 31 % 600, k * 71 % 400, F.lit(40), F.lit(12)).alias("rect"))
+    got = {tuple(r) for r in spatial.by_rings(labels, fields, 448).collect()}
+    assert "ring-0" in plans and all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans.values())
+    assert got == {tuple(r) for r in spatial.nearest_field(labels, fields, 1280, 720).collect()} and len(got) > 10
+
+
 def test_nearest_field_of_a_page_with_a_hundred_thousand_boxes(spark):
     n, labels = 100_000, 300
     k = F.col("id")
